@@ -32,7 +32,7 @@ from .common import partitions, session, texts
 from .words import U, Words, inner_starts, split, windows
 
 WINDOW = 13
-BATCH_BYTES, MAX_BATCHES = 12 << 20, 8192
+BATCH_BYTES, MAX_BATCHES = 6 << 20, 16384
 #: Index ranges per increment, as a power of two, grow with the batches: a range then holds some MB.
 LAST = np.iinfo(np.int64).max
 

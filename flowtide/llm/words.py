@@ -29,6 +29,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
+#: Words hashed at once.
+STRETCH = 1 << 15
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -71,13 +74,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes (and length)."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _power(P, n), out=total[1:])
-        own = (total[self.end] - total[self.start]) * _power(P_INV, n)[self.start]
-        return mix(own + (self.end - self.start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):  # some words at a time: the bytes' powers stay small
+            to = min(len(out), at + STRETCH)
+            a, b = int(self.start[at]), int(self.end[to - 1])
+            total = np.zeros(b - a + 1, np.uint64)
+            np.multiply(_BYTE[self.data[a:b]], _power(P, b - a), out=total[1:])
+            np.cumsum(total, out=total)
+            start, end = self.start[at:to] - a, self.end[at:to] - a
+            own = (total[end] - total[start]) * _power(P_INV, b - a)[start]
+            out[at:to] = mix(own + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+            at = to
+        return out
 
     def joined(self, separator: int = 0x20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all words with one separator after each, and each word's start and end there."""
