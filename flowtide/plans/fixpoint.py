@@ -8,21 +8,36 @@ and plans stay short; the driver sees nothing but whether the addition is empty.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df under spark.checkpoint.dir; a folder is made only where that is unset, as in tests."""
+def shared_folder(df: DataFrame) -> str:
+    """The folder that spark.checkpoint.dir names; one is made only where that is unset, as in tests."""
     spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises df in the shared folder and drops its lineage."""
+    shared_folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, as a written table: its size is known, so the optimizer broadcasts it in joins while it is small."""
+    folder = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int | None = None) -> DataFrame:
     """The least relation that holds seed and all of step(added last, all so far); rows are a set.
 

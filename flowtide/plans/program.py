@@ -13,19 +13,24 @@ KINDS = (
     "WriteProperty WriteVariable"
 ).split()
 
-FUNCTION = "program_id string, func_id long, name string, outer_func_id long, is_main boolean, params array<string>, vars array<string>"
+FUNCTION = "program_id string, func_id long, name string, outer_func_id long, is_main boolean, params array<string>, vars array<string>, entry long, exit long"
 NODE = (
     "func_id long, idx long, node_id long, kind string, result_reg long, base_reg long, value_reg long, func_reg long, "
-    "name string, property string, is_internal boolean, is_ctor boolean, declares long, line int, col int"
+    "name string, property string, is_internal boolean, is_ctor boolean, declares long, line int, col int, block long"
 )
 ARG = "node_id long, position int, reg long"
 
 
 @dataclass
 class Program:
-    """Functions, nodes (ids are unique over all programs; -1 stands for no register), control flow and call arguments."""
+    """Functions, nodes (ids are unique over all programs; -1 stands for no register), control flow and arguments.
+
+    idx orders the nodes of a block; functions have an entry and an exit block.
+    Arguments are those of calls and the operands of operators.
+    """
 
     function: DataFrame
     node: DataFrame
     cfg_edge: DataFrame
     call_arg: DataFrame
+    block_edge: DataFrame

@@ -52,7 +52,7 @@ def nodes(lineitem: DataFrame) -> DataFrame:
         F.when(is_kind("ReadVariable", "WriteVariable", "DeclareVariable"), _name(F.col("l_suppkey"))).alias("name"),
         F.when(is_kind("ReadProperty", "WriteProperty") | method, F.concat(F.lit("p"), (F.col("l_partkey") % 5).cast("string"))).alias("property"),
         (is_kind("Call") & (F.col("l_quantity") < 3)).alias("is_internal"), F.lit(False).alias("is_ctor"),
-        F.when(is_kind("DeclareFunction"), F.col("l_partkey")).alias("declares"), F.col("idx").cast("int").alias("line"), F.lit(0).alias("col"),
+        F.when(is_kind("DeclareFunction"), F.col("l_partkey")).alias("declares"), F.col("idx").cast("int").alias("line"), F.lit(0).alias("col"), F.col("l_orderkey").alias("block"),
     )
 
 
@@ -68,12 +68,12 @@ def program(spark: SparkSession, sf_dir: str) -> Program:
             F.array(_name(F.col("o_custkey")), _name(F.col("o_custkey") + 7)).alias("params"),
         )
         .join(declared, "func_id", "left")
-        .select("program_id", "func_id", "name", "outer_func_id", "is_main", "params", F.coalesce("vars", F.array().cast("array<string>")).alias("vars"))
+        .select("program_id", "func_id", "name", "outer_func_id", "is_main", "params", F.coalesce("vars", F.array().cast("array<string>")).alias("vars"), F.col("func_id").alias("entry"), F.col("func_id").alias("exit"))
     )
     own = Window.partitionBy("func_id").orderBy("idx")
     edges = node.select(F.col("node_id").alias("src"), F.lead("node_id").over(own).alias("dst")).where("dst is not null")
     args = node.where("kind = 'Call'").select("node_id", "result_reg", F.explode(F.array(F.lit(0), F.lit(1))).alias("position")).select("node_id", "position", ((F.col("result_reg") + F.col("position")) % 7 + 1).alias("reg"))
-    return Program(function, node, edges, args)
+    return Program(function, node, edges, args, spark.createDataFrame([], "src long, dst long"))
 
 
 #: The encoding in SQL: relations node, func, cfg_edge, call_arg.
