@@ -32,6 +32,8 @@ PER_LANG, LANDMARKS, RIDGE = 1000, 192, 1e-3
 #: Languages at most that one model tells apart; more is an error, never a silent cut.
 MAX_LANGS = 500
 SHARPNESS = 6.0
+#: Parts of a language that are ranked apart.
+PARTS = 64
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -96,7 +98,10 @@ def fit(docs: DataFrame, learn, per_lang: int = PER_LANG) -> Model | None:
     """learn: condition on docs (doc_id, text, lang) of rows that may be learnt from."""
     ranked = Window.partitionBy("lang").orderBy("h", "doc_id")
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= per_lang).select("doc_id").distinct().collect()
+    # The lowest of a language are among the lowest of its parts: no task ranks a whole language.
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
+    lowest = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(parts)).where(F.col("n") <= per_lang)
+    ids = lowest.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= per_lang).select("doc_id").distinct().collect()
     if len(ids) > per_lang * MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not ids:
