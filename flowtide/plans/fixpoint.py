@@ -64,6 +64,22 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", within: DataFr
     return fixpoint(seed, lambda new, _: new.join(hop, "dst").select("src", F.col("next").alias("dst")))
 
 
+def closure_by_doubling(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """As closure, in as many rounds as the longest path has binary digits; meant for long chains.
+
+    `jump` has the pairs joined by exactly 2**k edges, `total` those joined by 1 to 2**k; a round that adds
+    nothing to `total` shows that it is closed.
+    """
+    jump = total = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    while True:
+        hop = jump.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        further = lambda pairs, hop=hop: pairs.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
+        added = cut(further(total).join(total, ["src", "dst"], "left_anti"))
+        if added.isEmpty():
+            return total
+        total, jump = cut(total.unionByName(added)), cut(further(jump))
+
+
 def roots(links: DataFrame) -> DataFrame:
     """(node, root, hops) of functional links (node, prev), prev null at a root: pointer doubling, so rounds are few.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import flows, names, relations, scans
-from .plans.fixpoint import fixpoint
+from .plans.fixpoint import closure_by_doubling, fixpoint
 from .sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,11 +310,18 @@ errors AS (SELECT event_id AS query_id, 'error ' || (event_id % 7) AS error FROM
 reach AS (SELECT from_query AS src, to_query AS dst FROM dep UNION SELECT src, to_query FROM reach JOIN dep ON from_query = dst)"""
 
 
-def _deps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _all_deps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every link from an event to its user's next one, and the errors."""
     e = tables.load(spark, d, "events")
     ordered = e.select(F.col("event_id").alias("from_query"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("to_query"))
     errors = e.where("event_type = 'error'").select(F.col("event_id").alias("query_id"), F.concat(F.lit("error "), (F.col("event_id") % 7).cast("string")).alias("error"))
-    return ordered.where("to_query is not null and from_query % 6 <> 0"), errors
+    return ordered.where("to_query is not null"), errors
+
+
+def _deps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The sample of the links that _DEPS takes, so that its SQL ends; the whole_ queries have all of them."""
+    links, errors = _all_deps(spark, d)
+    return links.where("from_query % 6 <> 0"), errors
 
 
 @query(f"{_DEPS} SELECT from_query, to_query FROM dep")
@@ -341,6 +348,32 @@ def demanded_queries(spark, d):
     return fixpoint(seed, lambda new, _: new.join(deps, "query_id").select(F.col("to_query").alias("query_id")))
 
 
+@query()
+def whole_direct_deps(spark, d):
+    """direct_deps over all links; no SQL, tested by brute force, as are the other whole_ queries."""
+    return _all_deps(spark, d)[0]
+
+
+@query()
+def whole_dep_reach(spark, d):
+    return closure_by_doubling(_all_deps(spark, d)[0], "from_query", "to_query")
+
+
+@query()
+def whole_errors_impacting(spark, d):
+    deps, errors = _all_deps(spark, d)
+    return relations.error_rollup(closure_by_doubling(deps, "from_query", "to_query"), errors)
+
+
+@query()
+def whole_demanded_queries(spark, d):
+    """The asked ones and all sub-queries that they create, each once."""
+    deps = _all_deps(spark, d)[0]
+    seed = deps.where("from_query % 100 = 1").select(F.col("from_query").alias("query_id"))
+    below = closure_by_doubling(deps, "from_query", "to_query").join(seed, F.col("src") == F.col("query_id"), "left_semi")
+    return seed.union(below.select("dst")).distinct()
+
+
 # -- output forms -------------------------------------------------------------
 
 
@@ -360,3 +393,8 @@ def callgraph_text(spark, d):
 @query(f"""{_DEPS} SELECT '"' || from_query || '" -> "' || to_query || '";' AS value FROM dep""")
 def dependency_dot(spark, d):
     return files.dot(_deps(spark, d)[0], "from_query", "to_query")
+
+
+@query()
+def whole_dependency_dot(spark, d):
+    return files.dot(_all_deps(spark, d)[0], "from_query", "to_query")
