@@ -41,6 +41,12 @@ def unresolved(p: Program, call_edge: DataFrame, handled: DataFrame | None = Non
     return left if handled is None else left.join(handled, "call_id", "left_anti")
 
 
+def function_reach(p: Program, call_edge: DataFrame) -> DataFrame:
+    """(src, dst): every function dst that some chain of calls leads to from function src, for all functions and edges."""
+    owner = p.node.select(F.col("node_id").alias("call_id"), F.col("func_id").alias("src"))
+    return closure(call_edge.join(owner, "call_id").select("src", F.col("callee_id").alias("dst")))
+
+
 def dependencies(pairs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """All queries that a query (src) depends on, directly or not."""
     return closure(pairs, "from_query", "to_query", asked)

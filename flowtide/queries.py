@@ -227,6 +227,13 @@ def taint_sinks(spark, d):
     return scans.sink_queries(tables.program(spark, d), sinks)
 
 
+@query()
+def whole_call_reach(spark, d):
+    """call_reach from all functions over all edges of resolve_calls."""
+    p = tables.program(spark, d)
+    return relations.function_reach(p, flows.resolve_calls(p)[0])
+
+
 # -- sets, maps, counts -------------------------------------------------------
 
 

@@ -2,11 +2,14 @@
 
 import datetime
 import random
+from types import SimpleNamespace
 
 import pytest
 
+from flowtide.operators import flows
 from flowtide.plans.fixpoint import closure_by_doubling
 from flowtide.queries import QUERIES
+from flowtide.sources import tables
 
 
 def reach(edges):
@@ -58,3 +61,16 @@ def test_closure_by_doubling(spark):
         edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(100 + i, 101 + i) for i in range(37)]
         got = closure_by_doubling(spark.createDataFrame(edges + edges[:3], "src long, dst long"))
         assert sorted(map(tuple, got.collect())) == sorted(reach(edges))
+
+
+def test_whole_call_reach(spark, monkeypatch):
+    """All functions are searched and no edge is dropped, whatever the ids."""
+    r = random.Random(11)
+    owner = {c: r.randint(1, 400) for c in range(300)}
+    edges = [(c, r.randint(1, 400)) for c in owner for _ in range(r.randint(0, 2))]
+    p = SimpleNamespace(node=spark.createDataFrame(list(owner.items()), "node_id long, func_id long"))
+    monkeypatch.setattr(tables, "program", lambda spark, d: p)
+    monkeypatch.setattr(flows, "resolve_calls", lambda p: (spark.createDataFrame(edges, "call_id long, callee_id long"), None))
+    want = sorted(reach((owner[c], f) for c, f in edges))
+    assert any(a >= 200 for a, _ in want)
+    assert sorted(map(tuple, QUERIES["whole_call_reach"](spark, "").collect())) == want
