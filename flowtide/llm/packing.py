@@ -14,6 +14,8 @@ empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import functools
+import re
 import zlib
 
 import numpy as np
@@ -26,6 +28,9 @@ from .words import NOT_SPACE, U, batches, buffers, mix
 
 LENGTH = 1024
 END = 0
+#: tiktoken's pattern overflows its stack on runs of white space of some 1,000,000 characters; texts with a run
+#: of so many go to `tokenizers`, which gives the same ids in more time.
+SPACE_RUN = 200_000
 #: Dimensions and bits of each.
 DIMS, BITS = 4, 12
 
@@ -97,10 +102,18 @@ def encoder(ranks_path: str, pattern: str, special: dict[str, int]):
     return lambda text: own.encode(text, allowed_special="all") if any(x in text for x in names) else own.encode_ordinary(text)
 
 
+def long_space(text: str, run: int = SPACE_RUN) -> bool:
+    """Whether some run of white space has `run` characters or more."""
+    return len(text) >= run and any(m.end() - m.start() >= run for m in re.finditer(r"\s+", text))
+
+
 def default_encoder():
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    return encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    fast = encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    whole = functools.cache(lambda: Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return lambda text: whole().encode(text, add_special_tokens=False).ids if long_space(text) else fast(text)
 
 
 class Layout:

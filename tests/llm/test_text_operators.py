@@ -240,6 +240,20 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_of_long_white_space(spark):
+    """Runs on which tiktoken's pattern overflows, alone, inside a text, and beside a special string."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rows = [[1, " " * 2_000_000], [2, "\n" * 2_000_000], [3, "a b" + "\t\r" * 600_000 + "c  d"], [4, "é" + " " * 199_999 + "<|endoftext|>"], [5, " " * 200_000 + "x"]]
+    want = {i: np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in rows}
+    got = packing.pack(frame(spark, rows)).collect()
+    assert {p.doc_id: p.doc_tokens for p in got} == {i: len(x) for i, x in want.items()}
+    assert sum(p.length for p in got) == sum(map(len, want.values()))
+    assert all(p.ids_crc32 == zlib.crc32(want[p.doc_id][p.start : p.start + p.length].tobytes()) for p in got)
+
+
 def test_hilbert():
     """The curve visits every cell once, a step of one at a time."""
     side = 8
