@@ -1,8 +1,9 @@
 """Language identification with a blended-spectrum string kernel.
 
-A text is the set of its byte n-grams of one to four bytes (A-Z lower-cased,
-blended over lengths, hashed to FEATURES). The kernel of two texts is the size of
-their common set over the geometric mean of their sizes. LANDMARKS labelled texts
+A stretch of a text is the set of its byte n-grams of one to four bytes (A-Z lower-cased,
+blended over lengths, hashed to FEATURES). The kernel of two stretches is the size of
+their common set over the geometric mean of their sizes; that of two texts is its mean
+over their stretches, so that a text of any length is scored whole and doesn't fill the cells. LANDMARKS labelled texts
 give the Nyström map; one-versus-rest kernel ridge regression is solved on it, and
 a batch is scored by two matrix products.
 
@@ -27,6 +28,8 @@ from .common import session, texts
 from .words import _LOWER, U, batches, buffers
 
 FEATURES, GRAMS = 1 << 13, (1, 2, 3, 4)
+#: Bytes of a stretch of a text at most, far fewer than would fill FEATURES, and stretches that are held at a time.
+STRETCH, PART = 1024, 1024
 #: Training texts of each language, landmarks in all, and the ridge.
 PER_LANG, LANDMARKS, RIDGE = 1000, 192, 1e-3
 #: Languages at most that one model tells apart; more is an error, never a silent cut.
@@ -39,21 +42,50 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-def presence(column: pa.Array) -> np.ndarray:
-    """texts x FEATURES, 1 where an n-gram of that hash occurs."""
+def presence(column: pa.Array, stretch: int = STRETCH):
+    """Parts of the column's stretches: (text of each stretch, stretches x FEATURES, 1 where an n-gram of that hash starts).
+
+    A text is cut into as few stretches of about the same size as have `stretch` bytes at most; an n-gram belongs to
+    the stretch in which it starts, so that none is lost. A part has some stretches at a time, to bound memory.
+    """
     data, offsets = buffers(column)
-    data = _LOWER[data].astype(np.uint32)
-    size = np.diff(offsets)
-    out = np.zeros((len(size), FEATURES), np.uint8)
-    row = np.repeat(np.arange(len(size), dtype=np.int64) * FEATURES, size)
-    end = np.repeat(offsets[1:], size)
-    code = np.zeros(len(data), np.uint32)
-    for n in GRAMS:
-        code = code[: len(data) - n + 1] | data[n - 1 :] << np.uint32(8 * (n - 1)) if len(data) >= n else code[:0]
-        hashed = (code.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(n * 0x632BE59BD9B4E019 % 2**64)) * U(0xD6E8FEB86659FD93) >> U(64 - 13)
-        inside = np.arange(n, len(code) + n) <= end[: len(code)]
-        out.reshape(-1)[row[: len(code)][inside] + hashed[inside].astype(np.int64)] = 1
-    return out
+    size = np.diff(offsets).astype(np.int64)
+    n = np.maximum(-(-size // stretch), 1)
+    text = np.repeat(np.arange(len(size)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.append(offsets[:-1][text] + k * size[text] // n[text], offsets[-1]).astype(np.int64)
+    for at in range(0, len(text), PART):
+        own = slice(at, min(at + PART, len(text)))
+        low, high = start[own.start], start[own.stop]
+        # the last n-grams of the part reach into what follows it in the text
+        piece = _LOWER[data[low : min(high + max(GRAMS) - 1, len(data))]].astype(np.uint32)
+        out = np.zeros((own.stop - at, FEATURES), np.uint8)
+        bytes_of = np.diff(start[own.start : own.stop + 1])
+        row = np.repeat(np.arange(len(out), dtype=np.int64) * FEATURES, bytes_of)
+        end = np.repeat(offsets[1:][text[own]].astype(np.int64) - low, bytes_of)
+        code = np.zeros(len(piece), np.uint32)
+        for g in GRAMS:
+            code = code[: len(piece) - g + 1] | piece[g - 1 :] << np.uint32(8 * (g - 1)) if len(piece) >= g else code[:0]
+            hashed = (code.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(g * 0x632BE59BD9B4E019 % 2**64)) * U(0xD6E8FEB86659FD93) >> U(64 - 13)
+            m = min(len(code), len(row))
+            inside = np.arange(g, m + g) <= end[:m]
+            out.reshape(-1)[row[:m][inside] + hashed[:m][inside].astype(np.int64)] = 1
+        yield text[own], out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float32) / np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float32), 1))[:, None]
+
+
+def means(column: pa.Array, of=None, width: int = FEATURES) -> np.ndarray:
+    """For each text the mean over its stretches of their unit rows, or of what the linear map `of` makes of them."""
+    total, n = np.zeros((len(column), width), np.float32 if of is None else np.float64), np.zeros(len(column))
+    for text, x in presence(column):
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        rows = unit(x) if of is None else of(unit(x))
+        total[text[first]] += np.add.reduceat(rows, first, axis=0)
+        n[text[first]] += np.diff(np.append(first, len(text)))
+    return total / np.maximum(n, 1)[:, None].astype(total.dtype)
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
@@ -68,19 +100,17 @@ def has_letter(column: pa.Array) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    landmarks: np.ndarray  # landmarks x FEATURES, each row divided by the root of its size
+    landmarks: np.ndarray  # landmarks x FEATURES, means of unit rows
     weights: np.ndarray  # landmarks x langs
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        size = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float32), 1))
-        return (x.astype(np.float32) @ self.landmarks.T) / size[:, None] @ self.weights
+    def scores(self, column: pa.Array) -> np.ndarray:
+        return means(column, lambda x: x @ self.landmarks.T @ self.weights, len(self.langs))
 
 
-def solve(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nyström kernel ridge regression on presence rows x."""
+def solve(unit: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Nyström kernel ridge regression on the texts' means of unit rows."""
     langs = sorted(set(labels))
     y = np.array([langs.index(v) for v in labels])
-    unit = x.astype(np.float32) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None].astype(np.float32)
     per = max(1, landmarks // len(langs))
     chosen = np.concatenate([np.flatnonzero(y == i)[:per] for i in range(len(langs))])
     marks = unit[chosen]
@@ -94,6 +124,20 @@ def solve(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: f
     return Model(langs, marks, (whiten @ np.linalg.solve(gram, (phi * weight[:, None]).T @ target)).astype(np.float32))
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """Bits where all that is not zero is equal, as in texts of one stretch; else half floats of the row over its largest cell."""
+    most = row.max()
+    if ((row == 0) | (row == most)).all():
+        return np.packbits(row > 0).tobytes()
+    return np.float32(most).tobytes() + (row / most).astype(np.float16).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if len(data) == FEATURES // 8:
+        return unit(np.unpackbits(np.frombuffer(data, np.uint8))[None])[0]
+    return np.frombuffer(data[4:], np.float16).astype(np.float32) * np.frombuffer(data[:4], np.float32)[0]
+
+
 def fit(docs: DataFrame, learn, per_lang: int = PER_LANG) -> Model | None:
     """learn: condition on docs (doc_id, text, lang) of rows that may be learnt from."""
     ranked = Window.partitionBy("lang").orderBy("h", "doc_id")
@@ -109,12 +153,11 @@ def fit(docs: DataFrame, learn, per_lang: int = PER_LANG) -> Model | None:
     wanted = docs.sparkSession.createDataFrame(ids, "doc_id long")
 
     def features(it):
-        for batch in batches(it, "text", 4 << 20):
-            yield pa.record_batch({"lang": batch["lang"], "h": batch["h"], "x": pa.array([r.tobytes() for r in np.packbits(presence(batch["text"]), axis=1)], pa.binary())})
+        for batch in batches(it, "text", 1 << 20):
+            yield pa.record_batch({"lang": batch["lang"], "h": batch["h"], "x": pa.array([_packed(r) for r in means(batch["text"])], pa.binary())})
 
     got = rows.join(F.broadcast(wanted), "doc_id").select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(features, "lang string, h long, x binary").toPandas().sort_values(["h", "lang"])
-    x = np.unpackbits(np.frombuffer(b"".join(got.x), np.uint8).reshape(len(got), -1), axis=1)
-    return solve(x, got.lang.tolist())
+    return solve(np.stack([_unpacked(r) for r in got.x]), got.lang.tolist())
 
 
 def language_id(docs: DataFrame, learn, held_out, per_lang: int = PER_LANG) -> DataFrame:
@@ -129,7 +172,7 @@ def language_id(docs: DataFrame, learn, held_out, per_lang: int = PER_LANG) -> D
             known = has_letter(batch["text"])
             names, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             if m is not None and known.any():
-                s = SHARPNESS * m.scores(presence(batch["text"])).astype(np.float64)
+                s = SHARPNESS * m.scores(batch["text"])
                 p = np.exp(s - s.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 names[known] = np.array(m.langs, object)[p.argmax(axis=1)[known]]

@@ -117,6 +117,39 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.language_id(df.withColumn("lang", F.lit(None).cast("string")), remainder(5) != 0, remainder(5) == 0).collect()} == {"und"}
 
 
+def test_language_of_long_texts(spark):
+    """Megabyte texts of many words, which differ between languages only in how often letters follow each other."""
+    r = np.random.default_rng(12)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    odds = {lang: r.dirichlet(np.full(26, 0.6), 26) + 0.004 for lang in ("aa", "bb", "cc")}
+
+    def text(lang, n):
+        steps = (odds[lang] / odds[lang].sum(axis=1, keepdims=True)).cumsum(axis=1)
+        at, out, draws, ends = 0, [], r.random(n), r.random(n) < 0.18
+        for x, end in zip(draws.tolist(), ends.tolist(), strict=True):
+            at = min(int(np.searchsorted(steps[at], x)), 25)
+            out.append(letters[at] + " " * end)
+        return "".join(out)
+
+    rows = [(i, text(lang, int(r.integers(80, 600 if lang == "aa" else 6000))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    long = [(1000 + i, text(lang, 1_000_000), lang) for i, lang in enumerate(["aa", "bb", "cc"])]
+    df = spark.createDataFrame(rows + long, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language_id.language_id(df, F.col("doc_id") < 1000, F.col("doc_id") >= 1000).collect()}
+    assert [(i, got[i].lang_pred) for i, _, _ in long] == [(i, lang) for i, _, lang in long]
+    assert all(got[i].score > 0.9 for i, _, _ in long)
+
+
+def test_stretches_lose_no_ngram():
+    import pyarrow as pa
+
+    column = pa.array(["", "ab", "héllo wörld " * 50, None, "xyz" * 7], pa.string())
+    whole, parts = np.zeros((5, language_id.FEATURES), bool), np.zeros((5, language_id.FEATURES), bool)
+    for into, stretch in ((whole, 1 << 20), (parts, 5)):
+        for at, x in language_id.presence(column, stretch):
+            np.logical_or.at(into, at, x > 0)
+    assert (whole == parts).all() and whole[1].sum() == 3 and not whole[[0, 3]].any()
+
+
 def test_quality(spark):
     rows = documents()
     df = spark.createDataFrame([(i, t, 0.5) for i, t, _, _ in rows] + [(2000, None, 0.1), (2001, "", 0.1), (None, "x", 0.1)], "doc_id long, text string, score double")
