@@ -182,15 +182,16 @@ def _block(docs: DataFrame, items: DataFrame, window: int, shingle: int):
     return docs.sparkSession.sparkContext.broadcast(Prefixes(w, _rarity(docs, w)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_block: int = MAX_BLOCK) -> DataFrame:
-    """For each document: n_words, n_hit, n_items, items_sha256, contaminated and item_ids (sorted as strings)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_block: int = MAX_BLOCK, carry: str | None = None) -> DataFrame:
+    """For each document: n_words, n_hit, n_items, items_sha256, contaminated and item_ids (sorted as strings), and the binary column `carry`."""
     session(docs)
-    docs = texts(docs)
+    carried = (carry,) if carry else ()
+    docs = texts(docs, carry=carried)
     items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = 1 + size // max_block
     if n > 1:
-        return _in_blocks(docs, items, window, shingle, 2 * n)
+        return _in_blocks(docs, items, window, shingle, 2 * n, carried)
     shared = _block(docs, items, window, shingle)
 
     def rows(it):
@@ -205,24 +206,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             found: list[set] = [set() for _ in range(batch.num_rows)]
             for d, e in set(zip(np.searchsorted(words.first, start, "right") - 1, entry, strict=True)):
                 found[d].update(prefixes.items[e])
-            yield _result(batch["doc_id"], counts, n_hit, [sorted(x) for x in found])
+            yield _result(batch, counts, n_hit, [sorted(x) for x in found], carried)
 
-    return docs.mapInArrow(rows, ROW)
+    return docs.mapInArrow(rows, ROW + "".join(f", {c} binary" for c in carried))
 
 
-def _result(ids: pa.Array, counts, n_hit, items: list[list[str]]) -> pa.RecordBatch:
+def _result(batch: pa.RecordBatch, counts, n_hit, items: list[list[str]], carried: tuple[str, ...] = ()) -> pa.RecordBatch:
     return pa.record_batch({
-        "doc_id": ids,
+        "doc_id": batch["doc_id"],
         "n_words": pa.array(counts, pa.int64()),
         "n_hit": pa.array(n_hit, pa.int64()),
         "n_items": pa.array([len(x) for x in items], pa.int64()),
         "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
         "contaminated": pa.array(np.asarray(n_hit) > 0, pa.bool_()),
         "item_ids": pa.array(items, pa.list_(pa.string())),
-    })
+    } | {c: batch[c] for c in carried})
 
 
-def _in_blocks(docs: DataFrame, items: DataFrame, window: int, shingle: int, n: int) -> DataFrame:
+def _in_blocks(docs: DataFrame, items: DataFrame, window: int, shingle: int, n: int, carried: tuple[str, ...] = ()) -> DataFrame:
     """As decontaminate, for a benchmark in n blocks: the hits of each row are gathered over the blocks, one entry each."""
     docs = cut(docs.withColumn("row", F.monotonically_increasing_id()))
     found = None
@@ -253,6 +254,6 @@ def _in_blocks(docs: DataFrame, items: DataFrame, window: int, shingle: int, n:
                     for a, size in np.frombuffer(blob, np.int64).reshape(-1, 2).tolist():
                         hit[a : a + size] = True
                 n_hit.append(int(hit.sum()))
-            yield _result(batch["doc_id"], counts, n_hit, [x or [] for x in batch["ids"].to_pylist()])
+            yield _result(batch, counts, n_hit, [x or [] for x in batch["ids"].to_pylist()], carried)
 
-    return docs.join(gathered, "row", "left").select("doc_id", "text", "spans", "ids").mapInArrow(final, ROW)
+    return docs.join(gathered, "row", "left").select("doc_id", "text", "spans", "ids", *carried).mapInArrow(final, ROW + "".join(f", {c} binary" for c in carried))

@@ -209,15 +209,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", train
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, learn, held_out, label: str = "quality", train: int = TRAIN) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; learn and held_out are conditions on doc_id."""
+def quality(docs: DataFrame, labels: DataFrame, learn, held_out, label: str = "quality", train: int = TRAIN, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted (and the binary column `carry`) of every row; learn and held_out are conditions on doc_id."""
     spark = session(docs)
-    docs = texts(docs)
+    carried = (carry,) if carry else ()
+    docs = texts(docs, carry=carried)
     model = spark.sparkContext.broadcast(fit(docs, labels, learn, label, train))
 
     def rows(it):
         for batch in batches(it, "text", 4 << 20):
             score = model.value.score(batch["text"])
-            yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(score.astype(np.float64)), "predicted": pa.array((score >= 0.5).astype(np.int32))})
+            yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(score.astype(np.float64)), "predicted": pa.array((score >= 0.5).astype(np.int32))} | {c: batch[c] for c in carried})
 
-    return docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))).mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int" + "".join(f", {c} binary" for c in carried))

@@ -188,19 +188,20 @@ def asks(batched: DataFrame, bits: int, window: int = WINDOW) -> DataFrame:
     return batched.groupBy("batch").applyInArrow(one, RUN_SCHEMA)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, bits: int | None = None, batch_bytes: int = BATCH_BYTES, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, bits: int | None = None, batch_bytes: int = BATCH_BYTES, with_text: bool = True, carry: str | None = None) -> DataFrame:
     """Removes every word in a window of `window` words that also starts in an earlier document.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text:
+    Returns doc_id, n_words, n_removed, kept_sha256, the binary column `carry` and, with_text, kept_text:
     the original text where nothing was removed, else the kept words joined by
     one space. `history` has the runs of earlier increments, made with the same
     `bits`; all its documents count as earlier.
     """
     spark = session(docs)
-    batched, n = in_batches(texts(docs), batch_bytes)
+    carried = (carry,) if carry else ()
+    batched, n = in_batches(texts(docs, carry=carried), batch_bytes)
     if bits is None:
         bits = max(0, (max(n, partitions(spark)) - 1).bit_length())
-    asked = asks(batched, bits, window)
+    asked = asks(batched.drop(*carried), bits, window)
     if history is not None:
         asked = asked.unionByName(history.select("range", F.lit(-1).cast("long").alias("batch"), "keys", "checks"))
     answers = asked.groupBy("range").applyInArrow(_answers, "batch long, range long, seen binary")
@@ -229,10 +230,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, history: DataFrame |
             digests.append(hashlib.sha256(text).hexdigest())
             if with_text:
                 out.append(bytes(text).decode("utf-8", "replace") if removed[i] else left["text"][i].as_py())
-        result = {"doc_id": left["doc_id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        result = {"doc_id": left["doc_id"], "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())} | {c: left[c] for c in carried}
         return pa.table(result | ({"kept_text": pa.array(out, pa.string())} if with_text else {}))
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + "".join(f", {c} binary" for c in carried) + (", kept_text string" if with_text else "")
     return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(final, schema)
 
 

@@ -1,0 +1,61 @@
+"""Stages of the pipeline on null and repeated ids and on empty texts."""
+
+import pytest
+
+import corpus_pipeline as stages
+from flowtide.llm import quality
+
+PASSAGE = " ".join(f"shared{i}" for i in range(15))
+PLAIN = [" ".join(f"{c}{i * i}" for i in range(30)) for c in "abcdefg"]
+DOCS = "doc_id long, text string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, s, len(t) if t is not None else None) for i, t, s in rows], DOCS)
+
+
+def rows(df):
+    assert df.columns == [c.split()[0] for c in DOCS.split(", ")]
+    return sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=str)
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_near_dedup(spark, folder):
+    clean = [(None, PLAIN[0], "s"), (None, PLAIN[1], "s"), (5, PLAIN[2], "s"), (3, PLAIN[3], "s"), (None, None, "s")]
+    copies = [(5, PLAIN[3], "s"), (None, PLAIN[2], "s"), (3, PLAIN[3], "s"), (None, PLAIN[0], "s"), (None, "", "s")]
+    got = rows(stages.near_dedup_stage(spark, frame(spark, copies + clean), folder))
+    assert [x for x in got if x[1]] == sorted((x for x in clean if x[1]), key=str)
+    assert len([x for x in got if not x[1]]) == 1
+
+
+def test_substring(spark, folder):
+    first = (1, f"{PLAIN[0]} {PASSAGE}", "s")
+    kept = [first, (None, PLAIN[1], "a"), (None, None, "b"), (4, "", "c"), (4, None, "d"), (7, PLAIN[2], "e"), (7, PLAIN[2], "f"), (7, PLAIN[3], "g"), (8, "  ", "h")]
+    cut = [(7, f"{PASSAGE} {PLAIN[4]}", "i"), (None, f"{PLAIN[5]} {PASSAGE}", "j")]
+    gone = [(9, PASSAGE, "k"), (None, PASSAGE, "l")]
+    want = [*kept, (7, PLAIN[4], "i"), (None, PLAIN[5], "j")]
+    assert rows(stages.substring_stage(spark, frame(spark, kept + cut + gone), folder)) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_decontamination(spark, folder, monkeypatch, blocks):
+    if blocks:
+        whole = stages.decontaminate
+        monkeypatch.setattr(stages, "decontaminate", lambda *a, **k: whole(*a, max_block=100, **k))
+    kept = [(None, PLAIN[0], "s"), (5, PLAIN[1], "s"), (5, PLAIN[1], "s"), (None, None, "s"), (6, "", "s")]
+    gone = [(None, f"{PLAIN[2]} {PASSAGE}", "s"), (5, f"{PASSAGE} {PLAIN[3]}", "s")]
+    assert rows(stages.decontamination_stage(spark, frame(spark, kept + gone), folder)) == sorted(kept, key=str)
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_quality(spark, folder, monkeypatch, share):
+    """What the classifier says holds for rows without an id too."""
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: quality.Constant(share))
+    every = [(None, "some", "s"), (5, "some", "s"), (5, "other", "s"), (None, None, "s"), (6, "", "s"), (6, "", "s")]
+    assert rows(stages.quality_stage(spark, frame(spark, every), folder)) == (sorted(every, key=str) if share else [])
