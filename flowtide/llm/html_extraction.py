@@ -7,12 +7,12 @@ bidirectional LSTM in numpy passes over the whole page both ways, so that every
 block is classified with the document around it; blocks labelled as article are
 joined.
 
-The labeller is trained when the query starts, from a fixed seed, on generated
+The labeller is trained once per driver, when it is first needed, from a fixed seed, on generated
 pages that hold the kinds of blocks a page has: it needs no labelled corpus and
 is the same every time. TRAIN_PAGES bounds it.
 
 Cases: null or empty html has no blocks and an empty text; broken markup is read
-as far as it goes; pages of any number of blocks are read whole; repeated rows are
+as far as it goes; pages of any number of blocks are read whole, a stretch at a time; repeated rows are
 extracted each; an empty table gives no rows.
 """
 
@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Path, blocks
 from .words import U, batches, split
 
 PATH, WORDS, MEASURES, HIDDEN = 96, 24, 8, 16
 SIZE = PATH + WORDS + MEASURES
 #: Generated pages, passes over them and pages of a step.
-TRAIN_PAGES, EPOCHS, STEP = 600, 14, 16
+TRAIN_PAGES, EPOCHS, STEP = 900, 12, 16
 #: Blocks that are passed through the network at once.
 CHUNK = 24_000
 
@@ -43,20 +43,28 @@ CHUNK = 24_000
 
 
 @functools.lru_cache(100_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _level(names: tuple[str, ...]) -> np.ndarray:
+    """Hashed names of one element."""
     v = np.zeros(PATH, np.float32)
-    for name in path:
+    for name in names:
         h = zlib.crc32(name.encode())
         v[h % PATH] += 1 if h >> 16 & 1 else -1
-    if path:
-        last = max((i for i, n in enumerate(path) if n[0] != "."), default=0)
-        h = zlib.crc32(("last " + path[last]).encode())
-        v[h % PATH] += 1 if h >> 16 & 1 else -1
     return v
 
 
-def features(pages: list[list[Block]]) -> np.ndarray:
-    """A row for each block of all pages, in order."""
+def _path_vector(path: Path) -> np.ndarray:
+    """The sum over all levels, and the innermost element once more under a name of its own."""
+    waiting, at = [], path
+    while at is not None and at.vector is None:
+        waiting.append(at)
+        at = at.around
+    for at in reversed(waiting):
+        at.vector = _level(at.names) if at.around is None else at.around.vector + _level(at.names)
+    return path.vector + _level(("last " + path.names[0],)) if path.names else path.vector
+
+
+def features(pages: list[list[Block]], places: np.ndarray | None = None) -> np.ndarray:
+    """A row for each block of all pages, in order; places: where in its page (0 to 1) each block stands, if the pages are parts of some."""
     every = [b for page in pages for b in page]
     out = np.zeros((len(every), SIZE), np.float32)
     if not every:
@@ -76,7 +84,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     out[:, m + 2] = [b.text[-1] in ".!?:" for b in every]
     out[:, m + 3] = ["©" in b.text for b in every]
     out[:, m + 4] = np.minimum(n, 12) / 12
-    out[:, m + 5] = np.concatenate([np.linspace(0, 1, len(p)) for p in pages if p])
+    out[:, m + 5] = np.concatenate([np.linspace(0, 1, len(p)) for p in pages if p]) if places is None else places
     out[:, m + 6] = 1
     out[:, m + 7] = size > 120
     return out
@@ -89,14 +97,16 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool):
-    """One direction of the LSTM over x (time, pages, size); mask stops the state at the end of a page."""
+def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool, state: list | None = None):
+    """One direction of the LSTM over x (time, pages, size); mask stops the state at the end of a page.
+
+    state: where the last call over the same pages ended (two arrays); it is moved on.
+    """
     steps, pages, _ = x.shape
     wx, wh = w[: x.shape[2]], w[x.shape[2] :]
     drive = x.reshape(steps * pages, -1) @ wx + b
     drive = drive.reshape(steps, pages, -1)
-    h = np.zeros((pages, HIDDEN), x.dtype)
-    c = np.zeros_like(h)
+    h, c = state or (np.zeros((pages, HIDDEN), x.dtype), np.zeros((pages, HIDDEN), x.dtype))
     out, trace = np.zeros((steps, pages, HIDDEN), x.dtype), []
     for t in range(steps):
         z = drive[t] + h @ wh
@@ -109,6 +119,8 @@ def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bo
         c = np.where(on, new, c)
         h = np.where(on, o * np.tanh(new), h)
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out, trace
 
 
@@ -158,13 +170,30 @@ class Labeller:
         b, _ = _run(back, mask, wb, bb, False)
         return np.concatenate([np.concatenate([a[:n, p], b[:n, p][::-1]], axis=1) for p, n in enumerate(lengths)]) @ wo + bo
 
-    def article(self, pages: list[list[Block]]) -> list[list[bool]]:
+    def long_logits(self, page: list[Block], chunk: int) -> np.ndarray:
+        """As logits, of one page, `chunk` blocks at a time: the state of each direction is carried on, a number a block is kept."""
+        wf, bf, wb, bb, wo, bo = self.parts
+        places = np.linspace(0, 1, len(page))
+        out = np.full(len(page), bo[0])
+        starts = range(0, len(page), chunk)
+        for w, b, own, step in ((wf, bf, wo[:HIDDEN], 1), (wb, bb, wo[HIDDEN:], -1)):
+            state = [np.zeros((1, HIDDEN), np.float32)] * 2
+            for at in starts[::step]:
+                rows = features([page[at : at + chunk]], places[at : at + chunk])[::step, None]
+                got, _ = _run(rows, np.ones((len(rows), 1), bool), w, b, False, state)
+                out[at : at + chunk] += (got[:, 0] @ own)[::step]
+        return out
+
+    def article(self, pages: list[list[Block]], chunk: int = CHUNK) -> list[list[bool]]:
         """For each page, which of its blocks belong to the article."""
         out: list[list[bool]] = [[] for _ in pages]
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
         while order:
             now = [order.pop()]
-            while order and (len(now) + 1) * len(pages[now[0]]) <= CHUNK:
+            if len(pages[now[0]]) > chunk:
+                out[now[0]] = (self.long_logits(pages[now[0]], chunk) > 0).tolist()
+                continue
+            while order and (len(now) + 1) * len(pages[now[0]]) <= chunk:
                 now.append(order.pop())
             lengths = [len(pages[i]) for i in now]
             scores = self.logits(features([pages[i] for i in now]), lengths)
@@ -175,6 +204,7 @@ class Labeller:
         return out
 
 
+@functools.cache
 def train(seed: int = 5, pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Labeller:
     r = np.random.default_rng(seed)
     made = [generate(seed * 100_003 + i) for i in range(pages)]
@@ -307,11 +337,13 @@ def generate(seed: int) -> tuple[list[Block], np.ndarray]:
         if r.random() < 0.1:
             inside.append(comments())
         body = "".join(inside)
-        return r.choice([f"<article>{body}</article>"] * 4 + [f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div{cls('content', 'post', 'entry', 'article', 'story', 'main', 'post-content', 'article-body')}>{body}</div>", f"<div>{body}</div>"])
+        return r.choice([f"<article>{body}</article>"] * 4 + [f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div{cls('content', 'post', 'entry', 'article', 'story', 'main', 'post-content', 'article-body')}>{body}</div>", f"<div>{body}</div>", body])
 
     page = [r.choice([menu, header, advert, notice, form, sidebar])() for _ in range(r.randint(0, 4))] + [article()] + [r.choice([sidebar, advert, comments, notice, form, menu])() for _ in range(r.randint(0, 3))] + [footer()] * (r.random() < 0.9)
     if r.random() < 0.2:
         page = [f"<div{cls('wrapper', 'container', 'page')}>", *page, "</div>"]
+    if r.random() < 0.04:
+        page = [article()]  # a page of nothing else
     found = blocks(f"<html><head><title>{say(2, 6)}</title></head><body>{''.join(page)}</body></html>")
     gold = np.array([mark in b.text for b in found], np.float32)
     return [Block(b.text.replace(mark, ""), b.path, b.linked) for b in found], gold

@@ -20,7 +20,7 @@ def labeller():
 
 def test_blocks():
     html = '<p>a &amp; b<br>c</p><script>var t="</p>";</script><ul><li>x<li><a href=1>y</a></ul><!-- <p>no</p> --><div class="ad top" id=q>z&nbsp;  &#233;</div><p>open'
-    assert [(b.text, b.path) for b in blocks(html)] == [("a & b c", ("p",)), ("x", ("ul", "li")), ("y", ("ul", "li")), ("z é", ("div", ".ad", ".top", ".q")), ("open", ("p",))]
+    assert [(b.text, b.path.all_names()) for b in blocks(html)] == [("a & b c", ("p",)), ("x", ("ul", "li")), ("y", ("ul", "li")), ("z é", ("div", ".ad", ".top", ".q")), ("open", ("p",))]
     assert blocks(None) == blocks("") == blocks("<br><p></p>") == []
     assert [b.text for b in blocks("a < b <c d='>'>e</c> <!-- never closed")] == ["a < b e"]
 
