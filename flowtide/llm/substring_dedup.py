@@ -3,19 +3,23 @@
 The fingerprint space is cut into ranges by its top bits. Each range of the
 index is a set of sorted immutable runs; documents arrive as batches in doc_id
 order, every batch is merge-joined with the runs of its range, matches are
-verified by a second independent digest, and what is new becomes a run of its
+verified, and what is new becomes a run of its
 own. Runs of like size are compacted. A compacted index can be stored and given
 to a later increment as `history`.
 
+A window is known by 96 bits: a 64-bit key, and 32 bits of a second digest that verify it.
+Both are made of digests of whole words, the two of independent halves of each word's XXH3-128. Among 10**13
+different windows, about what 100 TB hold, the chance that any two agree in all bits is below 0.1 %.
+
 Only packed fingerprints and bitmaps travel between the documents and the
 index: a batch asks each range once for its distinct windows, so a window that
-a third of all documents share costs one entry per batch.
-
-An increment is cut into at most MAX_BATCHES batches of about BATCH_BYTES; larger
-corpora are given as several increments with the index as history.
+a third of all documents share costs one entry per batch. Batches hold BATCH_BYTES each, in large corpora
+up to MOST_BYTES, and the number of ranges grows with the windows, so that tasks stay
+as small in a corpus of any size.
 
 Cases: null text has no words; repeated rows of one doc_id are one document
-for the purpose of "earlier"; a null doc_id is later than every other; texts of
+for the purpose of "earlier", and stand in one batch; a null doc_id is later than every other, and null ones take
+nothing from each other; texts of
 fewer words than a window lose nothing; an empty table gives an empty result.
 """
 
@@ -32,10 +36,14 @@ from .common import partitions, session, texts
 from .words import U, Words, inner_starts, split, windows
 
 WINDOW = 13
-BATCH_BYTES, MAX_BATCHES = 6 << 20, 16384
-#: Index ranges per increment, as a power of two, grow with the batches: a range then holds some MB.
-LAST = np.iinfo(np.int64).max
-
+#: Bytes of text of a batch: as many as give BATCHES of them, between these bounds.
+BATCH_BYTES, MOST_BYTES, BATCHES = 6 << 20, 32 << 20, 4096
+#: Windows of a range of the index, about, and bytes of text for each window.
+RANGE_WINDOWS, WORD_BYTES = 8 << 20, 6
+#: Null doc_ids come last, in batches from NULLS on.
+LAST, NULLS = np.iinfo(np.int64).max, 1 << 40
+
+CHECK = np.uint32
 RUN_SCHEMA = "range long, batch long, keys binary, checks binary"
 
 
@@ -59,12 +67,12 @@ class Batch:
     def __init__(self, table: pa.Table, window: int):
         ids = table["doc_id"].to_numpy(zero_copy_only=False) if not table["doc_id"].null_count else table["doc_id"].fill_null(LAST).to_numpy()
         self.words: Words = split(table["text"])
-        hashes = self.words.hashes()
-        self.at = np.flatnonzero(inner_starts(self.words, window)[: max(0, len(hashes) - window + 1)])
-        key = windows(hashes, window)[self.at]
-        check = (windows(hashes, window, 0x9FB21C651E98DF25)[self.at] >> U(48)).astype(np.uint16)
+        first, second = self.words.digests()
+        self.at = np.flatnonzero(inner_starts(self.words, window)[: max(0, len(first) - window + 1)])
+        key = windows(first, window)[self.at]
+        check = (windows(second, window, 0x9FB21C651E98DF25)[self.at] >> U(32)).astype(CHECK)
         doc = ids.astype(np.int64)[np.repeat(np.arange(table.num_rows), self.words.counts())[self.at]]
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((check, key))
         key, check, doc = key[order], check[order], doc[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
@@ -95,8 +103,13 @@ class Runs:
     def seen(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), bool)
         for have, verify in self.runs:
-            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-            found |= (have[at] == keys) & (verify[at] == checks)
+            at = np.searchsorted(have, keys)
+            left = np.flatnonzero(at < len(have))
+            while len(left):  # equal keys stand together; one step, unless different windows share a key
+                left = left[have[at[left]] == keys[left]]
+                found[left] |= verify[at[left]] == checks[left]
+                at[left] += 1
+                left = left[~found[left] & (at[left] < len(have))]
         return found
 
     def add(self, keys: np.ndarray, checks: np.ndarray) -> None:
@@ -118,7 +131,7 @@ class Runs:
 
 def _ordered(table: pa.Table):
     for row in np.argsort(table["batch"].to_numpy(), kind="stable").tolist():
-        yield table["batch"][row].as_py(), unpack(table["keys"][row].as_py()), np.frombuffer(table["checks"][row].as_py(), np.uint16)
+        yield table["batch"][row].as_py(), unpack(table["keys"][row].as_py()), np.frombuffer(table["checks"][row].as_py(), CHECK)
 
 
 def _answers(key, table):
@@ -126,7 +139,8 @@ def _answers(key, table):
     runs, batches, bits = Runs(), [], []
     for batch, keys, checks in _ordered(table):
         seen = runs.seen(keys, checks)
-        runs.add(keys[~seen], checks[~seen])
+        if batch < NULLS:
+            runs.add(keys[~seen], checks[~seen])
         if batch >= 0:
             batches.append(batch)
             bits.append(np.packbits(seen).tobytes())
@@ -139,7 +153,7 @@ def _merged(key, table):
         seen = runs.seen(keys, checks)
         runs.add(keys[~seen], checks[~seen])
     runs.compact()
-    keys, checks = runs.runs[0] if runs.runs else (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+    keys, checks = runs.runs[0] if runs.runs else (np.zeros(0, np.uint64), np.zeros(0, CHECK))
     return pa.table({"range": pa.array([key[0].as_py()], pa.int64()), "batch": pa.array([-1], pa.int64()), "keys": pa.array([pack(keys)], pa.binary()), "checks": pa.array([checks.tobytes()], pa.binary())})
 
 
@@ -154,21 +168,63 @@ def compact(*runs: DataFrame) -> DataFrame:
 # -- documents ----------------------------------------------------------------
 
 
-def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """Documents with a batch number that ascends with doc_id; batches hold about as many bytes each.
-
-    Only the bounds of the batches, at most MAX_BATCHES numbers, come to the driver.
-    """
-    weight = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 65536).cast("int")
-    sizes = docs.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(0), weight)).alias("part"))
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = min(MAX_BATCHES, 1 + total // batch_bytes)
-    bounds: list[int] = []
-    if n > 1:
-        cuts = [i / n for i in range(1, n)]
-        bounds = sorted(set(sizes.agg(F.percentile_approx("doc_id", cuts, max(10_000, 50 * n))).first()[0] or []))
-    batch = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    return docs.withColumn("batch", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(batch).cast("long")), len(bounds) + 1
+def _bounds(docs: DataFrame, batch_bytes: int) -> np.ndarray:
+    """The first doc_id of every batch but the first. A range of narrow rows is summed up by a task; one number a batch comes to the driver."""
+    narrow = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+
+    def firsts(it):
+        """(first doc_id, bytes) of runs of doc_ids with batch_bytes at most, or one larger document."""
+        out = [[None, 0]]
+        now, own = None, 0  # the doc_id that is being summed up
+
+        def add():
+            if out[-1][0] is None:
+                out[-1][0] = now
+            elif out[-1][1] + own > batch_bytes:
+                out.append([now, 0])
+            out[-1][1] += own
+
+        for batch in it:
+            ids, sizes = batch["doc_id"].to_numpy(), batch["size"].to_numpy()
+            at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+            for i, size in zip(ids[at].tolist(), np.add.reduceat(sizes, at).tolist() if len(at) else (), strict=True):
+                if i != now:
+                    if now is not None:
+                        add()
+                    now, own = i, 0
+                own += size
+        if now is not None:
+            add()
+            yield pa.record_batch({"doc_id": pa.array([x for x, _ in out], pa.int64()), "size": pa.array([n for _, n in out], pa.int64())})
+
+    ranges = narrow.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    found = sorted(map(tuple, ranges.mapInArrow(firsts, "doc_id long, size long").collect()))
+    out, size = [], 0
+    for i, (first, own) in enumerate(found):
+        if i and size + own > batch_bytes:
+            out.append(first)
+            size = 0
+        size += own
+    return np.array(out, np.int64)
+
+
+def in_batches(docs: DataFrame, batch_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """Documents with a batch number that ascends with doc_id, and the bytes of all texts; a batch holds batch_bytes at most or one document."""
+    size = F.sum(F.octet_length("text").cast("long"))
+    total, of_nulls = docs.agg(F.coalesce(size, F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text").cast("long"))), F.lit(0))).first()
+    batch_bytes = batch_bytes or min(MOST_BYTES, max(BATCH_BYTES, total // BATCHES))
+    bounds = docs.sparkSession.sparkContext.broadcast(_bounds(docs, batch_bytes))
+    columns = [c for c in docs.columns if c != "batch"]
+
+    def rows(it):
+        for batch in it:
+            ids = batch["doc_id"].fill_null(LAST).to_numpy()
+            number = np.where(batch["doc_id"].is_null().to_numpy(zero_copy_only=False), NULLS + batch["part"].to_numpy(), np.searchsorted(bounds.value, ids, "right"))
+            yield pa.record_batch([*(batch[c] for c in columns), pa.array(number)], [*columns, "batch"])
+
+    parted = docs.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(1 + of_nulls // batch_bytes)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", batch long"
+    return parted.mapInArrow(rows, schema), total
 
 
 def asks(batched: DataFrame, bits: int, window: int = WINDOW) -> DataFrame:
@@ -188,7 +244,7 @@ def asks(batched: DataFrame, bits: int, window: int = WINDOW) -> DataFrame:
     return batched.groupBy("batch").applyInArrow(one, RUN_SCHEMA)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, bits: int | None = None, batch_bytes: int = BATCH_BYTES, with_text: bool = True, carry: str | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, bits: int | None = None, batch_bytes: int | None = None, with_text: bool = True, carry: str | None = None) -> DataFrame:
     """Removes every word in a window of `window` words that also starts in an earlier document.
 
     Returns doc_id, n_words, n_removed, kept_sha256, the binary column `carry` and, with_text, kept_text:
@@ -198,9 +254,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, history: DataFrame |
     """
     spark = session(docs)
     carried = (carry,) if carry else ()
-    batched, n = in_batches(texts(docs, carry=carried), batch_bytes)
+    batched, size = in_batches(texts(docs, carry=carried), batch_bytes)
     if bits is None:
-        bits = max(0, (max(n, partitions(spark)) - 1).bit_length())
+        bits = (max(1 + size // (WORD_BYTES * RANGE_WINDOWS), partitions(spark)) - 1).bit_length()
     asked = asks(batched.drop(*carried), bits, window)
     if history is not None:
         asked = asked.unionByName(history.select("range", F.lit(-1).cast("long").alias("batch"), "keys", "checks"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 #: Odd multiplier of the byte polynomial and its inverse modulo 2**64.
@@ -88,6 +89,18 @@ class Words:
             at = to
         return out
 
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit digests of each word: the halves of its XXH3-128. Equal words are digested once."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        data, start, _ = self.joined()
+        offsets = np.append(start, len(data)).astype(np.int64)
+        distinct = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        digest = xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(w) for w in distinct.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
+        of = distinct.indices.to_numpy()
+        return both[of, 0], both[of, 1]
+
     def joined(self, separator: int = 0x20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all words with one separator after each, and each word's start and end there."""
         size = self.end - self.start
@@ -146,16 +159,6 @@ def windows(hashes: np.ndarray, n: int, base: int = 0xA24BAED4963EE407) -> np.nd
     return mix(out)
 
 
-def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of each n consecutive values."""
-    have = 1
-    while have < n:
-        step = min(have, n - have)
-        x = np.minimum(x[:-step], x[step:]) if len(x) > step else x[:0]
-        have += step
-    return x
-
-
 def inner_starts(words: Words, n: int) -> np.ndarray:
     """Whether a run of n words that starts at each word ends in the same text."""
     limit = np.repeat(words.first[1:], words.counts())

@@ -56,7 +56,7 @@ def removed(rows, window):
 
 @pytest.mark.parametrize("batch_bytes", [1 << 24, 3000])
 def test_substring_dedup(spark, batch_bytes):
-    rows = corpus() + [[None, corpus()[3][1]], [5, corpus()[7][1]]]
+    rows = corpus() + [[None, corpus()[3][1]], [None, "n " + corpus()[3][1]], [5, corpus()[7][1]]] + [[None, " ".join(f"null{i}" for i in range(j, j + 400))] for j in range(0, 9, 3)]
     got = substring_dedup.substring_dedup(frame(spark, rows), batch_bytes=batch_bytes).collect()
     want = removed(rows, 13)
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
@@ -81,18 +81,57 @@ def test_substring_dedup_in_increments(spark, tmp_path):
     assert got == want
 
 
+def test_words_that_collide():
+    """Words whose sums of bytes times powers of an odd number agree modulo 2**64 (Thue-Morse words) are still told apart."""
+    import pyarrow as pa
+
+    from flowtide.llm.words import split
+
+    first = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    second = first.translate(str.maketrans("ab", "ba"))
+    one, two = split(pa.array([f"{first} {second}"])).digests()
+    assert one[0] != one[1] and two[0] != two[1]
+    rest = " ".join(f"w{i}" for i in range(12))
+    table = pa.table({"doc_id": [1, 2], "text": [f"{first} {rest}", f"{second} {rest}"]})
+    assert not substring_dedup.Batch(table, 13).later.any()
+
+
+def test_keys_shared_by_different_windows():
+    """Runs that hold one key with several checks."""
+    runs = substring_dedup.Runs()
+    runs.add(np.array([3, 7, 7, 7, 9], np.uint64), np.array([1, 1, 2, 5, 1], np.uint32))
+    ask = np.array([7, 7, 7, 3, 9, 10], np.uint64), np.array([5, 4, 1, 1, 2, 1], np.uint32)
+    assert runs.seen(*ask).tolist() == [True, False, True, True, False, False]
+
+
+def test_bounds_of_batches(spark):
+    r = random.Random(8)
+    rows = [[r.randint(0, 300), "x" * r.randint(0, 400)] for _ in range(900)] + [[301, "y" * 20_000], [None, "z" * 900], [None, None]]
+    batched, total = substring_dedup.in_batches(frame(spark, rows).select("doc_id", "text"), 2000)
+    got = [tuple(x) for x in batched.select("doc_id", "batch", "text").collect()]
+    assert len(got) == len(rows) and total == sum(len(t or "") for _, t in rows)
+    own = sorted({(i, b) for i, b, _ in got if i is not None})
+    assert len(own) == len({i for i, _ in own}) and [b for _, b in own] == sorted(b for _, b in own)
+    size, ids = {}, {}
+    for i, b, t in got:
+        size[b] = size.get(b, 0) + len(t or "")
+        ids.setdefault(b, set()).add(i)
+    assert all(size[b] <= 2000 or ids[b] in ({None}, {301}) or len(ids[b]) == 1 for b in size) and len(size) < 250
+    assert all(b >= substring_dedup.NULLS for i, b, _ in got if i is None)
+
+
 def test_runs_compact():
     runs = substring_dedup.Runs()
     r = np.random.default_rng(0)
     every = set()
     for _ in range(40):
         keys = np.unique(r.integers(0, 5000, 100).astype(np.uint64))
-        seen = runs.seen(keys, keys.astype(np.uint16))
+        seen = runs.seen(keys, keys.astype(np.uint32))
         assert seen.tolist() == [int(k) in every for k in keys]
-        runs.add(keys[~seen], keys[~seen].astype(np.uint16))
+        runs.add(keys[~seen], keys[~seen].astype(np.uint32))
         every |= set(keys.tolist())
         assert len(runs.runs) < 12 and all((np.diff(k.astype(np.int64)) > 0).all() for k, _ in runs.runs)
-    assert not runs.seen(np.array([4], np.uint64), np.array([5], np.uint16))[0]  # the same key with another check
+    assert not runs.seen(np.array([4], np.uint64), np.array([5], np.uint32))[0]  # the same key with another check
     x = np.sort(r.integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (substring_dedup.unpack(substring_dedup.pack(x)) == x).all()
 
