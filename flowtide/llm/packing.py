@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-A document's hashed word vector is projected to four dimensions; their Hilbert
+A document's vector of hashed words (whole words, that document's alone) is projected to four dimensions; their Hilbert
 key orders the corpus by range, ties by doc_id, so that a group of equal keys is split
 like any other. Each range is tokenised in order and laid into sequences of 1024
 tokens, cut wherever a sequence is full. The last tokens of a range are cut into
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, session, texts
-from .words import NOT_SPACE, U, batches, buffers, mix
+from .words import U, batches, split
 
 LENGTH = 1024
 END = 0
@@ -38,27 +38,13 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def projections(column: pa.Array) -> np.ndarray:
-    """Sums of pseudo-random signs of the words (told apart by their first eight bytes), as whole numbers of [0, 2**BITS)."""
-    data, offsets = buffers(column)
-    n = len(data)
-    out = np.zeros((len(offsets) - 1, DIMS))
-    inside = NOT_SPACE[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    start[offsets[:-1][offsets[:-1] < n]] = inside[offsets[:-1][offsets[:-1] < n]]
-    start = np.flatnonzero(start)
-    if not len(start):
-        return np.full(out.shape, 1 << (BITS - 1), np.int64)
-    padded = np.append(data, np.zeros(8, np.uint8))
-    eight = np.ndarray(n + 1, np.uint64, padded, strides=(1,))[start]
-    blank = ((eight ^ U(0x2020202020202020)) - U(0x0101010101010101)) & ~(eight ^ U(0x2020202020202020)) & U(0x8080808080808080)
-    low = blank & (~blank + U(1))  # the first space inside: bytes from there on don't count
-    word = np.where(blank > 0, eight & ((low >> U(7)) - U(1)), eight)
-    signs = np.unpackbits((mix(word) & U((1 << DIMS) - 1)).astype(np.uint8)[:, None], axis=1, bitorder="little")[:, :DIMS]
-    first = np.searchsorted(start, offsets)
-    counts = np.diff(first)
+    """Means of pseudo-random signs of each text's words, as whole numbers of [0, 2**BITS): they depend on that text alone."""
+    words = split(column)
+    counts = words.counts()
+    out = np.zeros((len(counts), DIMS))
+    signs = np.unpackbits((words.hashes() & U((1 << DIMS) - 1)).astype(np.uint8)[:, None], axis=1, bitorder="little")[:, :DIMS]
     have = counts > 0
-    sums = np.add.reduceat(np.append(signs, np.zeros((1, DIMS), np.uint8), axis=0), first[:-1], axis=0, dtype=np.int64)
+    sums = np.add.reduceat(np.append(signs, np.zeros((1, DIMS), np.uint8), axis=0), words.first[:-1], axis=0, dtype=np.int64) if len(counts) else out
     out[have] = (2 * sums[have] - counts[have, None]) / counts[have, None]
     return np.clip(((np.tanh(3 * out) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 

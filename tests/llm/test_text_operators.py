@@ -293,6 +293,31 @@ def test_packing_of_long_white_space(spark):
     assert all(p.ids_crc32 == zlib.crc32(want[p.doc_id][p.start : p.start + p.length].tobytes()) for p in got)
 
 
+def test_projections_are_of_one_text():
+    """A key is the same in any batch, whatever stands beside it and whichever white space ends its words."""
+    import pyarrow as pa
+
+    texts = ["a b cat", "dog x", "zzz y", "", None, "one\ntwo\tlongerthaneightbytes", "one two longerthaneightbytex", "x" * 100, " é "]
+    alone = [packing.projections(pa.array([t], pa.string()))[0].tolist() for t in texts]
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        assert packing.projections(pa.array(order, pa.string())).tolist() == [alone[texts.index(t)] for t in order]
+    assert packing.projections(pa.array(["one two\tx"]))[0].tolist() == packing.projections(pa.array([" one\ntwo  x\n"]))[0].tolist()
+    assert alone[5] != alone[6]
+
+
+def test_encoder_gives_the_ids_of_tokenizers():
+    """tiktoken over the same vocabulary against tokenizers, on random strings of all kinds of characters."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    own, encode, r = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.default_encoder(), random.Random(13)
+    pools = ["abc XYZ", "0123 .,;'", "\t\n\r \u00a0\u2003\u200b", "éßñüøæœ", "日本語한국어中文", "🙂👩‍👩‍👧🇫🇷", "'s't're've'm'll'd", "<|endoftext|>", "".join(map(chr, range(1, 256))), "".join(map(chr, range(0x300, 0x370))), "مرحبا עברית हिन्दी"]
+    for n in range(3000):
+        text = "".join(r.choice(r.choice(pools)) if r.random() < 0.97 else chr(r.choice([*range(1, 0xD800), *range(0xE000, 0x110000)])) for _ in range(r.randint(0, 60)))
+        text = text if n % 50 else text + "<|endoftext|>" + text
+        assert list(encode(text)) == own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_hilbert():
     """The curve visits every cell once, a step of one at a time."""
     side = 8
