@@ -210,6 +210,34 @@ def test_simhash(spark, chunk):
     assert [x.component_id for x in simhash.simhash_dedup(frame(spark, [[7, "a b"], [7, "a b"]])).collect()] == [7, 7]
 
 
+def test_components_and_heavy_keys(spark, monkeypatch):
+    """A star, a long chain and random trees, with every key of three rows or more joined as a heavy one."""
+    import flowtide.llm.components as module
+
+    r = random.Random(14)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 160)] + [(r.randrange(200, 230), r.randrange(200, 230)) for _ in range(40)] + [(5, None)]
+    group = {i: {i} for i in range(230)}
+    for a, b in edges[:-1]:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    want = {i: min(g) for i, g in group.items() if min(g) != i}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for heavy in (3, 1000):
+        monkeypatch.setattr(module, "HEAVY", heavy)
+        assert {x.node: x.root for x in components(df).collect()} == want
+
+
+def test_simhash_of_many_copies(spark, monkeypatch):
+    import flowtide.llm.components as module
+
+    monkeypatch.setattr(module, "HEAVY", 2)
+    rows = [[i, "the same text in every row of these"] for i in range(9, 2, -1)] + [[50, "another text of its own altogether"], [None, "another text of its own altogether"], [None, "nobody has an id here at all"]]
+    got = sorted(((x.doc_id, x.component_id) for x in simhash.simhash_dedup(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(i, 3) for i in range(3, 10)] + [(50, 50), (None, 50), (None, None)], key=str)
+
+
 def test_links_of_planted_clusters(spark):
     """Clusters of fingerprints a few bits apart, and chains that only hold through their middle."""
     r = np.random.default_rng(5)
