@@ -78,16 +78,37 @@ def best(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,group", [(4096, 256), (100, 2)])
-def test_top_k(spark, block, group):
+@pytest.mark.parametrize("block", [4096, 100])
+def test_top_k(spark, block):
     r = np.random.default_rng(2)
     rows = [(i, r.normal(0, 0.3, 12).tolist()) for i in range(600)]
     rows += [(700, rows[100][1]), (700, rows[100][1]), (701, None), (702, []), (800, [None] * 12), (900, [float("nan")] * 12), (903, [1.0] * 3), (1000, [0.5] * 3), (1100, [1e9] * 12), (None, rows[0][1])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, block int, n int").repartition(3)
-    assert sorted(map(tuple, topk.top_k(df, 10, block=block, group=group).collect())) == best(rows, 10)
+    assert sorted(map(tuple, topk.top_k(df, 10, block=block).collect())) == best(rows, 10)
     assert topk.top_k(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 10**9])
+def test_lists_are_read_in_part(scale):
+    """Far fewer entries than all are read where few dimensions count, and the k best are among the candidates anyway."""
+    r = np.random.default_rng(11)
+    n, d, k = 3000, 40, 10
+    skewed = np.floor(r.standard_t(2, (n, d)) * 100 * 0.6 ** np.arange(d)).astype(np.int64) * scale
+    even = r.integers(-5, 6, (n, d)) * scale  # many ties
+    for vectors, share in ((skewed, 0.7), (even, 1.0)):
+        lists, ids = topk.Lists(vectors), r.permutation(n)
+        for mine in range(40):
+            query = vectors[mine] // scale if scale > 1 else vectors[mine]
+            score = vectors @ query
+            every = np.delete(np.arange(n), mine)
+            want = every[np.lexsort((ids[every], -score[every]))[:k]]
+            for known in (-np.inf, float(score[want[-1]])):
+                rows, got = lists.best(ids, query, mine, k, known)
+                assert rows.tolist() == want.tolist() and got.tolist() == score[want].tolist()
+        assert lists.read < share * 80 * n * d
+    assert [x.tolist() for x in topk.Lists(even).best(ids, np.zeros(d, np.int64), 0, 2)] == [[int(i) for i in np.argsort(np.where(np.arange(n) == 0, n, ids))[:2]], [0, 0]]
+
+
 LANGS = {"aa": "lorem ipsum dolor sit amet consectetur", "bb": "straße über mädchen schön früh", "cc": "niño año señal mañana corazón"}
 
 
