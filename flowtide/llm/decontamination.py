@@ -8,9 +8,10 @@ that shingle is a candidate; the shingle's place in the window and the ends of
 the document bound where the window can lie, and the words there are compared
 in full.
 
-The benchmark's windows are broadcast only up to MAX_BLOCK bytes of item text.
-A larger benchmark is handled in blocks of that size, exactly, over documents
-that are materialised once with row numbers.
+The benchmark's windows are broadcast only up to MAX_BLOCK bytes of item text; in arrays they take some
+thirty times as much. A larger benchmark is handled in blocks of that size, exactly, over documents
+that are materialised once with row numbers: each block reads them twice. A long item is cut into
+segments that overlap by a window less a word, so that an item of any length fits.
 
 Cases: null texts have no words; an item without words has no window; an item
 with a null id marks words but isn't counted; repeated items count once by id;
@@ -23,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ from .common import cut, session, texts
 from .words import LOWER_ALNUM, U, Words, batches, split, windows
 
 WINDOW, SHINGLE = 10, 5
-#: Bytes of item text whose windows are broadcast at once.
-MAX_BLOCK = 16 << 20
+#: Bytes of item text whose windows are broadcast at once, and words of an item's segment.
+MAX_BLOCK, SEGMENT = 8 << 20, 4096
 
 ROW = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
 
@@ -65,33 +67,40 @@ class Lookup:
 
 
 class Windows:
-    """The distinct windows of a block of items, before the rarity of their shingles is known."""
+    """The distinct windows of a block of items, before the rarity of their shingles is known.
+
+    Windows are told apart by XXH3-128; documents' words are compared with `text`, their words with a space between.
+    """
 
     def __init__(self, ids: list, items: list, window: int, shingle: int):
-        found: dict[tuple, set] = {}
         words = split(pa.array(items, pa.large_string()), LOWER_ALNUM, True)
         hashes = words.hashes()
-        self.words, self.entries, starts = [], [], []
-        for i, item in enumerate(ids):
-            a, b = words.first[i], words.first[i + 1]
-            n = min(window, b - a)
-            for s in range(a, b - n + 1) if n else ():
-                key = tuple(words.data[x:y].tobytes() for x, y in zip(words.start[s : s + n], words.end[s : s + n], strict=True))
-                if key not in found:
-                    found[key] = set()
-                    starts.append((s, n))
-                found[key].add(item)
-        self.text = list(found)
-        self.items = [sorted(str(x) for x in v if x is not None) for v in found.values()]
-        self.length = np.array([n for _, n in starts], np.int64)
-        at = np.array([s for s, _ in starts], np.int64)
+        counts = words.counts()
+        size = np.minimum(counts, window)
+        each = np.where(counts > 0, counts - size + 1, 0)  # windows of each item
+        item = np.repeat(np.arange(len(counts)), each)
+        at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + words.first[:-1][item]
+        n = size[item]
+        self.data, start, end = words.joined()
+        low, high = start[at], end[at + n - 1]
+        text, digest = self.data.tobytes(), xxhash.xxh3_128_digest
+        digests = np.frombuffer(b"".join([digest(text[x:y]) for x, y in zip(low.tolist(), high.tolist(), strict=True)]), "V16")
+        _, first, of = np.unique(digests.view([("a", "<u8"), ("b", "<u8")]), return_index=True, return_inverse=True)
+        at = at[first]
+        self.low, self.high, self.length = low[first], high[first], n[first]
+        owners = np.unique(np.stack([of.ravel(), item], axis=1), axis=0)  # the items of each window
+        self.owner_at = np.searchsorted(owners[:, 0], np.arange(len(at) + 1))
+        names, known = {}, []
+        for i in ids:
+            known.append(-1 if i is None else names.setdefault(str(i), len(names)))
+        self.names, self.owner = list(names), np.array(known, np.int64)[owners[:, 1]]
         self.hash = np.zeros(len(at), np.uint64)
         self.shingles: dict[int, np.ndarray] = {}  # by length of the window: the shingles at each offset
-        for n in np.unique(self.length).tolist():
-            own = np.flatnonzero(self.length == n)
-            self.hash[own] = _hash_at(hashes, at[own], n)
-            k = min(shingle, n)
-            self.shingles[n] = np.stack([_hash_at(hashes, at[own] + o, k) for o in range(n - k + 1)], axis=1)
+        for size in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == size)
+            self.hash[own] = _hash_at(hashes, at[own], size)
+            k = min(shingle, size)
+            self.shingles[size] = np.stack([_hash_at(hashes, at[own] + o, k) for o in range(size - k + 1)], axis=1)
         self.shingle = shingle
 
     def all_shingles(self) -> dict[int, np.ndarray]:
@@ -107,7 +116,8 @@ class Prefixes:
 
     def __init__(self, w: Windows, counts: dict[int, np.ndarray]):
         every = w.all_shingles()
-        self.text, self.items, self.length, self.hash = w.text, w.items, w.length, w.hash
+        self.data, self.low, self.high, self.length, self.hash = w.data.tobytes(), w.low, w.high, w.length, w.hash
+        self.names, self.owner, self.owner_at = w.names, w.owner, w.owner_at
         self.by: dict[int, tuple] = {}
         rows: dict[int, list] = {}
         for n, s in w.shingles.items():
@@ -121,6 +131,10 @@ class Prefixes:
             lookup = Lookup(key)
             self.by[k] = (lookup, np.append(np.searchsorted(key[order], lookup.values), len(key)), offset[order], entry[order])
 
+    def items(self, entries) -> set[str]:
+        """Ids of the items that hold any of these windows."""
+        return {self.names[i] for e in set(entries) for i in self.owner[self.owner_at[e] : self.owner_at[e + 1]].tolist() if i >= 0}
+
     def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) of every occurrence."""
         low = np.repeat(words.first[:-1], words.counts())
@@ -140,8 +154,13 @@ class Prefixes:
         same = np.zeros(len(start), bool)
         for n in np.unique(self.length[entry]).tolist():
             own = np.flatnonzero(self.length[entry] == n)
-            own = own[_hash_at(hashes, start[own], n) == self.hash[entry[own]]]
-            same[own] = [all(words.data[a:b].tobytes() == x for a, b, x in zip(words.start[s : s + n], words.end[s : s + n], self.text[e], strict=True)) for s, e in zip(start[own].tolist(), entry[own].tolist(), strict=True)]
+            same[own] = _hash_at(hashes, start[own], n) == self.hash[entry[own]]
+        likely = np.flatnonzero(same)
+        if len(likely):  # compared in full
+            joined, first, last = words.joined()
+            joined = joined.tobytes()
+            spans = zip(first[start[likely]].tolist(), last[start[likely] + self.length[entry[likely]] - 1].tolist(), self.low[entry[likely]].tolist(), self.high[entry[likely]].tolist(), strict=True)
+            same[likely] = [joined[a:b] == self.data[c:d] for a, b, c, d in spans]
         return start[same], entry[same]
 
 
@@ -176,19 +195,40 @@ def _spans(it, prefixes: Prefixes):
         yield batch, words, start, entry
 
 
+def segments(items: DataFrame, window: int, words_each: int = SEGMENT) -> DataFrame:
+    """(item_id, text) of the items' segments; those without words are left out."""
+
+    def rows(it):
+        for batch in batches(it, "text"):
+            words = split(batch["text"], LOWER_ALNUM, True)
+            data, start, end = words.joined()
+            text = data.tobytes()
+            of, parts = [], []
+            for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                while a < b:
+                    to = min(b, a + words_each + window - 1)
+                    of.append(i)
+                    parts.append(text[start[a] : end[to - 1]].decode())
+                    a = b if to == b else a + words_each
+            yield pa.record_batch({"item_id": batch["item_id"].take(pa.array(of, pa.int64())), "text": pa.array(parts, pa.string())})
+
+    return items.where("text is not null").mapInArrow(rows, f"item_id {items.schema['item_id'].dataType.simpleString()}, text string")
+
+
 def _block(docs: DataFrame, items: DataFrame, window: int, shingle: int):
     rows = items.collect()
     w = Windows([r[0] for r in rows], [r[1] for r in rows], window, shingle)
     return docs.sparkSession.sparkContext.broadcast(Prefixes(w, _rarity(docs, w)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_block: int = MAX_BLOCK, carry: str | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_block: int = MAX_BLOCK, segment: int = SEGMENT, carry: str | None = None) -> DataFrame:
     """For each document: n_words, n_hit, n_items, items_sha256, contaminated and item_ids (sorted as strings), and the binary column `carry`."""
     session(docs)
     carried = (carry,) if carry else ()
     docs = texts(docs, carry=carried)
     items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    items = cut(segments(items, window, segment))
+    size = items.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     n = 1 + size // max_block
     if n > 1:
         return _in_blocks(docs, items, window, shingle, 2 * n, carried)
@@ -204,9 +244,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             hit = np.append(np.cumsum(depth[:-1]) > 0, False).astype(np.int64)
             n_hit = np.where(counts > 0, np.add.reduceat(hit, words.first[:-1]), 0)
             found: list[set] = [set() for _ in range(batch.num_rows)]
-            for d, e in set(zip(np.searchsorted(words.first, start, "right") - 1, entry, strict=True)):
-                found[d].update(prefixes.items[e])
-            yield _result(batch, counts, n_hit, [sorted(x) for x in found], carried)
+            for d, e in zip((np.searchsorted(words.first, start, "right") - 1).tolist(), entry.tolist(), strict=True):
+                found[d].add(e)
+            yield _result(batch, counts, n_hit, [sorted(prefixes.items(x)) for x in found], carried)
 
     return docs.mapInArrow(rows, ROW + "".join(f", {c} binary" for c in carried))
 
@@ -228,7 +268,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, window: int, shingle: int, n:
     docs = cut(docs.withColumn("row", F.monotonically_increasing_id()))
     found = None
     for i in range(n):
-        shared = _block(docs, items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i), window, shingle)
+        shared = _block(docs, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i), window, shingle)
 
         def rows(it, shared=shared):
             prefixes = shared.value
@@ -236,7 +276,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, window: int, shingle: int, n:
                 d = np.searchsorted(words.first, start, "right") - 1
                 for r in np.unique(d).tolist():
                     own = d == r
-                    ids = sorted({x for e in set(entry[own].tolist()) for x in prefixes.items[e]})
+                    ids = sorted(prefixes.items(entry[own].tolist()))
                     spans = np.stack([start[own] - words.first[r], prefixes.length[entry[own]]], axis=1)
                     yield pa.record_batch({"row": batch["row"].slice(r, 1), "spans": pa.array([spans.astype(np.int64).tobytes()], pa.binary()), "ids": pa.array([ids], pa.list_(pa.string()))})
 

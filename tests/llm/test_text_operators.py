@@ -157,13 +157,13 @@ def leaks(rows, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("max_block", [1 << 20, 300])
-def test_decontamination(spark, max_block):
+@pytest.mark.parametrize("max_block,segment", [(1 << 20, 4096), (5000, 40)])
+def test_decontamination(spark, max_block, segment):
     rows = corpus(3, 60)
     words = [WORD.findall(t or "") for _, t in rows]
-    items = [[i, " ".join(w[2:18])] for i, w in enumerate(words[:8])] + [[100, None], [101, ""], [102, "w7É w14é"], [103, "W5"], [9, " ".join(words[0][2:18])], [None, " ".join(words[10][:15])], [100, "W9 w21é W3"]]
+    items = [[i, " ".join(w[2:18])] for i, w in enumerate(words[:8])] + [[100, None], [101, ""], [102, "w7É w14é"], [103, "W5"], [9, " ".join(words[0][2:18])], [200, " ".join(words[-2][50:250])], [None, " ".join(words[10][:15])], [100, "W9 w21é W3"]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontaminate(frame(spark, rows), bench, max_block=max_block).drop("item_ids").collect()
+    got = decontamination.decontaminate(frame(spark, rows), bench, max_block=max_block, segment=segment).drop("item_ids").collect()
     assert sorted(map(tuple, got)) == sorted(leaks(rows, items))
     empty = bench.where("false")
     assert not any(r.contaminated for r in decontamination.decontaminate(frame(spark, rows), empty).collect())
