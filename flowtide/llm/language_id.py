@@ -8,10 +8,11 @@ give the Nyström map; one-versus-rest kernel ridge regression is solved on it,
 a batch is scored by two matrix products.
 
 The fit uses PER_LANG labelled texts of each language at most (those of the lowest
-hash of doc_id); whole texts are used in the fit and in scoring.
+hash of doc_id); whole texts are used in the fit and in scoring. Only the landmarks' rows come to the
+driver; the sums that the regression needs are made in tasks.
 
 Cases: null text or text without a letter is `und` with score 0; a null or absent
-training label is left out; without any training text everything is `und`;
+training label is left out; of rows that share a doc_id one is learnt from, that of the lowest hash of language and text; without any training text everything is `und`;
 repeated rows are scored each; empty tables give no rows.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session, texts
+from .common import cut, session, texts
 from .words import _LOWER, U, batches, buffers
 
 FEATURES, GRAMS = 1 << 13, (1, 2, 3, 4)
@@ -32,11 +33,9 @@ FEATURES, GRAMS = 1 << 13, (1, 2, 3, 4)
 STRETCH, PART = 1024, 1024
 #: Training texts of each language, landmarks in all, and the ridge.
 PER_LANG, LANDMARKS, RIDGE = 1000, 192, 1e-3
-#: Languages at most that one model tells apart; more is an error, never a silent cut.
-MAX_LANGS = 500
 SHARPNESS = 6.0
-#: Parts of a language that are ranked apart.
-PARTS = 64
+#: Tasks of the fit: each gives the driver sums of LANDMARKS x (LANDMARKS + languages) numbers.
+FIT_TASKS = 16
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -107,21 +106,18 @@ class Model:
         return means(column, lambda x: x @ self.landmarks.T @ self.weights, len(self.langs))
 
 
-def solve(unit: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nyström kernel ridge regression on the texts' means of unit rows."""
-    langs = sorted(set(labels))
-    y = np.array([langs.index(v) for v in labels])
-    per = max(1, landmarks // len(langs))
-    chosen = np.concatenate([np.flatnonzero(y == i)[:per] for i in range(len(langs))])
-    marks = unit[chosen]
+def whitener(marks: np.ndarray) -> np.ndarray:
+    """The Nyström map of the landmarks, to be multiplied by kernels with them."""
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     kept = values > 1e-6 * values.max()
-    whiten = vectors[:, kept] / np.sqrt(values[kept])
-    phi = (unit @ marks.T).astype(np.float64) @ whiten
-    target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    weight = 1 / np.bincount(y)[y]  # languages count alike
-    gram = (phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1])
-    return Model(langs, marks, (whiten @ np.linalg.solve(gram, (phi * weight[:, None]).T @ target)).astype(np.float32))
+    return vectors[:, kept] / np.sqrt(values[kept])
+
+
+def sums(units: np.ndarray, y: np.ndarray, weight: np.ndarray, marks: np.ndarray, whiten: np.ndarray) -> np.ndarray:
+    """What some training rows add to the regression: their Gram matrix, beside it their products with the targets."""
+    phi = (units @ marks.T).astype(np.float64) @ whiten
+    target = np.where(y[:, None] == np.arange(len(weight)), 1.0, -1.0)
+    return (phi * weight[y][:, None]).T @ np.concatenate([phi, target], axis=1)
 
 
 def _packed(row: np.ndarray) -> bytes:
@@ -138,26 +134,55 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data[4:], np.float16).astype(np.float32) * np.frombuffer(data[:4], np.float32)[0]
 
 
-def fit(docs: DataFrame, learn, per_lang: int = PER_LANG) -> Model | None:
-    """learn: condition on docs (doc_id, text, lang) of rows that may be learnt from."""
+def chosen(docs: DataFrame, learn, per_lang: int) -> DataFrame:
+    """(doc_id, lang, h) of the rows to learn from: of each language the per_lang lowest hashes of doc_id.
+
+    Only rows under a threshold that some twice as many pass are ranked, so that no task ranks a language.
+    """
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("of_lang")))
+    low = rows.join(counts, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("of_lang") < 2 * per_lang + 64)
     ranked = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    # The lowest of a language are among the lowest of its parts: no task ranks a whole language.
-    parts = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "doc_id")
-    lowest = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(parts)).where(F.col("n") <= per_lang)
-    ids = lowest.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= per_lang).select("doc_id").distinct().collect()
-    if len(ids) > per_lang * MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not ids:
+    return low.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_lang).select("doc_id", "lang", "rank").distinct()
+
+
+def fit(docs: DataFrame, learn, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model | None:
+    """learn: condition on docs (doc_id, text, lang) of rows that may be learnt from."""
+    spark = docs.sparkSession
+    ids = cut(chosen(docs, learn, per_lang))
+    langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
+    if not langs:
         return None
-    wanted = docs.sparkSession.createDataFrame(ids, "doc_id long")
+    texts_of = docs.where("lang is not null").join(F.broadcast(ids.groupBy("doc_id").agg(F.min("rank").alias("rank"))), "doc_id")
+    one = texts_of.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("lang", "text").alias("h"), "lang", "text", "rank")).alias("r")).select("r.*")
+    rows = cut(one.repartition(FIT_TASKS, "h"))
 
     def features(it):
         for batch in batches(it, "text", 1 << 20):
             yield pa.record_batch({"lang": batch["lang"], "h": batch["h"], "x": pa.array([_packed(r) for r in means(batch["text"])], pa.binary())})
 
-    got = rows.join(F.broadcast(wanted), "doc_id").select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(features, "lang string, h long, x binary").toPandas().sort_values(["h", "lang"])
-    return solve(np.stack([_unpacked(r) for r in got.x]), got.lang.tolist())
+    per = max(1, landmarks // len(langs))
+    of_lang = Window.partitionBy("lang").orderBy("rank", "h")
+    first = rows.withColumn("k", F.row_number().over(of_lang)).where(F.col("k") <= per)
+    got = first.select("text", "lang", "h").mapInArrow(features, "lang string, h long, x binary").toPandas().sort_values(["lang", "h"])
+    marks = np.stack([_unpacked(r) for r in got.x])
+    whiten, place = whitener(marks), {v: i for i, v in enumerate(langs)}
+    size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    weight = np.array([1 / max(1, size.get(v, 0)) for v in langs])  # languages count alike
+    shared = spark.sparkContext.broadcast((marks, whiten))
+
+    def added(it):
+        total = 0.0
+        for batch in batches(it, "text", 1 << 20):
+            y = np.array([place[v] for v in batch["lang"].to_pylist()])
+            total = total + sums(means(batch["text"]), y, weight, *shared.value)
+        if not isinstance(total, float):
+            yield pa.record_batch({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    parts = sorted(r.sums for r in rows.select("text", "lang").mapInArrow(added, "sums binary").collect())
+    m = whiten.shape[1]
+    total = np.sum([np.frombuffer(p).reshape(m, m + len(langs)) for p in parts], axis=0)
+    return Model(langs, marks, (whiten @ np.linalg.solve(total[:, :m] + RIDGE * np.eye(m), total[:, m:])).astype(np.float32))
 
 
 def language_id(docs: DataFrame, learn, held_out, per_lang: int = PER_LANG) -> DataFrame:

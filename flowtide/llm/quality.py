@@ -12,7 +12,7 @@ The fit uses TRAIN labelled rows at most (those of the lowest hash of doc_id);
 whole texts are used in the fit and in scoring.
 
 Cases: null text is empty; empty texts get the network's score for a zero vector;
-null labels are left out; with no labels or with one class, the score is the
+null labels are left out, and so is a doc_id with both labels; of texts that share a doc_id the one of the lowest hash is learnt from; with no labels or with one class, the score is the
 share of that class (0.5 without any); repeated rows are scored each; empty
 tables give no rows.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, texts
+from .common import cut, session, texts
 from .words import U, Words, batches, inner_starts, split
 
 #: Rows of the fit, buckets of words and of shapes, dimensions, neighbours on each side, and hidden units.
@@ -150,11 +150,14 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", train: int = TRAIN):
     spark = docs.sparkSession
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(learn & F.col("y").isin(0, 1)).dropDuplicates(["doc_id"])
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(learn & F.col("y").isin(0, 1))
+    marked = marked.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train).collect()
     if len({r.y for r in chosen}) < 2:
         return Constant(float(np.mean([r.y for r in chosen])) if chosen else 0.5)
-    rows = docs.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int")), "doc_id").select("doc_id", "text", "y")
+    texts_of = docs.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int")), "doc_id")
+    one = texts_of.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    rows = cut(one.select("doc_id", "r.text", "y"))
     word_index, shape_index = index_vectors(WORDS, 11), index_vectors(SHAPES, 13)
 
     def contexts(it):

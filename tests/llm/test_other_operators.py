@@ -1,6 +1,7 @@
 """Pages, dialogues, vectors and classifiers."""
 
 import math
+import os
 import random
 
 import duckdb
@@ -138,6 +139,37 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.language_id(df.withColumn("lang", F.lit(None).cast("string")), remainder(5) != 0, remainder(5) == 0).collect()} == {"und"}
 
 
+def test_many_languages_and_repeated_ids(spark):
+    """As many languages as there are texts of one, and ids that a third of all rows share."""
+    names = [f"l{i:03}" for i in range(260)]
+    rows = [(i * 10 + j, " ".join(f"{name}{chr(97 + k)}" for k in range(8)), name) for i, name in enumerate(names) for j in range(3)]
+    rows += [(rows[0][0], f"other text {i % 7}", names[0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = language_id.chosen(df, F.lit(True), 2)
+    assert {r["count"] for r in ids.groupBy("lang").count().collect()} <= {1, 2}
+    got = language_id.language_id(df, F.col("doc_id") % 10 < 2, F.col("doc_id") % 10 == 2, per_lang=2).where("held_out").collect()
+    assert len(got) == 260 and np.mean([r.lang_pred == names[r.doc_id // 10] for r in got]) > 0.95
+
+
+def test_labels_that_disagree(spark):
+    df = spark.createDataFrame([(i, f"text {i} {'good words' if i % 2 else 'BAD!! WORDS!!'}") for i in range(60)] + [(1, "good words again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (5, 0)], "doc_id long, quality int")
+    model = quality.fit(df, labels, F.lit(True))
+    assert isinstance(model, quality.Model) and np.isfinite(model.w1).all()
+    assert quality.fit(df, labels.where("doc_id in (4, 5)"), F.lit(True)) == quality.Constant(0.5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="supplied tables are not here")
+def test_held_out_rows_of_the_supplied_tables(spark):
+    """Area under the curve of the quality score, and accuracy of the language, on rows that were not learnt from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    marked = quality.quality(docs, labels, remainder(3) != 1, remainder(3) == 1).where("held_out").join(labels, "doc_id").where("quality is not null").select("score", "quality").collect()
+    good, bad = ([r.score for r in marked if r.quality == y] for y in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.98
+    found = language_id.language_id(docs, remainder(5) != 0, remainder(5) == 0).where("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.99
+
+
 def test_language_of_long_texts(spark):
     """Megabyte texts of many words, which differ between languages only in how often letters follow each other."""
     r = np.random.default_rng(12)
