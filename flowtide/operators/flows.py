@@ -161,7 +161,7 @@ def resolve_calls(p: Program, asked: DataFrame | None = None, strata: bool = Tru
         if added.isEmpty() and fresh_edges.isEmpty():
             if not strata:
                 break
-            new_handled = cut(unresolved(p, edges, handled).join(results.select("call_id").distinct(), "call_id", "left_semi"))
+            new_handled = cut(unresolved(p, edges).join(handled, "call_id", "left_anti").join(results.select("call_id").distinct(), "call_id", "left_semi"))
             if new_handled.isEmpty():
                 break
             handled = handled.union(new_handled)

@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import fixpoint
+from ..plans.fixpoint import cut
 from ..plans.program import Program
 
 
 def ancestors(p: Program) -> DataFrame:
-    """(func_id, anc_id, depth) of every function and each function around it, itself at depth 0."""
-    outer = p.function.select(F.col("func_id").alias("anc_id"), "outer_func_id").where("outer_func_id is not null")
-    seed = p.function.select("func_id", F.col("func_id").alias("anc_id"), F.lit(0).cast("long").alias("depth"))
-    return fixpoint(seed, lambda new, _: new.join(outer, "anc_id").select("func_id", F.col("outer_func_id").alias("anc_id"), (F.col("depth") + 1).alias("depth")))
+    """(func_id, anc_id, depth) of every function and each function around it, itself at depth 0.
+
+    Each round doubles the depth that is known, so that rounds are few in programs nested as deep as they like.
+    """
+    total = p.function.select("func_id", F.col("func_id").alias("anc_id"), F.lit(0).cast("long").alias("depth"))
+    jump = cut(p.function.where("outer_func_id is not null").select("func_id", F.col("outer_func_id").alias("to")).join(p.function.select(F.col("func_id").alias("to")), "to").select("func_id", "to"))
+    reach = 1
+    while not jump.isEmpty():
+        further = jump.join(total.withColumnRenamed("func_id", "to"), "to").select("func_id", "anc_id", (F.col("depth") + reach).alias("depth"))
+        total = cut(total.union(further))
+        jump = cut(jump.join(jump.select(F.col("func_id").alias("to"), F.col("to").alias("next")), "to").select("func_id", F.col("next").alias("to")))
+        reach *= 2
+    return total
 
 
 def declarations(p: Program) -> DataFrame:
@@ -27,10 +36,26 @@ def visible(p: Program, up: DataFrame) -> DataFrame:
     return up.join(declared, "anc_id").groupBy("func_id", "name").agg(F.min_by("anc_id", "depth").alias("decl_id"))
 
 
+def inner_names(p: Program) -> DataFrame:
+    """(func_id, name): names of the functions declared in each function."""
+    return p.function.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("func_id"), "name").distinct()
+
+
+def nearest(p: Program, up: DataFrame, known: DataFrame, used: DataFrame) -> DataFrame:
+    """(func_id, name, decl_id): for each used (func_id, name) the nearest function around that is in known (func_id, name)."""
+    at = known.select(F.col("func_id").alias("anc_id"), "name").distinct()
+    return used.distinct().join(up, "func_id").join(at, ["anc_id", "name"]).groupBy("func_id", "name").agg(F.min_by("anc_id", "depth").alias("decl_id"))
+
+
 def declaring_scope(p: Program, up: DataFrame) -> DataFrame:
-    """(node_id, name, decl_id) of every variable read and write; a name that isn't declared belongs to the function that uses it."""
+    """(node_id, name, decl_id) of every variable read and write: the nearest function around with a parameter, variable or function of that name.
+
+    `process` is always the main function's; another name that isn't declared belongs to the function that uses it.
+    """
     uses = p.node.where(F.col("kind").isin("ReadVariable", "WriteVariable")).select("node_id", "func_id", "name")
-    return uses.join(visible(p, up), ["func_id", "name"], "left").select("node_id", "name", F.coalesce("decl_id", "func_id").alias("decl_id"))
+    found = nearest(p, up, declarations(p).union(inner_names(p)), uses.where("name <> 'process'").select("func_id", "name"))
+    main = up.join(p.function.where("is_main").select(F.col("func_id").alias("anc_id")), "anc_id").select("func_id", F.lit("process").alias("name"), F.col("anc_id").alias("decl_id"))
+    return uses.join(found.union(main), ["func_id", "name"], "left").select("node_id", "name", F.coalesce("decl_id", "func_id").alias("decl_id"))
 
 
 def bound_names(p: Program) -> DataFrame:
@@ -56,15 +81,23 @@ def capturing(p: Program, up: DataFrame) -> DataFrame:
 
 
 def static_references(p: Program, up: DataFrame) -> DataFrame:
-    """(node_id, callee_id): reads of a name that resolve to functions declared in the nearest scope that knows the name.
+    """(node_id, callee_id): reads of a name and the functions that are declared under it in the nearest scope that knows it.
 
-    A parameter or variable of that name in a nearer function, or in the scope of
-    the declaration itself, leaves the read unresolved.
+    A function declaration reaches every read of its own level, whatever else is declared there, and goes
+    into nested functions until one has a parameter, variable or function of the same name.
     """
+    functions = p.function.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("decl_id"), "name", F.col("func_id").alias("callee_id"))
+    reads = p.node.where("kind = 'ReadVariable'").select("node_id", "func_id", "name")
+    found = nearest(p, up, declarations(p).union(inner_names(p)), reads.select("func_id", "name"))
+    return reads.join(found, ["func_id", "name"]).join(functions, ["decl_id", "name"]).select("node_id", "callee_id")
+
+
+def function_references(p: Program, up: DataFrame) -> DataFrame:
+    """(callee_id, node_id): reads of a function's name at its declaration's level and below, not past a function whose parameters have that name."""
     functions = p.function.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("anc_id"), "name", F.col("func_id").alias("callee_id"))
-    blocked = declarations(p).select(F.col("func_id").alias("anc_id"), "name", F.lit(True).alias("blocks"))
-    known = functions.select("anc_id", "name").union(blocked.select("anc_id", "name")).distinct().join(blocked, ["anc_id", "name"], "left")
-    nearest = up.join(known, "anc_id").groupBy("func_id", "name").agg(F.min_by(F.struct("anc_id", "blocks"), "depth").alias("at"))
+    rebound = p.function.select(F.col("func_id").alias("anc_id"), F.explode("params").alias("name")).distinct()
     reads = p.node.where("kind = 'ReadVariable'").select("node_id", "func_id", "name")
-    found = reads.join(nearest, ["func_id", "name"]).where("at.blocks is null").select("node_id", "name", F.col("at.anc_id").alias("anc_id"))
-    return found.join(functions, ["anc_id", "name"]).select("node_id", "callee_id")
+    at = reads.select("func_id", "name").distinct().join(up, "func_id")
+    first = at.join(rebound, ["anc_id", "name"]).groupBy("func_id", "name").agg(F.min("depth").alias("stop"))
+    seen = at.join(first, ["func_id", "name"], "left").where("stop is null or depth <= stop").join(functions, ["anc_id", "name"])
+    return seen.join(reads, ["func_id", "name"]).select("callee_id", "node_id")

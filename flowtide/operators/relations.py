@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure
+from ..plans.fixpoint import closure, closure_by_doubling, propagate_by_doubling
 from ..plans.program import Program
 
 
@@ -35,10 +35,22 @@ def argument_matches(p: Program, call_edge: DataFrame) -> DataFrame:
     return call_edge.join(p.call_arg.withColumnRenamed("node_id", "call_id"), "call_id").join(params, ["callee_id", "position"]).select("call_id", "callee_id", "position", "reg", "param")
 
 
-def unresolved(p: Program, call_edge: DataFrame, handled: DataFrame | None = None) -> DataFrame:
-    """External calls without a callee, and not among those handled before."""
-    left = p.node.where("kind = 'Call' and not is_internal").select(F.col("node_id").alias("call_id")).join(call_edge, "call_id", "left_anti")
-    return left if handled is None else left.join(handled, "call_id", "left_anti")
+def unresolved(p: Program, call_edge: DataFrame) -> DataFrame:
+    """External calls without a callee."""
+    return p.node.where("kind = 'Call' and not is_internal").select(F.col("node_id").alias("call_id")).join(call_edge, "call_id", "left_anti")
+
+
+def unhandled(p: Program, states: DataFrame, call_edge: DataFrame, handled: DataFrame | None = None) -> DataFrame:
+    """Of the values that queries reach at calls (call_id, key, query_id), those at external calls without a callee that weren't handled before.
+
+    What was handled is told apart by call, value and query: another value at the same call is still open.
+    """
+    left = states.join(unresolved(p, call_edge), "call_id", "left_semi")
+    return left if handled is None else left.join(handled, ["call_id", "key", "query_id"], "left_anti")
+
+
+def edge_count(call_edge: DataFrame) -> DataFrame:
+    return call_edge.select("call_id", "callee_id").distinct().agg(F.count("*").alias("edges"))
 
 
 def function_reach(p: Program, call_edge: DataFrame) -> DataFrame:
@@ -49,11 +61,18 @@ def function_reach(p: Program, call_edge: DataFrame) -> DataFrame:
 
 def dependencies(pairs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """All queries that a query (src) depends on, directly or not."""
+    if asked is None:
+        return closure_by_doubling(pairs, "from_query", "to_query")
     return closure(pairs, "from_query", "to_query", asked)
 
 
-def error_rollup(reach: DataFrame, errors: DataFrame) -> DataFrame:
-    """(from_query, error): errors of a query and of all it depends on."""
-    own = errors.select(F.col("query_id").alias("from_query"), "error")
-    below = reach.join(errors, F.col("dst") == F.col("query_id")).select(F.col("src").alias("from_query"), "error")
-    return own.union(below).distinct()
+def error_rollup(pairs: DataFrame, errors: DataFrame) -> DataFrame:
+    """(from_query, error): errors of a query and of all it depends on, taken along the dependencies (from_query, to_query)."""
+    return propagate_by_doubling(pairs.toDF("src", "dst"), errors.select(F.col("query_id").alias("node"), F.col("error").alias("label"))).toDF("from_query", "error")
+
+
+def query_counts(asked: DataFrame) -> DataFrame:
+    """(direction, queries, calls, accesses) of asked nodes (direction, node_id, kind, func_reg): how many there are, and the calls and property accesses among them."""
+    is_call = F.col("kind") == "Call"
+    access = F.when(F.col("kind").isin("ReadProperty", "WriteProperty") | (is_call & (F.col("func_reg") == -1)), F.col("node_id"))
+    return asked.groupBy("direction").agg(F.count_distinct("node_id").alias("queries"), F.count_distinct(F.when(is_call, F.col("node_id"))).alias("calls"), F.count_distinct(access).alias("accesses"))

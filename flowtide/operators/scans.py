@@ -22,9 +22,13 @@ def external_calls(p: Program) -> DataFrame:
     return calls(p).where(~F.col("is_internal"))
 
 
-def property_accesses(p: Program) -> DataFrame:
+def is_property_access() -> Column:
     """Property reads and writes, and calls without a function register that aren't internal."""
-    return p.node.where(F.col("kind").isin("ReadProperty", "WriteProperty") | ((F.col("kind") == "Call") & (F.col("func_reg") == -1) & ~F.col("is_internal")))
+    return F.col("kind").isin("ReadProperty", "WriteProperty") | ((F.col("kind") == "Call") & (F.col("func_reg") == -1) & ~F.col("is_internal"))
+
+
+def property_accesses(p: Program) -> DataFrame:
+    return p.node.where(is_property_access())
 
 
 def nodes_of(p: Program, func_id: int) -> DataFrame:
@@ -53,16 +57,20 @@ def sink_nodes(p: Program, names: DataFrame) -> DataFrame:
 
 
 def sink_queries(p: Program, names: DataFrame) -> DataFrame:
-    """Taint queries: for each call right after a sink read of the same function, its arguments, and its receiver register.
+    """Taint queries of the calls that a sink read leads to: (sink, call_id, role, reg).
 
-    The receiver is asked for when the sink is a property; that is the call's
-    function register, -1 for a method call, which is kept but flagged.
+    A read's block has to have one successor. Of that block's calls those count whose function register
+    is the read's result, or whose own property is a sink. Each argument is asked for; of a call of a sink
+    property its function register too, which is -1 for a method call: kept, but flagged by its role.
     """
-    sinks = sink_nodes(p, names).select("node_id", F.col("kind").alias("sink_kind"), "sink")
-    after = sinks.join(p.cfg_edge, F.col("node_id") == F.col("src")).select("sink", "sink_kind", F.col("dst").alias("call_id"))
-    called = after.join(p.node.where("kind = 'Call'").select(F.col("node_id").alias("call_id"), "func_reg"), "call_id")
+    sinks = sink_nodes(p, names).select("block", "sink", F.col("result_reg").alias("read_reg"))
+    single = p.block_edge.groupBy(F.col("src").alias("block")).agg(F.min("dst").alias("next"), F.count_distinct("dst").alias("n")).where("n = 1")
+    calls_after = p.node.where("kind = 'Call'").select(F.col("block").alias("next"), F.col("node_id").alias("call_id"), "func_reg", "property")
+    listed = names.select(F.col("name").alias("property"), F.lit(True).alias("is_sink")).distinct()
+    met = sinks.join(single.select("block", "next"), "block").join(calls_after, "next").join(listed, "property", "left")
+    called = met.where("func_reg = read_reg or is_sink").select("sink", "call_id", "func_reg", F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
     args = called.join(p.call_arg, F.col("call_id") == F.col("node_id")).select("sink", "call_id", F.lit("argument").alias("role"), F.col("reg"))
-    receivers = called.where("sink_kind = 'ReadProperty'").select("sink", "call_id", F.when(F.col("func_reg") == -1, "no receiver").otherwise("receiver").alias("role"), F.col("func_reg").alias("reg"))
+    receivers = called.where("is_sink").select("sink", "call_id", F.when(F.col("func_reg") == -1, "no receiver").otherwise("receiver").alias("role"), F.col("func_reg").alias("reg"))
     return args.union(receivers).distinct()
 
 

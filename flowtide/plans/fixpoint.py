@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The folder that spark.checkpoint.dir names; one is made only where that is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, one is made in local mode; on a cluster that is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -80,6 +84,22 @@ def closure_by_doubling(edges: DataFrame, src: str = "src", dst: str = "dst") ->
         total, jump = cut(total.unionByName(added)), cut(further(jump))
 
 
+def propagate_by_doubling(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label): the labels (node, label) of each node and of all that its links (src, dst) lead to.
+
+    As in closure_by_doubling, a round looks twice as far; but only labels are carried, not pairs of nodes.
+    """
+    jump, total = cut(links.select("src", "dst").distinct()), cut(labels.select("node", "label").distinct())
+    while True:
+        ahead = jump.select(F.col("dst").alias("node"), "src")
+        added = cut(total.join(ahead, "node").select(F.col("src").alias("node"), "label").distinct().join(total, ["node", "label"], "left_anti"))
+        hop = jump.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        jump = cut(jump.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct())
+        if added.isEmpty():
+            return total
+        total = cut(total.unionByName(added))
+
+
 def roots(links: DataFrame) -> DataFrame:
     """(node, root, hops) of functional links (node, prev), prev null at a root: pointer doubling, so rounds are few.
 

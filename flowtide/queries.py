@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import flows, names, relations, scans
-from .plans.fixpoint import closure_by_doubling, fixpoint
+from .plans.fixpoint import propagate_by_doubling
 from .sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,15 +114,21 @@ def scope_chain(spark, d):
     return names.ancestors(tables.program(spark, d))
 
 
-@query(f"{_WITH}{_VISIBLE} SELECT node_id, n.name, coalesce(decl_id, n.func_id) AS decl_id FROM node n LEFT JOIN visible v ON v.func_id = n.func_id AND v.name = n.name WHERE kind IN ('ReadVariable', 'WriteVariable')")
+_KNOWN = """, known AS (SELECT func_id AS anc_id, name FROM declared UNION SELECT outer_func_id, name FROM func WHERE outer_func_id IS NOT NULL),
+near AS (SELECT up.func_id, name, arg_min(anc_id, depth) AS decl_id FROM up JOIN known USING (anc_id) GROUP BY ALL)"""
+
+
+@query(f"""{_WITH}{_DECLARED}{_KNOWN} SELECT node_id, n.name, coalesce(CASE WHEN n.name = 'process' THEN m.anc_id ELSE decl_id END, n.func_id) AS decl_id FROM node n
+LEFT JOIN near v ON v.func_id = n.func_id AND v.name = n.name LEFT JOIN (SELECT up.func_id, anc_id FROM up JOIN func f ON f.func_id = anc_id AND f.is_main) m ON m.func_id = n.func_id
+WHERE kind IN ('ReadVariable', 'WriteVariable')""")
 def declaring_scope(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return names.declaring_scope(p, names.ancestors(p))
 
 
 @query(f"{_WITH}{_VISIBLE} SELECT func_id, name, decl_id FROM visible")
 def visible_in(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return names.visible(p, names.ancestors(p))
 
 
@@ -133,104 +139,115 @@ def bound_names(spark, d):
 
 @query(f"{_WITH}{_FREE} SELECT func_id, name FROM free")
 def free_vars(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return names.free_names(p, names.ancestors(p))
 
 
 @query(f"{_WITH}{_FREE} SELECT f.outer_func_id AS func_id, f.func_id AS inner_id, free.name FROM free JOIN func f USING (func_id) WHERE f.outer_func_id IS NOT NULL")
 def captured_names(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return names.capturing(p, names.ancestors(p))
 
 
-@query(f"""{_WITH}{_DECLARED}, fn AS (SELECT outer_func_id AS anc_id, name, func_id AS callee_id FROM func WHERE outer_func_id IS NOT NULL),
-known AS (SELECT DISTINCT anc_id, name FROM fn UNION SELECT func_id, name FROM declared),
-near AS (SELECT u.func_id, k.name, arg_min(k.anc_id, depth) AS anc_id FROM up u JOIN known k ON k.anc_id = u.anc_id GROUP BY ALL)
-SELECT n.node_id, callee_id FROM node n JOIN near ON near.func_id = n.func_id AND near.name = n.name JOIN fn ON fn.anc_id = near.anc_id AND fn.name = n.name
-LEFT JOIN declared b ON b.func_id = near.anc_id AND b.name = n.name WHERE kind = 'ReadVariable' AND b.name IS NULL""")
+@query(f"""{_WITH}{_DECLARED}{_KNOWN} SELECT node_id, f.func_id AS callee_id FROM node n JOIN near ON near.func_id = n.func_id AND near.name = n.name
+JOIN func f ON f.outer_func_id = decl_id AND f.name = n.name WHERE kind = 'ReadVariable'""")
 def static_refs(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return names.static_references(p, names.ancestors(p))
 
 
+@query(f"""{_WITH}{_DECLARED}, rebound AS (SELECT DISTINCT func_id AS anc_id, unnest(params) AS name FROM func),
+stop AS (SELECT up.func_id, name, min(depth) AS stop FROM up JOIN rebound USING (anc_id) GROUP BY ALL)
+SELECT f.func_id AS callee_id, node_id FROM node n JOIN up ON up.func_id = n.func_id JOIN func f ON f.outer_func_id = anc_id AND f.name = n.name
+LEFT JOIN stop s ON s.func_id = n.func_id AND s.name = n.name WHERE kind = 'ReadVariable' AND (stop IS NULL OR depth <= stop)""")
+def function_references(spark, d):
+    p = tables.program(spark, d, keep=True)
+    return names.function_references(p, names.ancestors(p))
+
+
 # -- value flow and calls -----------------------------------------------------
 
 
 @query(f"{_WITH}{_CHAINS} SELECT node, root, hops FROM chain")
 def definition_chains(spark, d):
-    return flows.definition_roots(flows.definitions(tables.program(spark, d)))
+    return flows.definition_roots(flows.definitions(tables.program(spark, d, keep=True)))
 
 
 @query(f"{_WITH}{_CHAINS} SELECT query_id, alloc FROM reaching")
 def reaching_alloc_backward(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return flows.reaching(p, flows.callee_queries(p))
 
 
 @query(f"{_WITH}{_CHAINS} SELECT r.alloc, d.node_id, d.key FROM chain JOIN defs r ON r.node_id = root JOIN defs d ON d.node_id = node WHERE r.alloc IS NOT NULL")
 def reached_from_alloc_forward(spark, d):
-    return flows.reached_from(tables.program(spark, d))
+    return flows.reached_from(tables.program(spark, d, keep=True))
 
 
 @query(f"{_WITH}{_CHAINS} SELECT call_id, callee_id FROM edges")
 def call_edges(spark, d):
-    return flows.local_call_edges(tables.program(spark, d)).distinct()
+    return flows.local_call_edges(tables.program(spark, d, keep=True)).distinct()
 
 
 @query(f"{_WITH}{_CHAINS} SELECT callee_id AS func_id, count(*) AS n_callers, min(call_id) AS first_call FROM edges GROUP BY callee_id")
 def callers(spark, d):
-    return flows.local_call_edges(tables.program(spark, d)).distinct().groupBy(F.col("callee_id").alias("func_id")).agg(F.count("*").alias("n_callers"), F.min("call_id").alias("first_call"))
+    return flows.local_call_edges(tables.program(spark, d, keep=True)).distinct().groupBy(F.col("callee_id").alias("func_id")).agg(F.count("*").alias("n_callers"), F.min("call_id").alias("first_call"))
 
 
 @query(f"{_WITH}{_CHAINS} SELECT call_id, callee_id, position, reg, params[position + 1] AS param FROM edges JOIN call_arg ON node_id = call_id JOIN func ON func_id = callee_id WHERE position < len(params)")
 def arg_param_match(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return relations.argument_matches(p, flows.local_call_edges(p).distinct())
 
 
 @query(f"{_WITH}{_CHAINS} SELECT node_id AS call_id FROM node WHERE kind = 'Call' AND NOT is_internal AND node_id NOT IN (SELECT call_id FROM edges)")
 def unresolved_calls(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return relations.unresolved(p, flows.local_call_edges(p))
 
 
-@query(f"{_WITH}{_CHAINS} SELECT node_id AS call_id FROM node WHERE kind = 'Call' AND NOT is_internal AND node_id NOT IN (SELECT call_id FROM edges) AND node_id % 3 <> 0")
+@query(f"{_WITH}{_CHAINS} SELECT n.node_id AS call_id, 'r' || reg AS key, n.func_id AS query_id FROM node n JOIN call_arg a ON a.node_id = n.node_id WHERE NOT is_internal AND n.node_id NOT IN (SELECT call_id FROM edges) AND position <> 0")
 def unhandled_unresolved_calls(spark, d):
-    p = tables.program(spark, d)
-    handled = scans.external_calls(p).select(F.col("node_id").alias("call_id")).where("call_id % 3 = 0")
-    return relations.unresolved(p, flows.local_call_edges(p), handled)
+    """Argument values at calls without a callee, when the first arguments have been handled."""
+    p = tables.program(spark, d, keep=True)
+    states = p.call_arg.join(p.node.select("node_id", F.col("func_id").alias("query_id")), "node_id").select(F.col("node_id").alias("call_id"), F.concat(F.lit("r"), F.col("reg").cast("string")).alias("key"), "query_id", "position")
+    return relations.unhandled(p, states.drop("position"), flows.local_call_edges(p), states.where("position = 0"))
 
 
-@query(f"""{_WITH}{_CHAINS}, fe AS (SELECT DISTINCT n.func_id AS src, callee_id AS dst FROM edges JOIN node n ON n.node_id = call_id WHERE n.func_id % 10 = 0 OR callee_id % 2 = 0),
-r AS (SELECT src, dst FROM fe WHERE src < 200 UNION SELECT r.src, fe.dst FROM r JOIN fe ON fe.src = r.dst) SELECT src, dst FROM r""")
+@query(f"""{_WITH}{_CHAINS}, fe AS (SELECT DISTINCT n.func_id AS src, callee_id AS dst FROM edges JOIN node n ON n.node_id = call_id),
+r AS (SELECT src, dst FROM fe UNION SELECT r.src, fe.dst FROM r JOIN fe ON fe.src = r.dst) SELECT src, dst FROM r""")
 def call_reach(spark, d):
-    p = tables.program(spark, d)
-    owner = p.node.select(F.col("node_id").alias("call_id"), F.col("func_id").alias("src"))
-    edges = flows.local_call_edges(p).join(owner, "call_id").select("src", F.col("callee_id").alias("dst")).where("src % 10 = 0 or dst % 2 = 0").distinct()
-    return relations.closure(edges, within=edges.select("src").where("src < 200"))
+    p = tables.program(spark, d, keep=True)
+    return relations.function_reach(p, flows.local_call_edges(p))
+
+
+@query(f"{_WITH}{_CHAINS} SELECT count(*) AS edges FROM edges")
+def edge_count(spark, d):
+    return relations.edge_count(flows.local_call_edges(tables.program(spark, d, keep=True)))
 
 
 @query()
 def resolve_calls(spark, d):
     """Callees of all calls across functions, with strata; tested against a brute-force solver."""
-    return flows.resolve_calls(tables.program(spark, d))[0]
+    return flows.resolve_calls(tables.program(spark, d, keep=True))[0]
 
 
 @query(f"""{_WITH}, sink AS (
-  SELECT node_id, kind, name AS s FROM node WHERE kind = 'ReadVariable' AND name IN {_SINKS}
-  UNION ALL SELECT node_id, kind, property FROM node WHERE kind = 'ReadProperty' AND property IN {_SINKS}
-), called AS (SELECT s, sink.kind, n.node_id AS call_id, func_reg FROM sink JOIN cfg_edge ON src = sink.node_id JOIN node n ON n.node_id = dst WHERE n.kind = 'Call')
+  SELECT node_id, result_reg, name AS s FROM node WHERE kind = 'ReadVariable' AND name IN {_SINKS}
+  UNION ALL SELECT node_id, result_reg, property FROM node WHERE kind = 'ReadProperty' AND property IN {_SINKS}
+), called AS (SELECT s, n.node_id AS call_id, func_reg, coalesce(n.property IN {_SINKS}, false) AS is_sink FROM sink JOIN cfg_edge ON src = sink.node_id JOIN node n ON n.node_id = dst
+  WHERE n.kind = 'Call' AND (func_reg = sink.result_reg OR n.property IN {_SINKS}))
 SELECT s AS sink, call_id, 'argument' AS role, reg FROM called JOIN call_arg ON node_id = call_id
-UNION SELECT s, call_id, CASE WHEN func_reg = -1 THEN 'no receiver' ELSE 'receiver' END, func_reg FROM called WHERE kind = 'ReadProperty'""")
+UNION SELECT s, call_id, CASE WHEN func_reg = -1 THEN 'no receiver' ELSE 'receiver' END, func_reg FROM called WHERE is_sink""")
 def taint_sinks(spark, d):
     sinks = spark.createDataFrame([("v1",), ("v2",), ("v3",), ("p1",)], "name string")
-    return scans.sink_queries(tables.program(spark, d), sinks)
+    return scans.sink_queries(tables.program(spark, d, keep=True), sinks)
 
 
 @query()
 def whole_call_reach(spark, d):
     """call_reach from all functions over all edges of resolve_calls."""
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return relations.function_reach(p, flows.resolve_calls(p)[0])
 
 
@@ -280,6 +297,23 @@ def query_counts(spark, d):
     return n.agg(F.count("*").alias("n_queries"), F.count_if("is_internal").alias("n_internal"), F.count_distinct("func_id").alias("n_functions"), F.count_if(F.col("func_reg") == -1).alias("n_method"))
 
 
+@query(f"""{_WITH} SELECT direction, count(DISTINCT query) AS queries, count(DISTINCT call_id) AS calls, count(DISTINCT access_id) AS accesses FROM (
+  SELECT 'backward' AS direction, node_id AS query, CASE WHEN kind = 'Call' THEN node_id END AS call_id, CASE WHEN kind <> 'Call' OR func_reg = -1 THEN node_id END AS access_id FROM node WHERE kind = 'Call' AND NOT is_internal OR kind IN ('ReadProperty', 'WriteProperty')
+  UNION ALL SELECT 'forward', node_id, NULL, NULL FROM node WHERE kind IN ('DeclareFunction', 'NewObject')) GROUP BY direction""")
+def queries_by_direction(spark, d):
+    """Backward queries of calls and property accesses, forward ones of allocations, and the calls and accesses asked about."""
+    p = tables.program(spark, d)
+    back = scans.property_accesses(p).unionByName(scans.external_calls(p)).select(F.lit("backward").alias("direction"), "node_id", "kind", "func_reg")
+    ahead = p.node.where("kind in ('DeclareFunction', 'NewObject')").select(F.lit("forward").alias("direction"), "node_id", "kind", "func_reg")
+    return relations.query_counts(back.unionByName(ahead))
+
+
+@query(f"{_WITH} SELECT count(*) FILTER (kind = 'Call') AS calls, count(*) FILTER (kind IN ('ReadProperty', 'WriteProperty') OR kind = 'Call' AND func_reg = -1 AND NOT is_internal) AS accesses FROM node")
+def node_totals(spark, d):
+    n = tables.program(spark, d).node
+    return n.agg(F.count_if(F.col("kind") == "Call").alias("calls"), F.count_if(scans.is_property_access()).alias("accesses"))
+
+
 @query(f"{_WITH} SELECT func_id, printf('%.2f%%', CASE WHEN count(*) FILTER (kind = 'Call') = 0 THEN 100.0 ELSE 100.0 * count(*) FILTER (kind = 'Call' AND NOT is_internal) / count(*) FILTER (kind = 'Call') END) AS covered FROM node GROUP BY func_id")
 def coverage_pct(spark, d):
     n = tables.program(spark, d).node
@@ -312,12 +346,12 @@ def random_call(spark, d):
 # -- dependencies and errors --------------------------------------------------
 
 _DEPS = """WITH RECURSIVE o AS (SELECT event_id, event_type, user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events),
-dep AS (SELECT event_id AS from_query, nxt AS to_query FROM o WHERE nxt IS NOT NULL AND event_id % 6 <> 0),
+dep AS (SELECT event_id AS from_query, nxt AS to_query FROM o WHERE nxt IS NOT NULL),
 errors AS (SELECT event_id AS query_id, 'error ' || (event_id % 7) AS error FROM events WHERE event_type = 'error'),
 reach AS (SELECT from_query AS src, to_query AS dst FROM dep UNION SELECT src, to_query FROM reach JOIN dep ON from_query = dst)"""
 
 
-def _all_deps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _deps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every link from an event to its user's next one, and the errors."""
     e = tables.load(spark, d, "events")
     ordered = e.select(F.col("event_id").alias("from_query"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("to_query"))
@@ -325,12 +359,6 @@ def _all_deps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ordered.where("to_query is not null"), errors
 
 
-def _deps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The sample of the links that _DEPS takes, so that its SQL ends; the whole_ queries have all of them."""
-    links, errors = _all_deps(spark, d)
-    return links.where("from_query % 6 <> 0"), errors
-
-
 @query(f"{_DEPS} SELECT from_query, to_query FROM dep")
 def direct_deps(spark, d):
     return _deps(spark, d)[0]
@@ -343,42 +371,15 @@ def dep_reach(spark, d):
 
 @query(f"{_DEPS} SELECT query_id AS from_query, error FROM errors UNION SELECT src, error FROM reach JOIN errors ON query_id = dst")
 def errors_impacting(spark, d):
-    deps, errors = _deps(spark, d)
-    return relations.error_rollup(relations.dependencies(deps), errors)
+    return relations.error_rollup(*_deps(spark, d))
 
 
-@query(f"{_DEPS}, asked AS (SELECT from_query AS q FROM dep WHERE from_query % 100 = 1 UNION SELECT to_query FROM asked JOIN dep ON from_query = q) SELECT q AS query_id FROM asked")
+@query(f"{_DEPS}, asked AS (SELECT query_id AS q FROM errors UNION SELECT to_query FROM asked JOIN dep ON from_query = q) SELECT q AS query_id FROM asked")
 def demanded_queries(spark, d):
-    """Sub-queries that the asked ones create, each once."""
-    deps = _deps(spark, d)[0].withColumnRenamed("from_query", "query_id")
-    seed = deps.where("query_id % 100 = 1").select("query_id")
-    return fixpoint(seed, lambda new, _: new.join(deps, "query_id").select(F.col("to_query").alias("query_id")))
-
-
-@query()
-def whole_direct_deps(spark, d):
-    """direct_deps over all links; no SQL, tested by brute force, as are the other whole_ queries."""
-    return _all_deps(spark, d)[0]
-
-
-@query()
-def whole_dep_reach(spark, d):
-    return closure_by_doubling(_all_deps(spark, d)[0], "from_query", "to_query")
-
-
-@query()
-def whole_errors_impacting(spark, d):
-    deps, errors = _all_deps(spark, d)
-    return relations.error_rollup(closure_by_doubling(deps, "from_query", "to_query"), errors)
-
-
-@query()
-def whole_demanded_queries(spark, d):
-    """The asked ones and all sub-queries that they create, each once."""
-    deps = _all_deps(spark, d)[0]
-    seed = deps.where("from_query % 100 = 1").select(F.col("from_query").alias("query_id"))
-    below = closure_by_doubling(deps, "from_query", "to_query").join(seed, F.col("src") == F.col("query_id"), "left_semi")
-    return seed.union(below.select("dst")).distinct()
+    """The failing queries and all sub-queries that they create, each once."""
+    deps, errors = _deps(spark, d)
+    asked = errors.select(F.col("query_id").alias("node"), F.lit(True).alias("label"))
+    return propagate_by_doubling(deps.select(F.col("to_query").alias("src"), F.col("from_query").alias("dst")), asked).select(F.col("node").alias("query_id"))
 
 
 # -- output forms -------------------------------------------------------------
@@ -388,13 +389,13 @@ def whole_demanded_queries(spark, d):
 SELECT 'tables' AS program_id, '{{"callee":{{"start":{{"line":' || f.line || ',"column":0}}}},"caller":{{"start":{{"line":' || n.idx || ',"column":0}}}}}}' AS value
 FROM edges JOIN node n ON n.node_id = call_id JOIN first f ON f.func_id = callee_id""")
 def callgraph_json(spark, d):
-    p = tables.program(spark, d)
+    p = tables.program(spark, d, keep=True)
     return files.call_graph_json(p, flows.local_call_edges(p))
 
 
 @query(f"{_WITH}{_CHAINS} SELECT 'call ' || call_id || ' -> function ' || callee_id AS value FROM edges")
 def callgraph_text(spark, d):
-    return files.call_graph_text(flows.local_call_edges(tables.program(spark, d)))
+    return files.call_graph_text(flows.local_call_edges(tables.program(spark, d, keep=True)))
 
 
 @query(f"""{_DEPS} SELECT '"' || from_query || '" -> "' || to_query || '";' AS value FROM dep""")
@@ -402,6 +403,6 @@ def dependency_dot(spark, d):
     return files.dot(_deps(spark, d)[0], "from_query", "to_query")
 
 
-@query()
-def whole_dependency_dot(spark, d):
-    return files.dot(_all_deps(spark, d)[0], "from_query", "to_query")
+#: Names under which the queries without a sample were first registered.
+for _name in ("direct_deps", "dep_reach", "errors_impacting", "demanded_queries", "dependency_dot"):
+    QUERIES[f"whole_{_name}"], ORACLE_SQL[f"whole_{_name}"] = QUERIES[_name], ORACLE_SQL[_name]

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import stored
 from ..plans.program import Program
 
-#: Nodes of a function have ids from func_id * SPAN on.
-SPAN, NAMES, NESTING = 1024, 20, 6
+#: Nodes of a function have ids from func_id * SPAN on; a function of more nodes is an error.
+SPAN, NAMES, NESTING = 1 << 20, 20, 6
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +44,9 @@ def nodes(lineitem: DataFrame) -> DataFrame:
     is_kind = lambda *k: F.col("kind").isin(*k)
     method = is_kind("Call") & (F.col("l_tax") == 0)
     named = lineitem.withColumn("idx", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long")).withColumn("kind", kind)
+    node_id = F.when(F.col("idx") < SPAN, F.col("l_orderkey") * SPAN + F.col("idx")).otherwise(F.raise_error(F.lit(f"more than {SPAN} nodes in a function")).cast("long"))
     return named.select(
-        F.col("l_orderkey").alias("func_id"), "idx", (F.col("l_orderkey") * SPAN + F.col("idx")).alias("node_id"), "kind",
+        F.col("l_orderkey").alias("func_id"), "idx", node_id.alias("node_id"), "kind",
         F.when(is_kind("NewObject", "Constant", "DeclareFunction", "ReadVariable", "Call"), line).when(is_kind("ReadProperty"), other).otherwise(none).alias("result_reg"),
         F.when(is_kind("ReadProperty", "WriteProperty"), line).when(method, other).otherwise(none).alias("base_reg"),
         F.when(is_kind("WriteVariable"), line).when(is_kind("WriteProperty"), other).otherwise(none).alias("value_reg"),
@@ -52,12 +54,14 @@ def nodes(lineitem: DataFrame) -> DataFrame:
         F.when(is_kind("ReadVariable", "WriteVariable", "DeclareVariable"), _name(F.col("l_suppkey"))).alias("name"),
         F.when(is_kind("ReadProperty", "WriteProperty") | method, F.concat(F.lit("p"), (F.col("l_partkey") % 5).cast("string"))).alias("property"),
         (is_kind("Call") & (F.col("l_quantity") < 3)).alias("is_internal"), F.lit(False).alias("is_ctor"),
-        F.when(is_kind("DeclareFunction"), F.col("l_partkey")).alias("declares"), F.col("idx").cast("int").alias("line"), F.lit(0).alias("col"), F.col("l_orderkey").alias("block"),
+        F.when(is_kind("DeclareFunction"), F.col("l_partkey")).alias("declares"), F.col("idx").cast("int").alias("line"), F.lit(0).alias("col"), node_id.alias("block"),
     )
 
 
-def program(spark: SparkSession, sf_dir: str) -> Program:
+def program(spark: SparkSession, sf_dir: str, keep: bool = False) -> Program:
+    """keep: the nodes are numbered once and stored, for queries that need them several times. Every node is a block of its own."""
     node = nodes(load(spark, sf_dir, "lineitem"))
+    node = stored(node) if keep else node
     declared = node.where("kind = 'DeclareVariable'").groupBy("func_id").agg(F.sort_array(F.collect_set("name")).alias("vars"))
     key = F.col("o_orderkey")
     function = (
@@ -68,12 +72,12 @@ def program(spark: SparkSession, sf_dir: str) -> Program:
             F.array(_name(F.col("o_custkey")), _name(F.col("o_custkey") + 7)).alias("params"),
         )
         .join(declared, "func_id", "left")
-        .select("program_id", "func_id", "name", "outer_func_id", "is_main", "params", F.coalesce("vars", F.array().cast("array<string>")).alias("vars"), F.col("func_id").alias("entry"), F.col("func_id").alias("exit"))
+        .select("program_id", "func_id", "name", "outer_func_id", "is_main", "params", F.coalesce("vars", F.array().cast("array<string>")).alias("vars"), (F.col("func_id") * SPAN + 1).alias("entry"), F.lit(None).cast("long").alias("exit"))
     )
     own = Window.partitionBy("func_id").orderBy("idx")
     edges = node.select(F.col("node_id").alias("src"), F.lead("node_id").over(own).alias("dst")).where("dst is not null")
     args = node.where("kind = 'Call'").select("node_id", "result_reg", F.explode(F.array(F.lit(0), F.lit(1))).alias("position")).select("node_id", "position", ((F.col("result_reg") + F.col("position")) % 7 + 1).alias("reg"))
-    return Program(function, node, edges, args, spark.createDataFrame([], "src long, dst long"))
+    return Program(function, node, edges, args, edges)
 
 
 #: The encoding in SQL: relations node, func, cfg_edge, call_arg.
@@ -87,7 +91,7 @@ raw AS (
       ELSE 'DeclareVariable' END AS kind
   FROM lineitem
 ), node AS (
-  SELECT l_orderkey AS func_id, CAST(i AS BIGINT) AS idx, CAST(l_orderkey * {SPAN} + i AS BIGINT) AS node_id, kind,
+  SELECT l_orderkey AS func_id, CAST(i AS BIGINT) AS idx, CAST(CAST(l_orderkey AS BIGINT) * {SPAN} + i AS BIGINT) AS node_id, kind,
     CASE WHEN kind IN ('NewObject', 'Constant', 'DeclareFunction', 'ReadVariable', 'Call') THEN ln WHEN kind = 'ReadProperty' THEN other ELSE -1 END AS result_reg,
     CASE WHEN kind IN ('ReadProperty', 'WriteProperty') THEN ln WHEN kind = 'Call' AND l_tax = 0 THEN other ELSE -1 END AS base_reg,
     CASE WHEN kind = 'WriteVariable' THEN ln WHEN kind = 'WriteProperty' THEN other ELSE -1 END AS value_reg,
