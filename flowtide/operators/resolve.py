@@ -227,42 +227,55 @@ def known(p: Program, points: DataFrame | None = None, calls: DataFrame | None =
         seeds.append(points.select(_row("point", "point")))
     if calls is not None or points is None:
         seeds.append((rules.calls.select("call") if calls is None else calls.select(F.col("call_id").alias("call"))).select(_row("ask", "call")))
-    earlier, new = None, stored(_union(seeds).distinct())
-    total, rounds, seen, waits = new, 0, set(), {"field", "heap", "callee"}
+    new = stored(_union(seeds).distinct())
+    parts: list[tuple[DataFrame, int]] = []  # what earlier rounds brought, in tables of falling size
+    rounds, seen, waits = 0, set(), {"field", "heap", "callee"}
     alone = ((rules.places, {"point"}), (rules.fields, {"point"}), (rules.asked, {"ask"}), (rules.callers, {"entry"}), (rules.anywhere, {"entry"}), (rules.all_calls, {"callers"}))
     together = ((rules.reach, {"pts"}, {"flow"}), (rules.held, {"pts"}, waits), (rules.called, {"edge"}, {"calls", "entry"}), (rules.through, {"handled"}, {"calls"}))
     pick = lambda df, tags: df.where(F.col("tag").isin(*tags))
-    while most_rounds is None or rounds < most_rounds:
+    # The tags of the new rows, a dozen at most, say which rules have anything to do.
+    counts = {r.tag: r.n for r in status(new).collect()}
+    total = new
+    while counts and (most_rounds is None or rounds < most_rounds):
         rounds += 1
         if deadline is not None and time.monotonic() > deadline:
             raise TimeoutError(f"stopped before round {rounds}")
-        # The tags of the new rows, a dozen at most, say which rules have anything to do.
-        fresh = {r.tag for r in new.select("tag").distinct().collect()}
-        before, seen, out = seen, seen | fresh, []
+        earlier = _union([df for df, _ in parts]) if parts else None
+        total = new if earlier is None else earlier.union(new)
+        fresh, out = set(counts), []
+        before, seen = seen, seen | fresh
         for rule, tags in alone:
             if tags & fresh:
-                out += rule(new)
+                out += rule(pick(new, tags))
         for rule, left, right in together:
             if left & fresh and right & seen:
                 out += rule(pick(new, left), pick(total, right))
             if left & before and right & fresh:
                 out += rule(pick(earlier, left), pick(new, right))
-        added = stored(rules.with_demands(_union(out)).distinct().join(total, ROW, "left_anti")) if out else None
-        if added is None or added.isEmpty():
-            if not strata:
-                break
+        parts = merged([*parts, (new, sum(counts.values()))])
+        if out:
+            new = stored(rules.with_demands(_union(out)).distinct().join(total, ROW, "left_anti"))
+            counts = {r.tag: r.n for r in status(new).collect()}
+        if (not out or not counts) and strata:
             asked = pick(total, {"ask"}).select(F.col("a").alias("call")).join(rules.ctors, "call", "left_anti")
             open_ = asked.join(pick(total, {"edge"}).select(F.col("a").alias("call")), "call", "left_anti")
-            added = stored(open_.select(_row("handled", "call")).join(total, ROW, "left_anti"))
-            if added.isEmpty():
-                break
-        earlier, new = total, added
-        if rounds % 8 == 0:
-            earlier = stored(total)
-        total = earlier.union(new)
+            new = stored(open_.select(_row("handled", "call")).join(total, ROW, "left_anti"))
+            counts = {r.tag: r.n for r in status(new).collect()}
+        elif not out:
+            break
     return total
 
 
+def merged(parts: list[tuple[DataFrame, int]], factor: int = 4) -> list[tuple[DataFrame, int]]:
+    """Tables with their sizes, the last ones merged while the one before is less than `factor` times as large: they stay few, and each row is rewritten seldom."""
+    while len(parts) > 1 and parts[-2][1] < factor * parts[-1][1]:
+        (a, n), (b, m) = parts[-2:]
+        parts = [*parts[:-2], (a.union(b), n + m)]
+        if len(parts) == 1 or parts[-2][1] >= factor * parts[-1][1]:
+            parts[-1] = (stored(parts[-1][0]), parts[-1][1])
+    return parts
+
+
 def edges(rows: DataFrame) -> DataFrame:
     return rows.where("tag = 'edge'").select(F.col("a").cast("long").alias("call_id"), F.col("b").cast("long").alias("callee_id"))
 

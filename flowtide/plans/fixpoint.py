@@ -107,9 +107,13 @@ def roots(links: DataFrame) -> DataFrame:
     """
     now = cut(links.select("node", F.coalesce("prev", "node").alias("to"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("hops")))
     final = links.where("prev is null").select(F.col("node").alias("root"))
-    for _ in range(48):
-        if now.join(final, F.col("to") == F.col("root"), "left_anti").isEmpty():
+    left = None
+    while True:
+        # Nodes that haven't come to a root; those before a cycle never do, and their number then stands still.
+        still = now.join(final, F.col("to") == F.col("root"), "left_anti").agg(F.count("*"), F.max("hops")).first()
+        if not still[0] or left is not None and still[0] == left[0] and still[1] > links.count():
             break
+        left = still
         ahead = now.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("hops").alias("more"))
         now = cut(now.join(ahead, "to").select("node", F.col("further").alias("to"), (F.col("hops") + F.col("more")).alias("hops")))
     return now.join(final, F.col("to") == F.col("root")).select("node", "root", "hops")

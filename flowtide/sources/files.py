@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.program import Program
@@ -10,10 +10,10 @@ from ..plans.program import Program
 
 def sources(spark: SparkSession, path: str, extension: str = "js", recursive: bool = False) -> DataFrame:
     """(program_id, source) of every file with the extension."""
-    reader = spark.read.option("pathGlobFilter", f"*.{extension}").option("wholetext", "true")
+    reader = spark.read.option("pathGlobFilter", f"*.{extension}")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("program_id"), F.col("value").alias("source"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("program_id"), F.col("value").alias("source"))
 
 
 def sink_names(spark: SparkSession, path: str) -> DataFrame:
@@ -22,13 +22,11 @@ def sink_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flowgraph(dumps: DataFrame) -> DataFrame:
-    """Nodes of flowgraph dumps (program_id, source): function, block, node_id, op, operands, place and the block's successors.
+    """Nodes of flowgraph dumps (program_id, source): line_no, function, block, tag, node_id, op, operands (null: none), place and the block's successors.
 
     Lines are taken apart by expressions alone; the function and block that a line
     stands in are the last ones named before it in the same dump.
     """
-    from pyspark.sql import Window
-
     lines = dumps.select("program_id", F.posexplode(F.split("source", "\r?\n")).alias("line_no", "line"))
     before = Window.partitionBy("program_id").orderBy("line_no")
     pick = lambda pattern, i=1: F.nullif(F.regexp_extract("line", pattern, i), F.lit(""))
@@ -40,18 +38,26 @@ def flowgraph(dumps: DataFrame) -> DataFrame:
     )
     successors = marked.where(F.col("line").rlike(r"^\s+->\[")).select("program_id", "block", F.transform(F.regexp_extract_all("line", F.lit(r"block (\d+)")), lambda b: b.cast("long")).alias("successors"))
     node = r"^\s+node (\d+): ([\w-]+)(?:\[(.*)\])? \(([^()]*)\)\s*$"
+    bracket = r"^\s+node \d+: [\w-]+\["
     nodes = marked.where(F.col("line").rlike(node)).select(
-        "program_id", "function", "block", "tag", F.regexp_extract("line", node, 1).cast("long").alias("node_id"), F.regexp_extract("line", node, 2).alias("op"),
-        F.regexp_extract("line", node, 3).alias("operands"), F.regexp_extract("line", node, 4).alias("place"),
+        "program_id", "line_no", "function", "block", "tag", F.regexp_extract("line", node, 1).cast("long").alias("node_id"), F.regexp_extract("line", node, 2).alias("op"),
+        F.when(F.col("line").rlike(bracket), F.regexp_extract("line", node, 3)).alias("operands"), F.regexp_extract("line", node, 4).alias("place"),
     )
     return nodes.join(successors, ["program_id", "block"], "left")
 
 
 def flowgraph_text(nodes: DataFrame) -> DataFrame:
-    """Dump lines (program_id, function, block, node_id, value) of parsed nodes, in that order when written."""
-    head = F.concat(F.lit("    node "), F.col("node_id").cast("string"), F.lit(": "), F.col("op"))
-    body = F.when(F.col("operands") == "", "").otherwise(F.concat(F.lit("["), F.col("operands"), F.lit("]")))
-    return nodes.select("program_id", "function", "block", "node_id", F.concat(head, body, F.lit(" ("), F.col("place"), F.lit(")")).alias("value"))
+    """(program_id, line_no, value): the dump of parsed nodes, to be written in that order; lines of functions and blocks stand before and behind their nodes."""
+    label = lambda b: F.concat(F.lit("block "), b.cast("string"))
+    operands = F.when(F.col("operands").isNull(), "").otherwise(F.concat(F.lit("["), F.col("operands"), F.lit("]")))
+    own = nodes.select("program_id", "line_no", F.lit(0).alias("rank"), F.concat(F.lit("    node "), F.col("node_id").cast("string"), F.lit(": "), F.col("op"), operands, F.lit(" ("), F.col("place"), F.lit(")")).alias("value"))
+    blocks = nodes.groupBy("program_id", "function", "block").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.first("tag").alias("tag"), F.first("successors").alias("successors"))
+    tag = F.when(F.coalesce("tag", F.lit("")) == "", "").otherwise(F.concat(F.lit(" ["), F.col("tag"), F.lit("]")))
+    heads = blocks.select("program_id", F.col("first").alias("line_no"), F.lit(-1).alias("rank"), F.concat(F.lit("  "), label(F.col("block")), F.lit(":"), tag).alias("value"))
+    ends = blocks.where("successors is not null").select("program_id", F.col("last").alias("line_no"), F.lit(1).alias("rank"), F.concat(F.lit("    ->["), F.concat_ws(", ", F.transform("successors", label)), F.lit("]")).alias("value"))
+    functions = blocks.groupBy("program_id", "function").agg(F.min("first").alias("line_no")).select("program_id", "line_no", F.lit(-2).alias("rank"), F.col("function").alias("value"))
+    order = Window.partitionBy("program_id").orderBy("line_no", "rank")
+    return own.union(heads).union(ends).union(functions).select("program_id", F.row_number().over(order).alias("line_no"), "value")
 
 
 def call_graph_spans(p: Program, edges: DataFrame) -> DataFrame:

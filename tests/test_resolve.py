@@ -1,164 +1,252 @@
-"""Small programs with the expected answers beside the lines, and a plain solver for straight-line tables."""
+"""Random programs against plain solvers that follow one value at a time."""
 
 import os
-import re
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowtide.operators import experiments, flows, resolve
+from flowtide.plans import program as tables_of
+from flowtide.plans.program import Program
 from flowtide.sources import tables
-from flowtide.sources.javascript import Unreadable, lower, programs
-
-PROGRAMS = {
-    "branches": """function first() {} // callers: 8
-function second() {} // callers: 8
-var pick;
-if (maybe()) {
-    pick = first;
-} else {
-    pick = second; }
-pick(); // callees: 1, 2""",
-    "update": """function old() {} // callers:
-function fresh() {} // callers: 5
-var f = old;
-f = fresh;
-f(); // callees: 2""",
-    "fields": """function left() {} // callers: 8
-function right() {} // callers: 9
-var outer = {};
-var inner = {};
-outer.a = inner;
-outer.b = right;
-inner.c = left;
-outer.a.c(); // callees: 1
-outer.b(); // callees: 2""",
-    "weak": """function one() {} // callers: 6
-function two() {} // callers: 6
-var o = {};
-o.f = one;
-o.f = two;
-o.f(); // callees: 1, 2""",
-    "params": """function apply(g, x) { // callers: 6, 7
-    return g(x); // callees: 4, 5
-}
-function inc(v) { return v; } // callers: 2
-function dec(v) { return v; } // callers: 2
-var a = apply(inc, {}); // callees: 1
-var b = apply(dec, 'n'); // points-to: 6, 7""",
-    "closure": """function make(x) {
-    return function inside() { // callers: 8, 9
-        return x;
-    };
-}
-var p = make({});
-var q = make({});
-var r = p(); // points-to: 6, 7
-var s = q(); // callees: 2""",
-    "shadow": """function name() {} // callers:
-function user(name) {
-    name(); // callees: 5
-}
-function other() {} // callers: 3
-user(other); // callees: 2""",
-    "unresolved": """function cb() {} // callers: 4
-var x = wrap(cb);
-var y = again(x);
-y(); // callees: 1""",
-    "ctor": """function Thing() {} // callers: 2
-var t = new Thing(); // callees: 1
-var u = t; // points-to: 2""",
-    "ops": """var a = "p";
-var b = "q";
-var c = a + b; // points-to: 1, 2""",
-    "loop": """var i = {};
-while (go()) {
-    i = {};
-}
-var z = i; // points-to: 1, 3""",
-    "recursion": """function even(n) { // callers: 5, 7
-    return odd(n); // callees: 4
-}
-function odd(n) { // callers: 2
-    return even(n); // callees: 1
-}
-even(3); // callees: 1""",
-    "late": """function keep(f, g) {
-    var h = f;
-    var run = function () {
-        h(); // callees: 9
-    };
-    h = g;
-    return run;
-}
-function later() {} // callers: 4
-function early() {} // callers: 4
-keep(early, later)();""",
-}
-
-
-def expected():
-    for program, source in PROGRAMS.items():
-        for line, text in enumerate(source.split("\n"), 1):
-            for kind, found in re.findall(r"// ?(callees|callers|points-to):([\d, ]*)", text):
-                yield program, kind, line, {int(x) for x in found.split(",") if x.strip()}
+from flowtide.sources.javascript import Unreadable, lower
+
+LAST = resolve.LAST
+
+
+def random_program(r: random.Random, serial: int):
+    """Functions, nodes, arguments and block edges of a program of a few nested functions, each an entry, two branches that meet or loop, and an exit."""
+    functions, nodes, args, edges = [], [], [], []
+    base = serial * 1000
+    n = r.randint(2, 4)
+    ids = [base + i for i in range(n)]
+    for i, f in enumerate(ids):
+        names = r.sample(["x", "y", "z"], r.randint(0, 2))
+        functions.append((f"p{serial}", f, None if i == 0 else f"f{i}", None if i == 0 else r.choice(ids[:i]), i == 0, r.sample(["a", "b", "x"], r.randint(0, 2)) if i else [], names, f * 10, f * 10 + 3))
+        shape = r.choice([[(0, 1), (0, 2), (1, 3), (2, 3)], [(0, 1), (1, 0), (1, 3)], [(0, 3)]])
+        edges += [(f * 10 + s, f * 10 + d) for s, d in shape]
+    children = {f: [x[1] for x in functions if x[3] == f] for f in ids}
+    name_of = {x[1]: x[2] for x in functions}
+    for f in ids:
+        used = sorted({b % 10 for e in edges for b in e if b // 10 == f})
+        waiting = list(children[f])
+        for block in used:
+            for idx in range(r.randint(2, 6)):
+                node = base * 100 + len(nodes)
+                reg = lambda: r.randint(1, 3)
+                row = dict(func_id=f, idx=idx, node_id=node, kind="Nop", result_reg=-1, base_reg=-1, value_reg=-1, func_reg=-1, name=None, property=None, is_internal=False, is_ctor=False, declares=None, line=1, col=1, block=f * 10 + block)
+                kind = "DeclareFunction" if waiting else r.choice("NewObject Constant ReadVariable WriteVariable WriteVariable ReadProperty WriteProperty Call Call Call BinaryOperator UnaryOperator Nop".split())
+                row["kind"] = kind
+                if kind == "DeclareFunction":
+                    row["declares"] = waiting.pop()
+                    row["name"] = name_of[row["declares"]]
+                    row["result_reg"] = reg() if r.random() < 0.6 else -1
+                elif kind in ("NewObject", "Constant", "ReadVariable", "BinaryOperator", "UnaryOperator"):
+                    row["result_reg"] = reg()
+                if kind in ("ReadVariable", "WriteVariable"):
+                    row["name"] = r.choice(["x", "y", "z", "a", "b", "nowhere", *filter(None, name_of.values())])
+                if kind in ("ReadProperty", "WriteProperty"):
+                    row["base_reg"], row["property"] = reg(), r.choice(["p", "q", "a|b", None])
+                if kind == "ReadProperty":
+                    row["result_reg"] = reg()
+                if kind in ("WriteProperty", "WriteVariable"):
+                    row["value_reg"] = reg()
+                if kind in ("BinaryOperator", "UnaryOperator"):
+                    args += [(node, i, reg()) for i in range(2 if kind == "BinaryOperator" else 1)]
+                if kind == "Call":
+                    row["result_reg"] = r.choice([reg(), reg(), -1])
+                    row["is_internal"], row["is_ctor"] = r.random() < 0.05, r.random() < 0.15
+                    if r.random() < 0.25:
+                        row["base_reg"], row["property"] = reg(), r.choice(["p", "q"])
+                    else:
+                        row["func_reg"] = reg()
+                    args += [(node, i, reg()) for i in range(r.randint(0, 2))]
+                nodes.append(row)
+    return functions, nodes, args, edges
+
+
+class Plain:
+    """The answers of all calls of one program: sets of points, facts and edges that grow until nothing is new."""
+
+    def __init__(self, functions, nodes, args, edges):
+        self.f = {x[1]: dict(zip("program func_id name outer is_main params vars entry exit".split(), x, strict=True)) for x in functions}
+        self.node = {n["node_id"]: n for n in nodes}
+        self.args = {}
+        for node, i, reg in args:
+            self.args.setdefault(node, {})[i] = f"r{reg}"
+        self.preds = {}
+        for s, d in edges:
+            self.preds.setdefault(d, []).append(s)
+        self.calls = [n for n in nodes if n["kind"] == "Call" and not n["is_internal"]]
+
+    def declares(self, f):
+        return set(self.f[f]["params"]) | set(self.f[f]["vars"])
+
+    def visible(self, f, name):
+        while f is not None and name not in self.declares(f):
+            f = self.f[f]["outer"]
+        return f
+
+    def static(self, n):
+        f = n["func_id"]
+        while f is not None:
+            inner = [x for x in self.f.values() if x["outer"] == f and x["name"] == n["name"]]
+            if inner or n["name"] in self.declares(f):
+                return {x["func_id"] for x in inner}
+            f = self.f[f]["outer"]
+        return set()
+
+    def at(self, n, reg):
+        return ("V", n["func_id"], n["block"], n["idx"], f"r{reg}")
+
+    def alloc(self, n):
+        k = n["kind"]
+        return "obj" if k == "NewObject" or k == "Call" and n["is_ctor"] else "const" if k == "Constant" else "func" if k == "DeclareFunction" else None
+
+    def key(self, n):
+        if n["kind"] == "WriteVariable" or n["kind"] == "DeclareFunction" and n["result_reg"] < 0 and n["name"]:
+            return f"v:{n['name']}"
+        return f"r{n['result_reg']}" if n["result_reg"] > 0 and (n["kind"] != "ReadProperty" or n["property"]) else None
+
+    def step(self, point):
+        """(allocations, points) that a point takes its value from, and what it asks for."""
+        if point[0] == "M":
+            n = self.node[point[1]]
+            return self.field(self.at(n, n["base_reg"]), n["property"])
+        if point[0] == "H":
+            out = set()
+            for w in self.node.values():
+                if w["kind"] == "WriteProperty" and w["property"] == point[1]:
+                    base = self.at(w, w["base_reg"])
+                    self.points.add(base)
+                    if point[2] in self.facts.get(base, ()):
+                        out.add(self.at(w, w["value_reg"]))
+            return set(), out
+        _, f, block, at, key = point
+        own = [n for n in self.node.values() if n["block"] == block and n["idx"] < at and self.key(n) == key]
+        if own:
+            return self.source(max(own, key=lambda n: n["idx"]))
+        out = {("V", f, b, LAST, key) for b in self.preds.get(block, ())}
+        fun = self.f[f]
+        if block == fun["entry"] and not fun["is_main"] and key.startswith("v:"):
+            self.asked |= {c["node_id"] for c in self.calls}
+            for c, callee in self.edges:
+                if callee != f:
+                    continue
+                call, name = self.node[c], key[2:]
+                out |= {("V", call["func_id"], call["block"], call["idx"], self.args[c][i]) for i, p in enumerate(fun["params"]) if p == name and i in self.args.get(c, {})}
+                mine = self.visible(f, name)
+                if name not in self.declares(f) and mine is not None:
+                    around = self.f[fun["outer"]]
+                    out.add(("V", call["func_id"], call["block"], call["idx"], key) if mine == self.visible(call["func_id"], name) else ("V", around["func_id"], around["exit"], LAST, key))
+        return set(), out
+
+    def field(self, base, prop):
+        self.points.add(base)
+        return set(), {("H", prop, a) for a in self.facts.get(base, ()) if a[0] != "const"}
+
+    def source(self, n):
+        if self.alloc(n):
+            return {(self.alloc(n), n["node_id"])}, set()
+        place = ("V", n["func_id"], n["block"], n["idx"])
+        if n["kind"] == "ReadVariable":
+            found = {x["node_id"] for x in self.node.values() if x["declares"] in self.static(n)}
+            return ({("func", x) for x in found}, set()) if self.static(n) else (set(), {(*place, f"v:{n['name']}")})
+        if n["kind"] == "WriteVariable":
+            return set(), {self.at(n, n["value_reg"])}
+        if n["kind"] in ("BinaryOperator", "UnaryOperator"):
+            return set(), {(*place, k) for k in self.args.get(n["node_id"], {}).values()}
+        if n["kind"] == "ReadProperty":
+            return self.field(self.at(n, n["base_reg"]), n["property"])
+        if n["is_internal"]:
+            return set(), set()
+        c = n["node_id"]
+        self.asked.add(c)
+        out = {("V", f, self.f[f]["exit"], LAST, "r1") for x, f in self.edges if x == c}
+        if c in self.handled:
+            out |= {(*place, k) for k in self.args.get(c, {}).values()}
+            if n["func_reg"] == -1 and n["property"] and n["base_reg"] >= 0:
+                out.add(self.at(n, n["base_reg"]))
+        return set(), out
+
+    def solve(self):
+        self.points, self.facts, self.edges, self.handled = set(), {}, set(), set()
+        self.asked = {c["node_id"] for c in self.calls}
+        flows_, size = {}, None
+        while True:
+            callee = {c: ("M", c) if n["func_reg"] == -1 else self.at(n, n["func_reg"]) for c, n in ((c, self.node[c]) for c in self.asked) if n["func_reg"] >= 0 or n["property"]}
+            self.points |= set(callee.values())
+            for point in list(self.points):
+                allocs, more = self.step(point)
+                self.facts.setdefault(point, set()).update(allocs)
+                flows_.setdefault(point, set()).update(more)
+                self.points |= more
+            for point, more in flows_.items():
+                for m in more:
+                    self.facts.setdefault(point, set()).update(self.facts.get(m, ()))
+            self.edges |= {(c, self.node[a[1]]["declares"]) for c, p in callee.items() for a in self.facts.get(p, ()) if a[0] == "func"}
+            now = (len(self.points), sum(map(len, self.facts.values())), len(self.edges), len(self.asked), sum(map(len, flows_.values())))
+            if now == size:
+                open_ = {c for c in self.asked if not self.node[c]["is_ctor"]} - {c for c, _ in self.edges} - self.handled
+                if not open_:
+                    return self
+                self.handled |= open_
+            size = now
+
+
+def frames(spark, programs) -> Program:
+    functions, nodes, args, edges = ([x for p in programs for x in p[i]] for i in range(4))
+    rows = [tuple(n[c.split()[0]] for c in tables_of.NODE.split(", ")) for n in nodes]
+    edge = spark.createDataFrame(edges, "src long, dst long")
+    return Program(spark.createDataFrame(functions, tables_of.FUNCTION), spark.createDataFrame(rows, tables_of.NODE), edge, spark.createDataFrame(args, tables_of.ARG), edge)
 
 
 @pytest.fixture(scope="module")
 def solved(spark):
-    if not os.environ.get("FLOWTIDE_SLOW"):
-        pytest.skip("takes many minutes on a slow machine: set FLOWTIDE_SLOW=1")
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # many rounds over few rows: replanning costs more than it saves
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    rows = [*PROGRAMS.items(), ("broken", "var = ;"), ("empty", ""), ("nothing", None)]
-    p, errors = programs(spark.createDataFrame(rows, "program_id string, source string"))
-    assert [r.program_id for r in errors.collect()] == ["broken"]
-    yield p, {c: resolve.known(p, points=resolve.value_points(p).select("point"), calls=p.node.where("kind = 'Call'").select(F.col("node_id").alias("call_id")), captures=c) for c in ("exit", "any")}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    r = random.Random(21)
+    programs = [random_program(r, i) for i in range(14)]
+    p = frames(spark, programs)
+    yield p, programs, resolve.known(p)
     for k, v in before.items():
         spark.conf.set(k, v)
 
 
-def test_annotations(solved):
-    p, rows = solved
-    program = {r.func_id: (r.program_id, r.line) for r in p.function.collect()}
-    nodes = [r for r in p.node.collect()]
-    line = {n.node_id: n.line for n in nodes}
-    at = lambda name, number, kind: {n.node_id for n in nodes if (program[n.func_id][0], n.line, n.kind) == (name, number, kind)}
-    edges = {c: {(e.call_id, e.callee_id) for e in resolve.edges(r).collect()} for c, r in rows.items()}
+def test_random_programs(solved):
+    p, programs, rows = solved
+    plain = [Plain(*x).solve() for x in programs]
+    edges = {e for s in plain for e in s.edges}
+    assert {(e.call_id, e.callee_id) for e in resolve.edges(rows).collect()} == edges and len(edges) > 8
     facts = {}
-    for r in resolve.points_to(rows["exit"]).collect():
-        facts.setdefault(r.point, set()).add(line[int(r.alloc.split("|")[1])])
-    points = {r.node_id: r.point for r in resolve.value_points(p).collect()}
-    declares = {n.node_id: n.declares for n in nodes}
-    wrong = []
-    for name, kind, number, want in expected():
-        if kind == "callees":
-            calls = at(name, number, "Call")
-            got = {program[f][1] for c, f in edges["exit"] if c in calls}
-        elif kind == "callers":
-            own = {declares[n] for n in at(name, number, "DeclareFunction")}
-            got = {line[c] for c, f in edges["any"] if f in own}
-        else:
-            got = set().union(*(facts.get(points[n], set()) for n in at(name, number, "WriteVariable")))
-        if got != want:
-            wrong.append((name, kind, number, want, got))
-    assert not wrong
+    for r in resolve.points_to(rows).where("point like 'V|%'").collect():
+        facts.setdefault(r.point, set()).add(r.alloc)
+    want = {"|".join(map(str, point)): {f"{k}|{i}" for k, i in found} for s in plain for point, found in s.facts.items() if found and point[0] == "V"}
+    assert facts == want
+    assert {int(r.a) for r in rows.where("tag = 'handled'").collect()} == {c for s in plain for c in s.handled}
 
 
 def test_views_of_the_rows(solved):
-    p, rows = solved
-    by_call = {(r.call_id, r.callee_id) for r in resolve.edges(rows["exit"]).collect()}
-    assert {(r.call_id, r.func_id) for r in resolve.invocations(p, rows["exit"]).collect()} == by_call
-    points = resolve.value_points(p).join(p.node.select("node_id", "name", "func_id"), "node_id").join(p.function.where("program_id = 'ctor'").select("func_id"), "func_id")
-    t, u = (points.where(F.col("name") == n).select("point") for n in "tu")
-    assert resolve.alias_pairs(rows["exit"], t, u).count() == 1
-    counts = {r.tag: r.n for r in resolve.status(rows["exit"]).collect()}
+    p, _, rows = solved
+    by_call = {(r.call_id, r.callee_id) for r in resolve.edges(rows).collect()}
+    assert {(r.call_id, r.func_id) for r in resolve.invocations(p, rows).collect()} == by_call
+    held = {}
+    for r in resolve.points_to(rows).collect():
+        if not r.alloc.startswith("const"):
+            held.setdefault(r.point, set()).add(r.alloc)
+    some = sorted(held)[::17][:40]
+    df = p.node.sparkSession.createDataFrame([(x,) for x in some], "point string")
+    assert {tuple(r) for r in resolve.alias_pairs(rows, df, df).collect()} == {(a, b) for a in some for b in some if held[a] & held[b]}
+    counts = {r.tag: r.n for r in resolve.status(rows).collect()}
     assert counts["edge"] == len(by_call) and counts["handled"] >= 2
+    links = {tuple(r) for r in resolve.dependencies(rows).collect()}
+    assert links and all(a.split("|")[0] in "VHM" or a.isdigit() for a, _ in links)
 
 
 def test_time_limit(solved):
-    p, _ = solved
+    p, _, _ = solved
     with pytest.raises(TimeoutError):
         resolve.known(p, deadline=0.0)
     results = experiments.run(p, shapes=((1, 1),), timeout_s=-1)
