@@ -257,7 +257,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, history: DataFrame |
     batched, size = in_batches(texts(docs, carry=carried), batch_bytes)
     if bits is None:
         bits = (max(1 + size // (WORD_BYTES * RANGE_WINDOWS), partitions(spark)) - 1).bit_length()
-    asked = asks(batched.drop(*carried), bits, window)
+    asked = asks(batched, bits, window)  # the same rows as below, shuffled once
     if history is not None:
         asked = asked.unionByName(history.select("range", F.lit(-1).cast("long").alias("batch"), "keys", "checks"))
     answers = asked.groupBy("range").applyInArrow(_answers, "batch long, range long, seen binary")
