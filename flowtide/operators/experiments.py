@@ -2,39 +2,84 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import time
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import stored
 from ..plans.program import Program
 from . import resolve, scans
 
-RESULT = "size long, batch long, whole boolean, n_queries long, timed_out boolean, wall_ms long, n_points long, n_calls_asked long, n_flows long, n_facts long, n_edges long, n_handled long"
+RESULT = "size long, batch long, whole boolean, n_queries long, timed_out boolean, wall_ms long, task_ms long, heap_mb long, n_points long, n_calls_asked long, n_flows long, n_facts long, n_edges long, n_handled long"
+
+
+@contextlib.contextmanager
+def limited(spark: SparkSession, seconds: float):
+    """Jobs of this thread that run inside are cancelled when the time is over, and those begun after that; TimeoutError then."""
+    context, tag = spark.sparkContext, f"limit-{uuid.uuid4().hex}"
+    done, over = threading.Event(), threading.Event()
+
+    def watch():
+        if not done.wait(max(0, seconds)):
+            over.set()
+            while not done.wait(0.2):
+                context.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
+    try:
+        yield
+    except Exception as e:
+        if over.is_set():
+            raise TimeoutError(f"stopped after {seconds} s") from e
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        context.removeJobTag(tag)
+
+
+def usage(spark: SparkSession) -> tuple[int, int]:
+    """Milliseconds that executors have spent in tasks since the session began, and MB of heap that the driver holds."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    return sum(executors.apply(i).totalDuration() for i in range(executors.size())), (heap.totalMemory() - heap.freeMemory()) >> 20
 
 
 def run(p: Program, shapes=scans.BATCHES, timeout_s: float = 300, seed: int = 42, captures: str = "exit") -> DataFrame:
-    """One row per batch of callee queries in a seeded order; a batch that runs out of time has the limit as its time."""
-    queries = scans.batches(scans.external_calls(p), "node_id", shapes, seed).cache()
+    """One row per batch of callee queries in a seeded order; a batch that runs out of time is stopped, its running jobs too, and has the limit as its time.
+
+    task_ms: time of all tasks of the batch, summed over executors; heap_mb: heap of the driver when the batch ends.
+    """
+    spark = p.function.sparkSession
+    queries = stored(scans.batches(scans.external_calls(p), "node_id", shapes, seed))
     out = []
     for size, batch in sorted(tuple(r) for r in queries.select("size", "batch").distinct().collect()):
         calls = queries.where((F.col("size") == size) & (F.col("batch") == batch)).select(F.col("node_id").alias("call_id"))
-        begun, counts, late = time.monotonic(), {}, False
+        n_queries = calls.count()
+        begun, before, counts, late = time.monotonic(), usage(spark)[0], {}, False
         try:
-            counts = {r.tag: r.n for r in resolve.status(resolve.known(p, calls=calls, captures=captures, deadline=begun + timeout_s)).collect()}
+            with limited(spark, timeout_s):
+                counts = {r.tag: r.n for r in resolve.status(resolve.known(p, calls=calls, captures=captures, deadline=begun + timeout_s)).collect()}
         except TimeoutError:
             late = True
         wall = timeout_s if late else time.monotonic() - begun
-        out.append((size, batch, size == 0, calls.count(), late, int(1000 * wall), *(counts.get(t, 0) for t in ("point", "ask", "flow", "pts", "edge", "handled"))))
-    queries.unpersist()
-    return p.function.sparkSession.createDataFrame(out, RESULT)
+        task_ms, heap_mb = usage(spark)
+        out.append((size, batch, size == 0, n_queries, late, int(1000 * wall), task_ms - before, heap_mb, *(counts.get(t, 0) for t in ("point", "ask", "flow", "pts", "edge", "handled"))))
+    return spark.createDataFrame(out, RESULT)
 
 
 def report(results: DataFrame) -> DataFrame:
     """Totals, maxima and whole-number means by batch size."""
     return results.groupBy("size").agg(
         F.count("*").alias("batches"), F.sum("n_queries").alias("queries"), F.max("wall_ms").alias("slowest_ms"),
-        F.expr("sum(wall_ms) div count(*)").alias("mean_ms"), F.max("n_edges").alias("most_edges"), F.count_if("timed_out").alias("timed_out"),
+        F.expr("sum(wall_ms) div count(*)").alias("mean_ms"), F.sum("task_ms").alias("task_ms"), F.max("heap_mb").alias("most_heap_mb"),
+        F.max("n_edges").alias("most_edges"), F.count_if("timed_out").alias("timed_out"),
     )
 
 

@@ -1,6 +1,7 @@
 """Files in and out, live sets, batch runs and the command line."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,7 @@ def test_taint_and_batches(spark, folder):
     experiments.write(results, str(folder / "results"))
     again = spark.read.json(str(folder / "results"))
     assert again.count() == 2 and {r.batches for r in experiments.report(results).collect()} == {1}
+    assert all(r.task_ms > 0 and r.heap_mb > 0 for r in results.collect())
     sinks = spark.createDataFrame([("write",)], "name string")
     with pytest.raises(IndexError):
         experiments.taint(p, sinks, [99])
@@ -126,6 +128,21 @@ def test_taint_and_batches(spark, folder):
     assert resolve.edges(resolve.known(p)).count() == 1
 
 
+def test_limit_stops_running_jobs(spark):
+    begun = time.monotonic()
+    with pytest.raises(TimeoutError), experiments.limited(spark, 1):
+        spark.range(10**13).agg(F.sum(F.col("id") % 7)).collect()
+    assert time.monotonic() - begun < 30
+    before = experiments.usage(spark)[0]
+    with experiments.limited(spark, 60):
+        assert spark.range(10**6).agg(F.sum("id")).first()[0] == 499999500000
+    with pytest.raises(ValueError), experiments.limited(spark, 60):
+        raise ValueError
+    time.sleep(0.5)
+    task_ms, heap_mb = experiments.usage(spark)
+    assert task_ms > before and heap_mb > 0
+
+
 def test_small_relations(spark):
     edges = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "call_id long, callee_id long")
     assert relations.edge_count(edges).first().edges == 2
