@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat
+from .best_fit import pack_best_fit
 from .common import table
 from .decontamination import decontaminate
 from .html_extraction import extract
 from .language_id import language_id
+from .lexical_search import lexical_search
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality import quality
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
@@ -63,6 +69,39 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"), remainder(5) != 0, remainder(5) == 0)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The fixed rule of query 13: in every tenth document, by crc32, the words from some place on repeat with some period. None for a null id."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), repeated_tail)
+    higher = lambda a, b: b["length"] * a["period"] - a["length"] * b["period"]
+    order = lambda a, b: F.coalesce(*(F.when(x != 0, F.signum(x).cast("int")) for x in (higher(a, b), a["start"] - b["start"], a["period"] - b["period"])), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", F.get(F.array_sort("runs", order), F.lit(0)))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +112,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_chat_formatting, op3_substring_dedup, op4_benchmark_decontamination, op5_exact_topk,
-        op6_packing, op7_simhash_near_dedup, op8_token_counts, op9_quality_classifier, op10_language_id, pipeline,
+        op6_packing, op7_simhash_near_dedup, op8_token_counts, op9_quality_classifier, op10_language_id, op11_best_fit_packing, op12_lexical_search, op13_periodic_runs, pipeline,
     )
 }
 
@@ -131,4 +170,52 @@ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_
 SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op2_chat_formatting": chat.SQL, "op3_substring_dedup": _SUBSTRING, "op4_benchmark_decontamination": _LEAKS, "op5_exact_topk": _TOPK}
+_TERMS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS ts FROM benchmark),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+asked AS (SELECT q, item_id, t, CAST(count(*) AS BIGINT) AS c FROM (SELECT q, item_id, unnest(ts) AS t FROM b) GROUP BY q, item_id, t),
+held AS (
+  SELECT r, doc_id, n, t, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY r, doc_id, n, t
+),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY t),
+scores AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // total))))) AS BIGINT) AS score
+  FROM held JOIN asked USING (t) JOIN weights USING (t), totals GROUP BY q, item_id, r, doc_id
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+_RUNS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+hashed AS (
+  SELECT *, CAST(len(ws) AS BIGINT) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda h, c: list_reduce(list_prepend(xor(h, c), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+  FROM d
+),
+planted AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, 3 + (h // 10) % 8 AS parts FROM hashed),
+word AS (
+  SELECT r, n, i, ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM planted)
+),
+same AS (SELECT x.r, x.n, x.i, y.i - x.i AS p FROM word x JOIN word y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (
+  SELECT r, p, min(i) AS s, count(*) + p AS l FROM (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS k FROM same) GROUP BY r, p, k
+),
+run AS (SELECT r, s, l, min(p) AS p FROM stretch WHERE l >= greatest(6, 4 * p) GROUP BY r, s, l),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', p, chr(10)), '' ORDER BY s, p) AS lines FROM run GROUP BY r),
+best AS (
+  SELECT r, s, l, p FROM (
+    SELECT r, s, l, p, row_number() OVER (PARTITION BY r ORDER BY CAST(l AS DOUBLE) / p DESC, s, p) AS place FROM run
+  ) WHERE place = 1
+),
+gone AS (SELECT DISTINCT r, i FROM (SELECT r, unnest(range(s + p, s + l)) AS i FROM run)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(p AS BIGINT) AS period,
+  CAST(1000 * l // p AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL = {"op2_chat_formatting": chat.SQL, "op3_substring_dedup": _SUBSTRING, "op4_benchmark_decontamination": _LEAKS, "op5_exact_topk": _TOPK, "op12_lexical_search": _SEARCH, "op13_periodic_runs": _RUNS}
