@@ -2,8 +2,8 @@
 
 The terms of the queries (a benchmark's items) are a table of known size; items beyond MAX_TERMS terms are searched in
 blocks. The corpus is read once a block: each document's counts of those terms are stored (the forward table), and from
-it lists of (row, impact), sorted by impact, one for each term and each block of BLOCK documents, so that a list of a
-very common term is many lists. Then, with m lists of an item and k answers asked for:
+it lists of (row, impact), sorted by impact, one for each term and each block of up to BLOCK documents, so that a list of a
+very common term is many lists; they are dealt out by term and block. Then, with m lists of an item and k answers asked for:
 
 1. Heads: the k best entries of each term. The exact scores of their documents give tau, a lower bound of the item's k-th score.
 2. Threshold: a document without an entry of tau / m or more in some list of the item scores less than tau. Every list gives
@@ -140,60 +140,50 @@ def document_frequencies(rows: DataFrame, size: int) -> np.ndarray:
     return df
 
 
-def _block(rows: np.ndarray, blocks: int) -> np.ndarray:
-    """Deals rows to blocks evenly, whatever their numbers have in common."""
-    return ((rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
-
-
-def _sorted_list(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((rows, -values))
-    return rows[order], values[order]
-
-
 def _segments(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values in a sorted array."""
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return first, np.append(first[1:], len(key))
+    fresh = np.flatnonzero(key[1:] != key[:-1]) + 1
+    return (np.append(0, fresh), np.append(fresh, len(key))) if len(key) else (fresh, fresh)
 
 
-def posting_lists(rows: DataFrame, documents: int, total: int, blocks: int) -> DataFrame:
-    """The list of every (term, block of documents), best impacts first."""
+def posting_lists(rows: DataFrame, documents: int, total: int, per_block: int) -> DataFrame:
+    """The list of every (term, block of documents), best impacts first. A block is of up to per_block documents that are read together."""
 
-    def parts(it):
-        for batch in it:
+    def lists(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+        terms, every, found = [], [], []
+        for batch in held:
             place, term, counts = _flat(batch)
-            row = batch["row"].to_numpy()[place]
-            impact = impacts(counts, batch["n"].to_numpy()[place], documents, total).astype(np.int32)
-            key = term * blocks + _block(row, blocks)
-            order = np.argsort(key, kind="stable")
-            key, row, impact = key[order], row[order], impact[order]
-            first, last = _segments(key)
-            spans = list(zip(first.tolist(), last.tolist(), strict=True))
-            yield pa.record_batch({
-                "term": pa.array(key[first] // blocks, pa.int32()),
-                "block": pa.array(key[first] % blocks),
-                "rows": pa.array([row[a:b].tobytes() for a, b in spans], pa.binary()),
-                "impacts": pa.array([impact[a:b].tobytes() for a, b in spans], pa.binary()),
-            })
-
-    def merged(it):
-        at, held = None, []
+            terms.append(term)
+            every.append(batch["row"].to_numpy()[place])
+            found.append(impacts(counts, batch["n"].to_numpy()[place], documents, total).astype(np.int32))
+        term, row, impact = (np.concatenate(x) for x in (terms, every, found))
+        order = np.lexsort((row, -impact, term))
+        term, row, impact = term[order], row[order], impact[order]
+        first, last = _segments(term)
+        spans = list(zip(first.tolist(), last.tolist(), strict=True))
+        return pa.record_batch({
+            "term": pa.array(term[first], pa.int32()),
+            "block": pa.array(np.full(len(first), block)),
+            "rows": pa.array([row[a:b].tobytes() for a, b in spans], pa.binary()),
+            "impacts": pa.array([impact[a:b].tobytes() for a, b in spans], pa.binary()),
+        })
 
-        def made():
-            row, impact = _sorted_list(*(np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, kind in ((0, np.int64), (1, np.int32))))
-            return pa.record_batch([pa.array([at[0]], pa.int32()), pa.array([at[1]]), pa.array([row.tobytes()], pa.binary()), pa.array([impact.tobytes()], pa.binary())], ["term", "block", "rows", "impacts"])
+    def parts(it):
+        from pyspark import TaskContext
 
+        block, held, n = TaskContext.get().partitionId() << 40, [], 0
         for batch in it:
-            for term, block, r, i in zip(*(batch[c].to_pylist() for c in ("term", "block", "rows", "impacts")), strict=True):
-                if (term, block) != at:
-                    if held:
-                        yield made()
-                    at, held = (term, block), []
-                held.append((r, i))
+            for at in range(0, batch.num_rows, per_block):
+                part = batch.slice(at, per_block)
+                if held and n + part.num_rows > per_block:
+                    yield lists(held, block)
+                    block, held, n = block + 1, [], 0
+                held.append(part)
+                n += part.num_rows
         if held:
-            yield made()
+            yield lists(held, block)
 
-    return rows.mapInArrow(parts, LISTS).repartition("term", "block").sortWithinPartitions("term", "block").mapInArrow(merged, LISTS)
+    return rows.mapInArrow(parts, LISTS).repartition("term", "block")
 
 
 def _best(df: DataFrame, key: str, value: str, k: int, *ties) -> DataFrame:
@@ -206,17 +196,23 @@ def exact(pairs: DataFrame, rows: DataFrame, shared, documents: int, total: int)
 
     def scores(it):
         items: Items = shared.value
+        factors = [items.factors(i) for i in range(len(items.terms))]
+        impact_of = np.zeros(len(items.vocabulary), np.int64)  # in the document at hand
         for batch in it:
-            out: list[tuple] = []
-            for row, doc_id, n, terms, counts, asked in zip(*(batch[c] for c in ("row", "doc_id", "n", "terms", "counts", "items")), strict=True):
-                terms, counts = np.array(terms.values, np.int64), np.array(counts.values, np.int64)
-                impact = impacts(counts, n.as_py(), documents, total)
-                for item in asked.as_py():
-                    own = items.terms[item]
-                    at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
-                    out.append((item, row.as_py(), doc_id.as_py(), int((items.factors(item) * impact[at])[terms[at] == own].sum())))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["item", "row", "doc_id", "score"])
+            place, term, counts = _flat(batch)
+            impact = impacts(counts, batch["n"].to_numpy()[place], documents, total)
+            first = np.searchsorted(place, np.arange(batch.num_rows + 1)).tolist()
+            asked = batch["items"].to_pylist()
+            found = []
+            for a, b, own in zip(first[:-1], first[1:], asked, strict=True):
+                impact_of[term[a:b]] = impact[a:b]
+                begin = np.cumsum([0] + [len(factors[i]) for i in own[:-1]])
+                found.append(np.add.reduceat(impact_of[np.concatenate([items.terms[i] for i in own])] * np.concatenate([factors[i] for i in own]), begin))
+                impact_of[term[a:b]] = 0
+            each = np.array([len(x) for x in asked], np.int64)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), each))
+            score = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.record_batch({"item": batch["items"].flatten(), "row": batch["row"].take(of), "doc_id": batch["doc_id"].take(of), "score": pa.array(score)})
 
     return rows.where("size(terms) > 0").join(pairs.groupBy("row").agg(F.collect_set("item").alias("items")), "row").mapInArrow(scores, "item int, row long, doc_id long, score long")
 
@@ -306,7 +302,7 @@ def _search(docs: DataFrame, block: list[tuple], field: pa.DataType, k: int, per
     documents, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     items.weigh(documents, document_frequencies(rows, len(items.vocabulary)))
     shared = spark.sparkContext.broadcast(items)
-    lists = stored(posting_lists(rows, documents, total, 1 + documents // per_block))
+    lists = stored(posting_lists(rows, documents, total, per_block))
 
     terms = spark.createDataFrame([(i, t) for i, own in enumerate(items.terms) for t in own[items.factors(i) > 0].tolist()], "item int, term int")
     pairs = heads(lists, k).join(terms, "term").select("item", "row").distinct()
