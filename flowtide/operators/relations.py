@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure, closure_by_doubling, propagate_by_doubling
+from ..plans.fixpoint import closure, closure_by_doubling, propagate
 from ..plans.program import Program
 
 
@@ -68,7 +68,7 @@ def dependencies(pairs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
 
 def error_rollup(pairs: DataFrame, errors: DataFrame) -> DataFrame:
     """(from_query, error): errors of a query and of all it depends on, taken along the dependencies (from_query, to_query)."""
-    return propagate_by_doubling(pairs.toDF("src", "dst"), errors.select(F.col("query_id").alias("node"), F.col("error").alias("label"))).toDF("from_query", "error")
+    return propagate(pairs.toDF("src", "dst"), errors.select(F.col("query_id").alias("node"), F.col("error").alias("label"))).toDF("from_query", "error")
 
 
 def query_counts(asked: DataFrame) -> DataFrame:

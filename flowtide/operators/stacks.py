@@ -11,6 +11,7 @@ All queries, of both directions and of many programs, advance in the same round.
 
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import stored
 from .resolve import merged
-from .transfer import MOVE, Inputs, Transfer
+from .transfer import MOVE, Inputs, Templates, Transfer
 
 TRANS = ["system", "stack", "p", "g", "q"]
 REACHED = ["system", "place", "fact"]
@@ -40,7 +41,7 @@ def machine_rules(moves: DataFrame) -> DataFrame:
         F.lit("F"), F.when(kind == "FP", "P").when(kind == "FO", "O").otherwise("N"), _fact("place", "fact"), F.when(kind == "FO", F.col("x")).otherwise(ANY),
         _fact("place2", "fact2"), F.when(kind == "FP", F.col("x")).when(kind == "FO", "").otherwise(ANY), F.lit(ANY),
     )
-    return moves.select("system", F.explode(F.array(calls, fields)).alias("r")).select("system", "r.*").distinct()
+    return moves.select("system", F.explode(F.array(calls, fields)).alias("r")).select("system", "r.*")
 
 
 def _fired(trans: DataFrame, rules: DataFrame) -> DataFrame:
@@ -87,10 +88,7 @@ class Grown:
 
     @property
     def total(self) -> DataFrame:
-        out = self.empty
-        for df, _ in self.parts:
-            out = out.union(df)
-        return out
+        return functools.reduce(DataFrame.union, [df for df, _ in self.parts]) if self.parts else self.empty
 
     def add(self, rows: DataFrame) -> int:
         rows = rows.select(self.empty.columns).distinct()
@@ -123,7 +121,7 @@ class Machine:
 
     def __init__(self, transfer: Transfer, deadline: float | None = None):
         spark = transfer.edges.sparkSession
-        frame = lambda schema: spark.createDataFrame([], schema)
+        frame = lambda schema: spark.range(0).where("false").select(*(F.lit(None).cast(kind).alias(name) for name, kind in map(str.split, schema.split(", "))))
         self.transfer, self.deadline = transfer, deadline
         self.queries = Grown(frame("system string, forward boolean, place long, fact string"))
         self.trans = Grown(frame("system string, stack string, p string, g string, q string"))
@@ -141,14 +139,14 @@ class Machine:
             self.waiting = calls.union(fields)
         return n
 
-    def _derived(self, reached: DataFrame, inputs: Inputs) -> DataFrame:
-        direction = self.queries.total.select("system", "forward")
-        return self.transfer.moves(reached.join(direction, "system"), inputs, self.queries.total)
+    def _derived(self, reached: DataFrame, templates: Templates) -> DataFrame:
+        queries = self.queries.total
+        return templates.moves(reached.join(queries.select("system", "forward"), "system"), queries)
 
     def run(self, inputs: Inputs, told: bool = False) -> None:
         """Saturates; told: the inputs have grown, so that facts reached earlier may move further."""
-        began = time.monotonic()
-        rules = self.moves.add(self._derived(self.reached.total, inputs)) if told and self.reached.parts else 0
+        began, templates = time.monotonic(), Templates(self.transfer, inputs)
+        rules = self.moves.add(self._derived(self.reached.total, templates)) if told and self.reached.parts else 0
         new_rules = machine_rules(self.moves.new) if rules else None
         seeds, self.waiting = getattr(self, "waiting", None), None
         while True:
@@ -163,7 +161,7 @@ class Machine:
             heads = _heads(self.trans.new)
             other = _heads(self.trans.total).withColumnRenamed("stack", "other")
             facts = self.reached.add(heads.join(other, REACHED).where("stack <> other").select(REACHED)) if trans else 0
-            rules = self.moves.add(self._derived(self.reached.new, inputs)) if facts else 0
+            rules = self.moves.add(self._derived(self.reached.new, templates)) if facts else 0
             new_rules = machine_rules(self.moves.new) if rules else None
             self.rounds.append({"round": len(self.rounds) + 1, "transitions": trans, "facts": facts, "moves": rules, "seconds": time.monotonic() - began})
             began = time.monotonic()
@@ -175,10 +173,7 @@ class Machine:
         new, total = self.trans.new.select(TRANS) if self.trans.last else None, self.trans.total
         out = [] if new is None else [_fired(new, machine_rules(self.moves.total)), _skipped(new, total), _skipped(total, new)]
         out += [] if new_rules is None else [_fired(total, new_rules)]
-        found = out[0]
-        for more in out[1:]:
-            found = found.union(more)
-        return found
+        return functools.reduce(DataFrame.union, out)
 
     def result(self) -> Solved:
         return Solved(self.queries.total, self.trans.total, self.reached.total, self.moves.total.select(MOVE), self.rounds)

@@ -258,3 +258,61 @@ class Transfer:
         by_name = _kind("DeclareFunction") & F.col("fact").startswith("v|") & F.coalesce(F.regexp_extract("fact", r"^v\|[^|]*\|(.*)$", 1) == F.regexp_extract("function_variable", r"^v\|[^|]*\|(.*)$", 1), F.lit(False))
         direct = at.where(made & _is("result") | by_name).select("system", "alloc")
         return direct.union(at.where(_kind("ReadVariable") & _is("result")).join(self.static, "place").select("system", F.col("named").alias("alloc"))).distinct()
+
+
+#: A fact of each class that no node has an own rule for.
+OTHERS = ("r|?|?", "v|?|?", "obj|?|?", "const|?", "func|?", "mcall|?", "s|?")
+NO_PLACE, SEED = -1, "seed"
+
+
+class Templates:
+    """The moves of all facts, looked up instead of derived anew in each round.
+
+    Moves are derived once for the facts that a node mentions, and for one made-up fact of each class, which stands for all others of
+    it: a node treats those alike, but for variables, which calls, returns and beginnings of functions tell apart by who sees them (`views`). Objects are told
+    apart by their register too, where a variable is written. The table is linear in nodes, call edges and aliases.
+    """
+
+    def __init__(self, t: Transfer, inputs: Inputs):
+        self.transfer = t
+        of_call = lambda kind: F.when(_kind("Call"), _key(kind, "place"))
+        own = F.array("result", "base", "stored", "callee", "variable", "alloc", "function_variable", of_call("mcall"), of_call("s"), F.when(_kind("WriteVariable"), F.concat(F.lit("obj|?|"), F.element_at(F.split("stored", r"\|"), -1))))
+        facts = t.facts.select("place", F.explode(F.array_compact(F.concat(own, F.col("args"), F.array(*map(F.lit, OTHERS))))).alias("fact"))
+        bound = t.facts.where(_kind("Return") | F.col("is_first")).join(t.functions.select("func_id", "params"), "func_id").select("place", F.explode("params").alias("name"), "func_id").select("place", _key("v", "func_id", "name"))
+        captured = t.facts.where(_kind("Constant") & F.col("is_first")).join(t.capturing, "func_id").select("place", "captured")
+        facts = facts.union(bound).union(captured).union(inputs.alias.select("place", "alloc")).distinct()
+        ways = stored(facts.withColumn("forward", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("system", F.concat_ws("~", F.col("forward").cast("string"), F.col("place").cast("string"), "fact")))
+        entering = ways.join(t.facts.where(F.col("is_first") & ~F.col("is_main")).select("place"), "place", "left_semi").where((F.col("fact") == "v|?|?") & ~F.col("forward"))
+        whole = ways.join(entering.select("system"), "system", "left_anti")
+        seeds = ways.select("system", "forward", F.lit(NO_PLACE).cast("long").alias("place"), F.lit(SEED).alias("fact"))
+        moves = t.moves(whole, inputs, seeds).union(t._moves(t.local(entering, False), "N"))
+        key = ways.select("system", "forward", F.col("place").alias("at"), F.col("fact").alias("key"))
+        self.rows = stored(key.join(moves, "system", "left").drop("system"))
+        edge = inputs.call_edge
+        function = t.functions.select("func_id", "first", "last", "outer_func_id", "is_main")
+        call = t.facts.where(_kind("Call")).select(F.col("place").alias("call"), F.col("func_id").alias("site_func"), "internal")
+        sites = edge.join(call, "call").join(function.withColumnRenamed("func_id", "callee"), "callee")
+        nowhere = F.lit(None).cast("long")
+        calls = sites.where(~F.col("internal") & F.col("first").isNotNull()).select(F.lit(True).alias("forward"), F.col("call").alias("place"), F.col("callee").alias("viewer"), F.lit("P").alias("kind"), F.col("first").alias("place2"), F.col("call").cast("string").alias("x"), nowhere.alias("unseen"))
+        ends = t.facts.where(_kind("Return") & ~F.col("is_main")).select("place", F.col("func_id").alias("callee"))
+        returns = ends.join(sites, "callee").join(t.edges.select(F.col("src").alias("call"), F.col("dst").alias("place2")), "call").select(F.lit(True), "place", "site_func", F.lit("N"), "place2", F.lit(""), nowhere)
+        around = function.select(F.col("func_id").alias("outer_func_id"), F.col("last").alias("unseen"))
+        begins = sites.where(~F.col("is_main") & F.col("first").isNotNull()).drop("last").join(around, "outer_func_id", "left").select(F.lit(False), F.col("first"), "site_func", F.lit("O"), "call", F.lit(""), "unseen")
+        self.views = stored(calls.union(returns).union(begins).distinct())
+
+    def moves(self, reached: DataFrame, seeds: DataFrame) -> DataFrame:
+        """As Transfer.moves."""
+        kind = F.substring_index("fact", "|", 1)
+        other = F.when(kind.isin("r", "v"), F.concat(kind, F.lit("|?|?"))).when(kind == "obj", "obj|?|?").otherwise(F.concat(kind, F.lit("|?")))
+        keys = F.array_compact(F.array(F.col("fact"), F.when(kind == "obj", F.concat(F.lit("obj|?|"), F.element_at(F.split("fact", r"\|"), -1))), other))
+        fact = reached.select("system", "forward", F.col("place").alias("at"), F.col("fact").alias("real"), F.posexplode(keys.alias("k")).alias("turn", "key"))
+        known = fact.join(self.rows, ["forward", "at", "key"])
+        known = known.withColumn("least", F.min("turn").over(Window.partitionBy("system", "at", "real"))).where("turn = least")
+        begin = seeds.select("system", F.col("place").alias("seed_place"), F.col("fact").alias("seed_fact"))
+        of = lambda c: F.when(F.col(c) == F.col("key"), F.col("real")).when(F.col(c) == SEED, F.col("seed_fact")).otherwise(F.col(c))
+        moves = known.where("kind is not null").join(begin, "system").select("system", "kind", F.when(F.col("place") == NO_PLACE, F.col("seed_place")).otherwise(F.col("place")).alias("place"), of("fact").alias("fact"), "place2", of("fact2").alias("fact2"), "x")
+        seen = self.transfer.visible.select("viewer", F.col("seen").alias("real"), F.lit(True).alias("there"))
+        looked = known.where("key = 'v|?|?'").select("system", "forward", F.col("at").alias("place"), "real").distinct().join(self.views, ["forward", "place"]).join(seen, ["viewer", "real"], "left")
+        there = F.col("there").isNotNull()
+        looked = looked.where(there | F.col("unseen").isNotNull()).select("system", F.when(there, F.col("kind")).otherwise("N").alias("kind"), "place", F.col("real").alias("fact"), F.when(there, F.col("place2")).otherwise(F.col("unseen")).alias("place2"), F.col("real").alias("fact2"), F.when(there, F.col("x")).otherwise("").alias("x"))
+        return moves.union(looked).distinct()

@@ -68,36 +68,70 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", within: DataFr
     return fixpoint(seed, lambda new, _: new.join(hop, "dst").select("src", F.col("next").alias("dst")))
 
 
+def _single(pairs: DataFrame) -> tuple[int, int, int]:
+    """How many links (src, dst) there are, how many are the only one of their src, and of their dst."""
+    one = lambda end: pairs.groupBy(end).count().where("count = 1").count()
+    return pairs.count(), one("src"), one("dst")
+
+
+def _further(pairs: DataFrame, jump: DataFrame) -> DataFrame:
+    return pairs.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
+
+
 def closure_by_doubling(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """As closure, in as many rounds as the longest path has binary digits; meant for long chains.
+    """As closure; where every src or every dst has one edge, in as many rounds as the longest path has binary digits.
 
-    `jump` has the pairs joined by exactly 2**k edges, `total` those joined by 1 to 2**k; a round that adds
-    nothing to `total` shows that it is closed.
+    `jump` has the pairs joined by exactly 2**k edges, one for each src (or dst) at most, `total` those joined by 1 to 2**k; a
+    round that adds nothing to `total` shows that it is closed. In other graphs `jump` could hold far more pairs than edges and answers: those go edge by edge.
     """
     jump = total = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    n, by_src, by_dst = _single(jump)
+    if n not in (by_src, by_dst):
+        return closure(jump)
     while True:
-        hop = jump.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        further = lambda pairs, hop=hop: pairs.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
-        added = cut(further(total).join(total, ["src", "dst"], "left_anti"))
+        added = cut(_further(total, jump).join(total, ["src", "dst"], "left_anti"))
         if added.isEmpty():
             return total
-        total, jump = cut(total.unionByName(added)), cut(further(jump))
+        total, jump = cut(total.unionByName(added)), cut(_further(jump, jump))
+
+
+#: Chains of fewer links are gone along link by link.
+LONG_CHAIN = 16
 
 
-def propagate_by_doubling(links: DataFrame, labels: DataFrame) -> DataFrame:
+def propagate(links: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): the labels (node, label) of each node and of all that its links (src, dst) lead to.
 
-    As in closure_by_doubling, a round looks twice as far; but only labels are carried, not pairs of nodes.
+    Links that are the only one of their src (or dst, whichever are more) form chains; along chains labels go by doubling, and from chain to chain
+    link by link, each time only those that are new. No table holds more rows than links, labels and answers.
     """
-    jump, total = cut(links.select("src", "dst").distinct()), cut(labels.select("node", "label").distinct())
-    while True:
-        ahead = jump.select(F.col("dst").alias("node"), "src")
-        added = cut(total.join(ahead, "node").select(F.col("src").alias("node"), "label").distinct().join(total, ["node", "label"], "left_anti"))
-        hop = jump.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        jump = cut(jump.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct())
-        if added.isEmpty():
-            return total
-        total = cut(total.unionByName(added))
+    pairs = cut(links.select("src", "dst").where("src <> dst").distinct())
+    n, by_src, by_dst = _single(pairs)
+    end = "src" if by_src >= by_dst else "dst"
+    only = pairs.groupBy(end).count().where("count = 1").select(end)
+    jumps, rest = [cut(pairs.join(only, end, "left_semi"))], pairs.join(only, end, "left_anti")
+    while 1 << len(jumps) <= max(by_src, by_dst):
+        jump = cut(_further(jumps[-1], jumps[-1]))
+        if jump.isEmpty():
+            break
+        jumps.append(jump)
+    if 1 << len(jumps) <= LONG_CHAIN:
+        jumps, rest = [], pairs
+    rest = cut(rest)
+
+    def along(found: DataFrame, by: DataFrame) -> DataFrame:
+        return found.join(by.select(F.col("dst").alias("node"), "src"), "node").select(F.col("src").alias("node"), "label")
+
+    new = cut(labels.select("node", "label").distinct())
+    total, rounds = new.where("false"), 0
+    while not new.isEmpty():
+        for jump in jumps:
+            new = cut(new.union(along(new, jump)).distinct())
+        new = cut(new.join(total, ["node", "label"], "left_anti")) if rounds and jumps else new
+        total, rounds = total.union(new), rounds + 1
+        total = cut(total) if rounds % 8 == 0 else total
+        new = cut(along(new, rest).distinct().join(total, ["node", "label"], "left_anti"))
+    return total
 
 
 def roots(links: DataFrame) -> DataFrame:

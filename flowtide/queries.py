@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import flows, names, relations, scans
-from .plans.fixpoint import propagate_by_doubling
+from .plans.fixpoint import propagate
 from .sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,7 +379,7 @@ def demanded_queries(spark, d):
     """The failing queries and all sub-queries that they create, each once."""
     deps, errors = _deps(spark, d)
     asked = errors.select(F.col("query_id").alias("node"), F.lit(True).alias("label"))
-    return propagate_by_doubling(deps.select(F.col("to_query").alias("src"), F.col("from_query").alias("dst")), asked).select(F.col("node").alias("query_id"))
+    return propagate(deps.select(F.col("to_query").alias("src"), F.col("from_query").alias("dst")), asked).select(F.col("node").alias("query_id"))
 
 
 # -- output forms -------------------------------------------------------------
@@ -401,8 +401,3 @@ def callgraph_text(spark, d):
 @query(f"""{_DEPS} SELECT '"' || from_query || '" -> "' || to_query || '";' AS value FROM dep""")
 def dependency_dot(spark, d):
     return files.dot(_deps(spark, d)[0], "from_query", "to_query")
-
-
-#: Names under which the queries without a sample were first registered.
-for _name in ("direct_deps", "dep_reach", "errors_impacting", "demanded_queries", "dependency_dot"):
-    QUERIES[f"whole_{_name}"], ORACLE_SQL[f"whole_{_name}"] = QUERIES[_name], ORACLE_SQL[_name]

@@ -6,7 +6,7 @@ import pytest
 from test_resolve import Plain, frames, random_program
 
 from flowtide.operators import stacks
-from flowtide.operators.transfer import Inputs, Transfer
+from flowtide.operators.transfer import Inputs, Templates, Transfer
 
 DEPTH = 6
 
@@ -287,8 +287,9 @@ def test_one_step_of_every_fact(quick):
                     facts.append((system, forward, place, v))
                     want |= {(system, *m) for m in plain.moves(forward, place, v, (place, v))}
     given = quick.createDataFrame(facts, "system string, forward boolean, place long, fact string")
-    got = {tuple(x) for x in Transfer(p).moves(given, inputs(quick, made), given).collect()}
-    assert got == want
+    transfer, told = Transfer(p), inputs(quick, made)
+    assert {tuple(x) for x in transfer.moves(given, told, given).collect()} == want
+    assert {tuple(x) for x in Templates(transfer, told).moves(given, given).collect()} == want
     assert {x[1] for x in want} == {"N", "P", "O", "FP", "FO"}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowtide import cli
 from flowtide.operators import experiments, relations, resolve, scans
-from flowtide.plans.fixpoint import propagate_by_doubling, roots
+from flowtide.plans.fixpoint import propagate, roots
 from flowtide.sources import files, tables
 from flowtide.sources.javascript import programs
 from flowtide.streaming import live
@@ -151,7 +151,7 @@ def test_small_relations(spark):
     pct = spark.createDataFrame([(0, 0), (1, 3), (2, 2)], "a int, b int").select(scans.percentage(F.col("a"), F.col("b")).alias("p"))
     assert [r.p for r in pct.collect()] == ["100.00%", "33.33%", "100.00%"]
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "src long, dst long")
-    got = propagate_by_doubling(links, spark.createDataFrame([(4, "x"), (2, "y"), (9, "z")], "node long, label string"))
+    got = propagate(links, spark.createDataFrame([(4, "x"), (2, "y"), (9, "z")], "node long, label string"))
     assert sorted(map(tuple, got.collect())) == [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "x"), (3, "y"), (4, "x"), (9, "z")]
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)] + [(100, 101), (101, 100), (102, 100)], "node long, prev long")
     assert sorted(map(tuple, roots(chain).collect())) == [(i, 0, i) for i in range(40)]

@@ -2,12 +2,13 @@
 
 import datetime
 import random
+import time
 from types import SimpleNamespace
 
 import pytest
 
 from flowtide.operators import flows
-from flowtide.plans.fixpoint import closure_by_doubling
+from flowtide.plans.fixpoint import closure_by_doubling, propagate
 from flowtide.queries import QUERIES
 from flowtide.sources import tables
 
@@ -46,11 +47,11 @@ def test_whole_dependencies(spark, events):
     rows = lambda name: sorted(map(tuple, QUERIES[name](spark, folder).collect()))
     pairs = reach(links)
     assert any(a % 6 == 0 for a, _ in links)
-    assert rows("whole_direct_deps") == sorted(links)
-    assert rows("whole_dep_reach") == sorted(pairs)
-    assert rows("whole_errors_impacting") == sorted({(a, f"error {b % 7}") for a, b in pairs if b in errors} | {(e, f"error {e % 7}") for e in errors})
-    assert rows("whole_demanded_queries") == sorted((x,) for x in errors | {b for a, b in pairs if a in errors})
-    assert rows("whole_dependency_dot") == sorted((f'"{a}" -> "{b}";',) for a, b in links)
+    assert rows("direct_deps") == sorted(links)
+    assert rows("dep_reach") == sorted(pairs)
+    assert rows("errors_impacting") == sorted({(a, f"error {b % 7}") for a, b in pairs if b in errors} | {(e, f"error {e % 7}") for e in errors})
+    assert rows("demanded_queries") == sorted((x,) for x in errors | {b for a, b in pairs if a in errors})
+    assert rows("dependency_dot") == sorted((f'"{a}" -> "{b}";',) for a, b in links)
 
 
 def test_closure_by_doubling(spark):
@@ -62,6 +63,30 @@ def test_closure_by_doubling(spark):
         assert sorted(map(tuple, got.collect())) == sorted(reach(edges))
 
 
+@pytest.mark.parametrize(("nodes", "links", "chain"), [(2000, 4000, 0), (60, 90, 300), (40, 30, 5)])
+def test_labels_of_graphs(spark, nodes, links, chain):
+    """Branches, cycles and long chains between them; seconds also where the pairs of nodes are many."""
+    r = random.Random(nodes)
+    edges = [(r.randrange(nodes), r.randrange(nodes)) for _ in range(links)] + [(10_000 + i, 10_001 + i) for i in range(chain)]
+    edges += [(10_000 + chain, r.randrange(nodes)), (r.randrange(nodes), 10_000)]
+    labels = [(r.randrange(nodes), f"l{i}") for i in range(2)] + [(10_000 + chain // 2, "mid")]
+    want = set()
+    for node, label in labels:
+        before = {}
+        for a, b in edges:
+            before.setdefault(b, []).append(a)
+        todo = [node]
+        while todo:
+            at = todo.pop()
+            if (at, label) not in want:
+                want.add((at, label))
+                todo += before.get(at, ())
+    began = time.monotonic()
+    got = propagate(spark.createDataFrame(edges + edges[:5], "src long, dst long"), spark.createDataFrame(labels + labels[:1], "node long, label string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert time.monotonic() - began < 120
+
+
 def test_whole_call_reach(spark, monkeypatch):
     """All functions are searched and no edge is dropped, whatever the ids."""
     r = random.Random(11)
