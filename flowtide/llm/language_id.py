@@ -137,9 +137,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 def chosen(docs: DataFrame, learn, per_lang: int) -> DataFrame:
     """(doc_id, lang, h) of the rows to learn from: of each language the per_lang lowest hashes of doc_id.
 
-    Only rows under a threshold that some twice as many pass are ranked, so that no task ranks a language.
+    Only ids under a threshold that some twice as many pass are ranked, so that no task ranks a language. A language with
+    few ids keeps them all, however many rows share one.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
     counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("of_lang")))
     low = rows.join(counts, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("of_lang") < 2 * per_lang + 64)
     ranked = Window.partitionBy("lang").orderBy("h", "doc_id")

@@ -151,6 +151,16 @@ def test_many_languages_and_repeated_ids(spark):
     assert len(got) == 260 and np.mean([r.lang_pred == names[r.doc_id // 10] for r in got]) > 0.95
 
 
+def test_a_language_of_one_shared_id(spark):
+    """Thousands of rows of one id count once: the id's own hash doesn't decide whether the language is learnt."""
+    rows = [(i, f"el perro come {i % 5} casa la mesa", "es") for i in range(30)]
+    for shared in range(1000, 1006):
+        df = spark.createDataFrame(rows + [(shared, f"the dog eats {i % 7} house with things", "en") for i in range(2000)], "doc_id long, text string, lang string")
+        assert {(r.lang, r["count"]) for r in language_id.chosen(df, F.lit(True), 10).groupBy("lang").count().collect()} == {("es", 10), ("en", 1)}
+    got = language_id.language_id(df, F.lit(True), F.lit(False), per_lang=10).groupBy("lang_pred").count().collect()
+    assert {(r.lang_pred, r["count"]) for r in got} == {("es", 30), ("en", 2000)}
+
+
 def test_labels_that_disagree(spark):
     df = spark.createDataFrame([(i, f"text {i} {'good words' if i % 2 else 'BAD!! WORDS!!'}") for i in range(60)] + [(1, "good words again")] * 50, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (5, 0)], "doc_id long, quality int")
