@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure, stored
+from ..plans.fixpoint import closure, fixpoint, stored
 from ..plans.program import Program
 from . import names
 
@@ -117,23 +117,39 @@ def backward_values() -> Column:
 
 
 class Transfer:
-    """The tables that moves are looked up in, each made once for a program."""
+    """The tables that moves are looked up in, each made once for a program, when it is first needed."""
 
     def __init__(self, p: Program):
-        up = stored(names.ancestors(p))
-        n = p.node
+        self.program = p
+
+    @functools.cached_property
+    def up(self) -> DataFrame:
+        return stored(names.ancestors(self.program))
+
+    @functools.cached_property
+    def _static(self) -> DataFrame:
+        return stored(names.static_references(self.program, self.up))
+
+    @functools.cached_property
+    def functions(self) -> DataFrame:
+        """func_id, outer_func_id, is_main, params, and the first and last node."""
+        p = self.program
+        firsts = p.node.join(p.function.select(F.col("entry").alias("block")), "block").groupBy("func_id").agg(F.min_by("node_id", "idx").alias("first"))
+        ends = p.node.join(p.function.select(F.col("exit").alias("block"), F.lit(True).alias("at_exit")), "block", "left").groupBy("func_id").agg(F.max_by("node_id", F.struct(F.coalesce("at_exit", F.lit(False)), "idx")).alias("last"))
+        return stored(p.function.select("func_id", "outer_func_id", "is_main", "params").join(firsts, "func_id", "left").join(ends, "func_id", "left"))
+
+    @functools.cached_property
+    def facts(self) -> DataFrame:
+        """Every node with the facts that it mentions."""
+        p, n = self.program, self.program.node
         args = p.call_arg.join(n.select("node_id", "func_id"), "node_id").groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", _key("r", "func_id", "reg").alias("key")))), lambda x: x["key"]).alias("args"))
-        scope = names.declaring_scope(p, up).select("node_id", _key("v", "decl_id", "name").alias("variable"))
-        static = names.static_references(p, up)
-        firsts = n.join(p.function.select(F.col("entry").alias("block"), F.lit(True).alias("at_entry")), "block").groupBy("func_id").agg(F.min_by("node_id", "idx").alias("first"))
-        ends = n.join(p.function.select(F.col("exit").alias("block"), F.lit(True).alias("at_exit")), "block", "left").groupBy("func_id").agg(F.max_by("node_id", F.struct(F.coalesce("at_exit", F.lit(False)), "idx")).alias("last"))
-        self.functions = stored(p.function.select("func_id", "outer_func_id", "is_main", "params").join(firsts, "func_id", "left").join(ends, "func_id", "left"))
+        scope = names.declaring_scope(p, self.up).select("node_id", _key("v", "decl_id", "name").alias("variable"))
         name = F.when(F.trim(F.coalesce("callee_name", F.lit(""))) != "", F.col("callee_name"))
         alloc = F.when(_kind("NewObject") | _kind("Call") & F.col("is_ctor"), _key("obj", "node_id", "result_reg")).when(_kind("Constant"), _key("const", "node_id")).when(_kind("DeclareFunction"), _key("func", "node_id"))
         declared = p.function.select(F.col("func_id").alias("declares"), F.col("name").alias("callee_name"))
-        self.facts = stored(
+        return stored(
             n.join(args, "node_id", "left").join(scope, "node_id", "left").join(declared, "declares", "left")
-            .join(static.select("node_id", F.lit(True).alias("static")).distinct(), "node_id", "left")
+            .join(self._static.select("node_id", F.lit(True).alias("static")).distinct(), "node_id", "left")
             .join(self.functions.select("func_id", "is_main", "first"), "func_id")
             .select(
                 F.col("node_id").alias("place"), "func_id", "kind", _register("result_reg").alias("result"), _register("base_reg").alias("base"),
@@ -143,12 +159,44 @@ class Transfer:
                 F.coalesce("static", F.lit(False)).alias("static"), (F.col("first") == F.col("node_id")).alias("is_first"), "is_main",
             )
         )
-        self.edges = stored(node_edges(p))
-        self.visible = stored(names.visible(p, up).select(F.col("func_id").alias("viewer"), _key("v", "decl_id", "name").alias("seen")))
-        references = names.function_references(p, up).join(self.facts.select(F.col("place").alias("node_id"), F.col("result").alias("fact2")), "node_id").where("fact2 is not null")
-        self.references = stored(references.join(self.edges.select(F.col("src").alias("node_id"), F.col("dst").alias("place2")), "node_id").select(F.col("callee_id").alias("declares"), "place2", "fact2"))
-        self.capturing = stored(names.capturing(p, up).select("func_id", "inner_id", _key("v", "func_id", "name").alias("captured")))
-        self.static = stored(static.join(self.facts.where("declares is not null").select(F.col("declares").alias("callee_id"), F.col("alloc").alias("named")), "callee_id").select(F.col("node_id").alias("place"), "named"))
+
+    @functools.cached_property
+    def edges(self) -> DataFrame:
+        return stored(node_edges(self.program))
+
+    @functools.cached_property
+    def visible(self) -> DataFrame:
+        return stored(names.visible(self.program, self.up).select(F.col("func_id").alias("viewer"), _key("v", "decl_id", "name").alias("seen")))
+
+    @functools.cached_property
+    def references(self) -> DataFrame:
+        """(declares, place2, fact2): where a function's name is read, the places after it and the register read into."""
+        read = self.facts.where("result is not null").select(F.col("place").alias("node_id"), F.col("result").alias("fact2"))
+        found = names.function_references(self.program, self.up).join(read, "node_id")
+        return stored(found.join(self.edges.select(F.col("src").alias("node_id"), F.col("dst").alias("place2")), "node_id").select(F.col("callee_id").alias("declares"), "place2", "fact2"))
+
+    @functools.cached_property
+    def capturing(self) -> DataFrame:
+        return stored(names.capturing(self.program, self.up).select("func_id", "inner_id", _key("v", "func_id", "name").alias("captured")))
+
+    @functools.cached_property
+    def static(self) -> DataFrame:
+        named = self.facts.where("declares is not null").select(F.col("declares").alias("callee_id"), F.col("alloc").alias("named"))
+        return stored(self._static.join(named, "callee_id").select(F.col("node_id").alias("place"), "named"))
+
+    def within(self, seeds: DataFrame, forward: bool) -> DataFrame:
+        """(start, place, fact) that seeds (start, place, fact) reach within their functions, over moves that need to be told nothing.
+
+        A declared function is also at the references to its name, when one looks forward.
+        """
+        def step(new: DataFrame, _: DataFrame) -> DataFrame:
+            moved = self.local(new, forward).select("start", F.col("place2").alias("place"), F.col("fact2").alias("fact"))
+            if not forward:
+                return moved
+            named = new.join(self.facts.where(_kind("DeclareFunction") & F.col("function_variable").isNotNull()), "place").where(_is("alloc")).join(self.references, "declares")
+            return moved.union(named.select("start", F.col("place2").alias("place"), F.col("fact2").alias("fact")))
+
+        return fixpoint(seeds.select("start", "place", "fact"), step)
 
     def _onward(self, at: DataFrame, forward: bool) -> DataFrame:
         """at, once for each node `place2` after (before) it."""

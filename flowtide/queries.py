@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import flows, names, relations, scans
+from .operators.transfer import Transfer
 from .plans.fixpoint import propagate
 from .sources import files, tables
 
@@ -343,6 +344,76 @@ def random_call(spark, d):
     return scans.calls(tables.program(spark, d)).orderBy(F.md5(F.concat(F.lit("42:"), F.col("node_id").cast("string"))), "node_id").limit(1).select("node_id")
 
 
+# -- what nodes do to values, forward and backward -------------------------------
+
+#: Nodes with the facts that they mention.
+_FACTS = f"""{_DECLARED}{_KNOWN}, scope AS (
+  SELECT n.node_id, 'v|' || coalesce(CASE WHEN n.name = 'process' THEN m.anc_id ELSE near.decl_id END, n.func_id) || '|' || n.name AS variable
+  FROM node n LEFT JOIN near ON near.func_id = n.func_id AND near.name = n.name
+  LEFT JOIN (SELECT up.func_id, anc_id FROM up JOIN func f ON f.func_id = anc_id AND f.is_main) m ON m.func_id = n.func_id
+), static AS (
+  SELECT DISTINCT node_id FROM node n JOIN near ON near.func_id = n.func_id AND near.name = n.name JOIN func f ON f.outer_func_id = decl_id AND f.name = n.name WHERE kind = 'ReadVariable'
+), fact AS MATERIALIZED (
+  SELECT n.node_id AS place, n.func_id, kind, 'r|' || n.func_id || '|' || nullif(result_reg, -1) AS result, 'r|' || n.func_id || '|' || nullif(base_reg, -1) AS base,
+    'r|' || n.func_id || '|' || nullif(value_reg, -1) AS stored, value_reg, variable, declares, 'v|' || n.func_id || '|' || d.name AS funcvar, static.node_id IS NOT NULL AS static,
+    CASE kind WHEN 'NewObject' THEN 'obj|' || n.node_id || '|' || result_reg WHEN 'Constant' THEN 'const|' || n.node_id WHEN 'DeclareFunction' THEN 'func|' || n.node_id END AS alloc
+  FROM node n LEFT JOIN scope USING (node_id) LEFT JOIN func d ON d.func_id = declares LEFT JOIN static ON static.node_id = n.node_id
+)"""
+_AHEAD = _FACTS + """, rebound AS (SELECT DISTINCT func_id AS anc_id, unnest(params) AS name FROM func),
+stop AS (SELECT up.func_id, name, min(depth) AS stop FROM up JOIN rebound USING (anc_id) GROUP BY ALL),
+reference AS (
+  SELECT f.func_id AS declares, e.dst, 'r|' || n.func_id || '|' || n.result_reg AS result
+  FROM node n JOIN up ON up.func_id = n.func_id JOIN func f ON f.outer_func_id = anc_id AND f.name = n.name
+  LEFT JOIN stop s ON s.func_id = n.func_id AND s.name = n.name JOIN cfg_edge e ON e.src = n.node_id WHERE kind = 'ReadVariable' AND (stop IS NULL OR depth <= stop)
+), onward AS MATERIALIZED (
+  SELECT src AS place, way, dst, CAST(NULL AS VARCHAR) AS referred FROM cfg_edge CROSS JOIN (VALUES (1), (2), (3)) w(way)
+  UNION ALL SELECT place, 4, dst, r.result FROM fact JOIN reference r USING (declares) WHERE kind = 'DeclareFunction'
+), after AS (
+  SELECT place AS start, place, alloc AS fact FROM fact WHERE alloc IS NOT NULL
+  UNION SELECT start, dst, CASE way WHEN 1 THEN a.fact WHEN 2 THEN result WHEN 3 THEN variable ELSE referred END
+  FROM after a JOIN fact f USING (place) JOIN onward o USING (place)
+  WHERE CASE way
+    WHEN 1 THEN CASE kind WHEN 'DeclareFunction' THEN a.fact <> coalesce(alloc, '') AND (a.fact <> coalesce(result, '') AND result IS NOT NULL OR funcvar IS NOT NULL AND a.fact <> funcvar)
+      WHEN 'ReadProperty' THEN a.fact <> result WHEN 'ReadVariable' THEN a.fact <> result WHEN 'WriteVariable' THEN a.fact <> variable ELSE true END
+    WHEN 2 THEN result IS NOT NULL AND (kind IN ('Constant', 'DeclareFunction') AND a.fact = alloc OR kind = 'ReadVariable' AND a.fact = variable)
+    WHEN 3 THEN kind = 'WriteVariable' AND (a.fact = stored OR a.fact LIKE 'obj|%' AND split_part(a.fact, '|', 3) = CAST(value_reg AS VARCHAR))
+    ELSE a.fact = alloc END
+)"""
+_BEHIND = _FACTS + """, before AS (
+  SELECT node_id AS start, node_id AS place, 'r|' || func_id || '|' || func_reg AS fact FROM node WHERE kind = 'Call' AND NOT is_internal AND func_reg >= 0
+  UNION SELECT start, src, CASE WHEN kind = 'ReadVariable' AND fact = result OR kind = 'ReadVariable' AND fact = base THEN variable WHEN kind = 'WriteVariable' AND fact = variable THEN stored ELSE fact END
+  FROM before JOIN fact USING (place) JOIN cfg_edge ON dst = place
+  WHERE CASE WHEN kind = 'DeclareFunction' AND result IS NULL THEN fact <> coalesce(funcvar, '') WHEN kind IN ('Call', 'Constant', 'NewObject', 'DeclareFunction', 'ReadProperty') THEN fact <> coalesce(result, '')
+    WHEN kind = 'ReadVariable' THEN fact <> result OR NOT static ELSE true END
+)"""
+
+
+@query(f"{_WITH}{_AHEAD} SELECT start, place, fact FROM after")
+def forward_reach(spark, d):
+    """Where every allocation gets to within its function, by the forward rule of each node; functions also to where their names are read."""
+    t = Transfer(tables.program(spark, d, keep=True))
+    return t.within(t.facts.where("alloc is not null").select(F.col("place").alias("start"), "place", F.col("alloc").alias("fact")), True)
+
+
+@query(f"{_WITH}{_BEHIND} SELECT start, place, fact FROM before")
+def backward_reach(spark, d):
+    """What every call's function register can be before each node of the calling function, by the backward rules."""
+    t = Transfer(tables.program(spark, d, keep=True))
+    asked = t.facts.where("kind = 'Call' and not internal and callee is not null")
+    return t.within(asked.select(F.col("place").alias("start"), "place", F.col("callee").alias("fact")), False)
+
+
+@query(f"""{_WITH}{_AHEAD}, caught AS (SELECT start, n.node_id AS call_id FROM after JOIN node n ON n.node_id = place AND kind = 'Call' AND NOT is_internal AND func_reg >= 0 AND fact = 'r|' || n.func_id || '|' || func_reg)
+SELECT DISTINCT call_id, declares AS callee_id FROM caught JOIN node ON node_id = start WHERE declares IS NOT NULL""")
+def forward_callers(spark, d):
+    """The calls that a declared function gets to, forward, without passing a call or a field."""
+    t = Transfer(tables.program(spark, d, keep=True))
+    declared = t.facts.where("declares is not null")
+    reached = t.within(declared.select(F.col("place").alias("start"), "place", F.col("alloc").alias("fact")), True)
+    calls = t.facts.where("kind = 'Call' and not internal").select("place", F.col("callee").alias("fact"))
+    return reached.join(calls, ["place", "fact"]).join(declared.select(F.col("place").alias("start"), "declares"), "start").select(F.col("place").alias("call_id"), F.col("declares").alias("callee_id")).distinct()
+
+
 # -- dependencies and errors --------------------------------------------------
 
 _DEPS = """WITH RECURSIVE o AS (SELECT event_id, event_type, user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events),
