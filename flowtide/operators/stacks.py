@@ -5,8 +5,7 @@ stack, in the field automaton (stack F) facts are states and properties lie on i
 automata reach it; only then are its moves derived, and each round joins what is new with what is known. A call that is
 left with an empty stack goes on at every known call of the function, with the query's own end state: there and nowhere else.
 All queries, of both directions and of many programs, advance in the same round.
-
-`solve` is told call edges and aliases; `settle` asks for them itself, by queries of its own, until nothing is new.
+Call edges, aliases and calls without a callee are given, as `resolve` finds them.
 """
 
 from __future__ import annotations
@@ -128,6 +127,7 @@ class Machine:
         self.reached = Grown(frame("system string, place long, fact string"))
         self.moves = Grown(frame("system string, kind string, place long, fact string, place2 long, fact2 string, x string"))
         self.rounds: list[dict] = []
+        self.popping = False  # whether any move leaves a stack: before, no label is empty
 
     def ask(self, queries: DataFrame) -> int:
         """Adds queries (forward, place, fact); how many are new."""
@@ -148,6 +148,7 @@ class Machine:
         began, templates = time.monotonic(), Templates(self.transfer, inputs)
         rules = self.moves.add(self._derived(self.reached.total, templates)) if told and self.reached.parts else 0
         new_rules = machine_rules(self.moves.new) if rules else None
+        self.popping = self.popping or bool(rules)
         seeds, self.waiting = getattr(self, "waiting", None), None
         while True:
             if self.deadline is not None and time.monotonic() > self.deadline:
@@ -163,6 +164,7 @@ class Machine:
             facts = self.reached.add(heads.join(other, REACHED).where("stack <> other").select(REACHED)) if trans else 0
             rules = self.moves.add(self._derived(self.reached.new, templates)) if facts else 0
             new_rules = machine_rules(self.moves.new) if rules else None
+            self.popping = self.popping or bool(rules) and not self.moves.new.where("kind in ('O', 'FO')").isEmpty()
             self.rounds.append({"round": len(self.rounds) + 1, "transitions": trans, "facts": facts, "moves": rules, "seconds": time.monotonic() - began})
             began = time.monotonic()
             if not trans and not rules:
@@ -171,7 +173,8 @@ class Machine:
     def _steps(self, new_rules: DataFrame | None) -> DataFrame:
         """One round: new transitions with all rules, all transitions with new rules; and over empty labels, new on either side."""
         new, total = self.trans.new.select(TRANS) if self.trans.last else None, self.trans.total
-        out = [] if new is None else [_fired(new, machine_rules(self.moves.total)), _skipped(new, total), _skipped(total, new)]
+        out = [] if new is None else [_fired(new, machine_rules(self.moves.total))]
+        out += [_skipped(new, total), _skipped(total, new)] if new is not None and self.popping else []
         out += [] if new_rules is None else [_fired(total, new_rules)]
         return functools.reduce(DataFrame.union, out)
 
