@@ -318,3 +318,32 @@ def test_saturation_against_enumeration(quick):
         balanced += any(m[0] == "O" for m in moves)
     assert deep and balanced
     assert [x["round"] for x in solved.rounds] == list(range(1, len(solved.rounds) + 1)) and sum(x["facts"] for x in solved.rounds) == sum(map(len, got.values()))
+
+
+def test_calls_keep_their_context(quick):
+    """A query inside a function goes on at both of its callers; one through a call comes out at that call alone."""
+    blank = dict(result_reg=-1, base_reg=-1, value_reg=-1, func_reg=-1, name=None, property=None, is_internal=False, is_ctor=False, declares=None, line=1, col=1)
+    body = [
+        (0, dict(kind="DeclareFunction", declares=1, result_reg=3)), (0, dict(kind="NewObject", result_reg=1)), (0, dict(kind="WriteVariable", name="x", value_reg=1)), (0, dict(kind="Call", func_reg=3, result_reg=4)),
+        (0, dict(kind="Constant", result_reg=2)), (0, dict(kind="WriteVariable", name="x", value_reg=2)), (0, dict(kind="Call", func_reg=3, result_reg=5)), (0, dict(kind="Nop")),
+        (1, dict(kind="Nop")), (1, dict(kind="ReadVariable", name="x", result_reg=1)), (1, dict(kind="Return", value_reg=1)),
+    ]
+    nodes = [{**blank, **own, "func_id": f, "idx": i, "node_id": i, "block": f} for i, (f, own) in enumerate(body)]
+    functions = [("p", 0, None, None, True, [], ["x"], 0, 0), ("p", 1, None, 0, False, [], [], 1, 1)]
+    whole = (functions, nodes, [], [(0, 0)])
+    plain = Rules(*whole, {(3, 1), (6, 1)}, set(), set())
+    plain.succ[7], plain.pred[0] = [], []
+    p = frames(quick, [whole])
+    p.block_edge = p.cfg_edge = p.block_edge.where("false")
+    asked = [(False, 10, "r|1|1"), (False, 7, "r|0|4"), (False, 7, "r|0|5")]
+    transfer = Transfer(p)
+    solved = stacks.solve(transfer, quick.createDataFrame(asked, "forward boolean, place long, fact string"), inputs(quick, [(whole, plain)]))
+    got = {}
+    for x in solved.reached.collect():
+        got.setdefault(x.system, set()).add((x.place, x.fact))
+    for forward, place, fact in asked:
+        assert got[f"b~{place}~{fact}"] == plain.reach(forward, place, fact)[0]
+    answers = {}
+    for x in transfer.answers(solved.plain()).collect():
+        answers.setdefault(x.system, set()).add(x.alloc)
+    assert answers == {"b~10~r|1|1": {"obj|1|1", "const|4"}, "b~7~r|0|4": {"obj|1|1"}, "b~7~r|0|5": {"const|4"}}
