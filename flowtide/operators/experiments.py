@@ -10,11 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import stored
+from ..plans.figures import measured
+from ..plans.fixpoint import scratch, stored
 from ..plans.program import Program
 from . import resolve, scans
 
-RESULT = "size long, batch long, whole boolean, n_queries long, timed_out boolean, wall_ms long, task_ms long, heap_mb long, n_points long, n_calls_asked long, n_flows long, n_facts long, n_edges long, n_handled long"
+RESULT = "size long, batch long, whole boolean, n_queries long, timed_out boolean, wall_ms long, task_ms long, cpu_ms long, rows_shuffled long, heap_mb long, n_points long, n_calls_asked long, n_flows long, n_facts long, n_edges long, n_handled long"
 
 
 @contextlib.contextmanager
@@ -54,23 +55,25 @@ def usage(spark: SparkSession) -> tuple[int, int]:
 def run(p: Program, shapes=scans.BATCHES, timeout_s: float = 300, seed: int = 42, captures: str = "exit") -> DataFrame:
     """One row per batch of callee queries in a seeded order; a batch that runs out of time is stopped, its running jobs too, and has the limit as its time.
 
-    task_ms: time of all tasks of the batch, summed over executors; heap_mb: heap of the driver when the batch ends.
+    task_ms: time of all tasks of the batch, summed over executors; cpu_ms: what of it they computed; heap_mb: heap of the driver when the batch ends.
+    The tables that rules look things up in are made once for all batches; what a batch has written goes when its figures are known.
     """
     spark = p.function.sparkSession
-    queries = stored(scans.batches(scans.external_calls(p), "node_id", shapes, seed))
+    queries, rules = stored(scans.batches(scans.external_calls(p), "node_id", shapes, seed)), resolve.Rules(p, captures)
     out = []
     for size, batch in sorted(tuple(r) for r in queries.select("size", "batch").distinct().collect()):
         calls = queries.where((F.col("size") == size) & (F.col("batch") == batch)).select(F.col("node_id").alias("call_id"))
         n_queries = calls.count()
-        begun, before, counts, late = time.monotonic(), usage(spark)[0], {}, False
-        try:
-            with limited(spark, timeout_s):
-                counts = {r.tag: r.n for r in resolve.status(resolve.known(p, calls=calls, captures=captures, deadline=begun + timeout_s)).collect()}
-        except TimeoutError:
-            late = True
-        wall = timeout_s if late else time.monotonic() - begun
-        task_ms, heap_mb = usage(spark)
-        out.append((size, batch, size == 0, n_queries, late, int(1000 * wall), task_ms - before, heap_mb, *(counts.get(t, 0) for t in ("point", "ask", "flow", "pts", "edge", "handled"))))
+        begun, counts, late = time.monotonic(), {}, False
+        with measured(spark) as cost, scratch(queries):
+            try:
+                with limited(spark, timeout_s):
+                    counts = {r.tag: r.n for r in resolve.status(resolve.known(p, calls=calls, captures=captures, deadline=begun + timeout_s, rules=rules)).collect()}
+            except TimeoutError:
+                late = True
+        wall = int(1000 * timeout_s) if late else cost["wall_ms"]
+        figures = (wall, cost["task_ms"], cost["cpu_ms"], cost["rows_shuffled"], usage(spark)[1])
+        out.append((size, batch, size == 0, n_queries, late, *figures, *(counts.get(t, 0) for t in ("point", "ask", "flow", "pts", "edge", "handled"))))
     return spark.createDataFrame(out, RESULT)
 
 
@@ -78,11 +81,29 @@ def report(results: DataFrame) -> DataFrame:
     """Totals, maxima and whole-number means by batch size."""
     return results.groupBy("size").agg(
         F.count("*").alias("batches"), F.sum("n_queries").alias("queries"), F.max("wall_ms").alias("slowest_ms"),
-        F.expr("sum(wall_ms) div count(*)").alias("mean_ms"), F.sum("task_ms").alias("task_ms"), F.max("heap_mb").alias("most_heap_mb"),
+        F.expr("sum(wall_ms) div count(*)").alias("mean_ms"), F.sum("task_ms").alias("task_ms"), F.sum("cpu_ms").alias("cpu_ms"), F.max("heap_mb").alias("most_heap_mb"),
         F.max("n_edges").alias("most_edges"), F.count_if("timed_out").alias("timed_out"),
     )
 
 
+def by_program(p: Program, queries: DataFrame, edges: DataFrame) -> DataFrame:
+    """(program_id, queries, edges): queries (call_id) and different call edges of each program, also of those that have none."""
+    owner = p.node.join(p.function.select("func_id", "program_id"), "func_id").select(F.col("node_id").alias("call_id"), "program_id")
+    count = lambda rows, name: rows.distinct().join(owner, "call_id").groupBy("program_id").agg(F.count("*").alias(name))
+    programs = p.function.select("program_id").distinct()
+    return programs.join(count(queries.select("call_id"), "queries"), "program_id", "left").join(count(edges.select("call_id", "callee_id"), "edges"), "program_id", "left").na.fill(0)
+
+
+def program_report(programs: DataFrame, elapsed_ms: int) -> DataFrame:
+    """One row of totals, maxima and whole-number means over the rows of `by_program`; a mean over nothing is null."""
+    total = programs.agg(F.count("*").alias("programs"), F.coalesce(F.sum("queries"), F.lit(0)).alias("queries"), F.max("queries").alias("most_queries"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"))
+    mean = lambda over, by: F.expr(f"{over} div nullif({by}, 0)")
+    return total.select(
+        "programs", "queries", mean("queries", "programs").alias("queries_per_program"), "most_queries", "edges", F.lit(elapsed_ms).cast("long").alias("elapsed_ms"),
+        mean(f"{int(elapsed_ms)}L", "programs").alias("ms_per_program"), mean(f"{int(elapsed_ms)}L", "queries").alias("ms_per_query"),
+    )
+
+
 def write(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 

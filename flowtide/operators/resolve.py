@@ -29,13 +29,16 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import stored
+from ..plans import figures
+from ..plans.fixpoint import merged, stored
 from ..plans.program import Program
 from . import names
 
 #: A place behind every node of a block.
 LAST = 1 << 40
 ROW = ["tag", "a", "b", "c"]
+#: Tags of rows that ask for something; the others tell something.
+QUESTIONS = ("point", "ask", "callers")
 
 
 def _text(*parts) -> Column:
@@ -213,15 +216,18 @@ def value_points(p: Program) -> DataFrame:
     return p.node.where("kind = 'WriteVariable'").select("node_id", _at(_register("value_reg")).alias("point"))
 
 
-def known(p: Program, points: DataFrame | None = None, calls: DataFrame | None = None, captures: str = "exit", strata: bool = True, most_rounds: int | None = None, deadline: float | None = None) -> DataFrame:
+def known(p: Program, points: DataFrame | None = None, calls: DataFrame | None = None, captures: str = "exit", strata: bool = True, most_rounds: int | None = None, deadline: float | None = None, rules: Rules | None = None, log: figures.Rounds | None = None) -> DataFrame:
     """All rows (tag, a, b, c) that the asked points (point) and calls (call_id) need; every external call without either.
 
     strata: once nothing is new, calls without a callee pass their arguments (and
     a method call its base) to their result, and the search goes on. All such calls are
     judged against one snapshot. deadline: a time.monotonic() after which no round
-    begins; TimeoutError then.
+    begins; TimeoutError then. rules: those of p with the same captures, where a
+    caller asks several times. log takes the figures of each round.
     """
-    rules = Rules(p, captures)
+    rules = Rules(p, captures) if rules is None else rules
+    if rules.captures != captures:
+        raise ValueError(f"rules for captures={rules.captures!r}")
     seeds = []
     if points is not None:
         seeds.append(points.select(_row("point", "point")))
@@ -244,38 +250,31 @@ def known(p: Program, points: DataFrame | None = None, calls: DataFrame | None =
         total = new if earlier is None else earlier.union(new)
         fresh, out = set(counts), []
         before, seen = seen, seen | fresh
-        for rule, tags in alone:
-            if tags & fresh:
-                out += rule(pick(new, tags))
-        for rule, left, right in together:
-            if left & fresh and right & seen:
-                out += rule(pick(new, left), pick(total, right))
-            if left & before and right & fresh:
-                out += rule(pick(earlier, left), pick(new, right))
-        parts = merged([*parts, (new, sum(counts.values()))])
-        if out:
-            new = stored(rules.with_demands(_union(out)).distinct().join(total, ROW, "left_anti"))
-            counts = {r.tag: r.n for r in status(new).collect()}
-        if (not out or not counts) and strata:
-            asked = pick(total, {"ask"}).select(F.col("a").alias("call")).join(rules.ctors, "call", "left_anti")
-            open_ = asked.join(pick(total, {"edge"}).select(F.col("a").alias("call")), "call", "left_anti")
-            new = stored(open_.select(_row("handled", "call")).join(total, ROW, "left_anti"))
-            counts = {r.tag: r.n for r in status(new).collect()}
-        elif not out:
-            break
+        with figures.one(log) as row:
+            for rule, tags in alone:
+                if tags & fresh:
+                    out += rule(pick(new, tags))
+            for rule, left, right in together:
+                if left & fresh and right & seen:
+                    out += rule(pick(new, left), pick(total, right))
+                if left & before and right & fresh:
+                    out += rule(pick(earlier, left), pick(new, right))
+            parts = merged([*parts, (new, sum(counts.values()))])
+            if out:
+                new = stored(figures.counted(log, rules.with_demands(_union(out))).distinct().join(total, ROW, "left_anti"))
+                counts = {r.tag: r.n for r in status(new).collect()}
+            if (not out or not counts) and strata:
+                asked = pick(total, {"ask"}).select(F.col("a").alias("call")).join(rules.ctors, "call", "left_anti")
+                open_ = asked.join(pick(total, {"edge"}).select(F.col("a").alias("call")), "call", "left_anti")
+                new = stored(open_.select(_row("handled", "call")).join(total, ROW, "left_anti"))
+                counts = {r.tag: r.n for r in status(new).collect()}
+            elif not out:
+                counts = {}
+            row["asked"], row["handled"] = sum(counts.get(t, 0) for t in QUESTIONS), counts.get("handled", 0)
+            row["found"] = sum(counts.values()) - row["asked"] - row["handled"]
     return total
 
 
-def merged(parts: list[tuple[DataFrame, int]], factor: int = 4) -> list[tuple[DataFrame, int]]:
-    """Tables with their sizes, the last ones merged while the one before is less than `factor` times as large: they stay few, and each row is rewritten seldom."""
-    while len(parts) > 1 and parts[-2][1] < factor * parts[-1][1]:
-        (a, n), (b, m) = parts[-2:]
-        parts = [*parts[:-2], (a.union(b), n + m)]
-        if len(parts) == 1 or parts[-2][1] >= factor * parts[-1][1]:
-            parts[-1] = (stored(parts[-1][0]), parts[-1][1])
-    return parts
-
-
 def edges(rows: DataFrame) -> DataFrame:
     return rows.where("tag = 'edge'").select(F.col("a").cast("long").alias("call_id"), F.col("b").cast("long").alias("callee_id"))
 

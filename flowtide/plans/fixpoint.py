@@ -7,13 +7,22 @@ and plans stay short; the driver sees nothing but whether the addition is empty.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import functools
+import operator
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import figures
+
+#: The folder of the tables of the work at hand, where it is to be deleted afterwards.
+_SCRATCH: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
 
 def shared_folder(df: DataFrame) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, one is made in local mode; on a cluster that is an error."""
@@ -37,22 +46,63 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """As cut, as a written table: its size is known, so the optimizer broadcasts it in joins while it is small."""
-    folder = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
+    folder = f"{_SCRATCH.get() or shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int | None = None) -> DataFrame:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(df: DataFrame):
+    """What `stored` writes inside goes when the block is left: results that are still needed have to be read before."""
+    folder = f"{shared_folder(df)}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        delete(df.sparkSession, folder)
+
+
+def lacking(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of found that known lacks; nulls are equal. found is to be a stored table.
+
+    What both have is looked for first: known is only scanned, without a shuffle, while found is small enough to be broadcast.
+    """
+    same = lambda a, b: functools.reduce(operator.and_, (F.col(f"{a}.`{c}`").eqNullSafe(F.col(f"{b}.`{c}`")) for c in found.columns))
+    seen = known.select([f"`{c}`" for c in found.columns]).alias("k").join(found.alias("f"), same("k", "f"), "left_semi")
+    return found.alias("f").join(seen.alias("s"), same("f", "s"), "left_anti")
+
+
+def merged(parts: list[tuple[DataFrame, int]], factor: int = 4) -> list[tuple[DataFrame, int]]:
+    """Tables with their sizes, the last ones merged while the one before is less than `factor` times as large: they stay few, and each row is rewritten seldom."""
+    while len(parts) > 1 and parts[-2][1] < factor * parts[-1][1]:
+        (a, n), (b, m) = parts[-2:]
+        parts = [*parts[:-2], (a.union(b), n + m)]
+        if len(parts) == 1 or parts[-2][1] >= factor * parts[-1][1]:
+            parts[-1] = (stored(parts[-1][0]), parts[-1][1])
+    return parts
+
+
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int | None = None, log: figures.Rounds | None = None) -> DataFrame:
     """The least relation that holds seed and all of step(added last, all so far); rows are a set.
 
     Columns must not be null: they are keys of the novelty test. `most_rounds`
-    bounds the derivation depth where a caller wants that.
+    bounds the derivation depth where a caller wants that; `log` takes the figures of each round.
     """
     total = added = cut(seed.distinct())
     rounds = 0
     while (most_rounds is None or rounds < most_rounds) and not added.isEmpty():
-        found = step(added, total).select(total.columns).distinct()
-        added = cut(found.join(total, total.columns, "left_anti"))
+        with figures.one(log) as row:
+            found = figures.counted(log, step(added, total).select(total.columns)).distinct()
+            added = cut(found.join(total, total.columns, "left_anti"))
+            if log is not None:
+                row["found"] = added.count()
         total = total.unionByName(added)
         rounds += 1
         if rounds % 8 == 0:

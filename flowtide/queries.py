@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .operators import flows, names, relations, scans
 from .operators.transfer import Transfer
-from .plans.fixpoint import propagate
+from .plans.fixpoint import propagate, shared_folder
 from .sources import files, tables
+from .streaming.live import LiveSet, Settling, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -255,20 +257,52 @@ def whole_call_reach(spark, d):
 # -- sets, maps, counts -------------------------------------------------------
 
 
+def _told(spark: SparkSession, *views: tuple[DataFrame, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The rows that rules on views of live sets hand on."""
+    heard = LiveSet(views[0][1](views[0][0]).where("false"))
+    sets = [LiveSet(rows.distinct()) for rows, _ in views]
+    for s, (_, view) in zip(sets, views, strict=True):
+        s.map("heard", view, lambda new: (heard, new))
+    settle(*sets)
+    return heard.total
+
+
 @query("SELECT DISTINCT l_suppkey % 1000 AS element FROM lineitem")
 def live_map(spark, d):
-    return tables.load(spark, d, "lineitem").select((F.col("l_suppkey") % 1000).alias("element")).distinct()
+    return _told(spark, (tables.load(spark, d, "lineitem").select("l_suppkey"), lambda new: new.select((F.col("l_suppkey") % 1000).alias("element"))))
 
 
 @query("SELECT DISTINCT l_partkey AS element FROM lineitem WHERE l_partkey % 2 = 0")
 def live_filter(spark, d):
-    return tables.load(spark, d, "lineitem").where("l_partkey % 2 = 0").select(F.col("l_partkey").alias("element")).distinct()
+    return _told(spark, (tables.load(spark, d, "lineitem").select("l_partkey"), lambda new: new.where("l_partkey % 2 = 0").select(F.col("l_partkey").alias("element"))))
 
 
 @query("SELECT l_partkey AS element FROM lineitem UNION SELECT l_suppkey FROM lineitem")
 def live_union(spark, d):
-    rows = tables.load(spark, d, "lineitem")
-    return rows.select(F.col("l_partkey").alias("element")).union(rows.select("l_suppkey")).distinct()
+    rows, element = tables.load(spark, d, "lineitem"), lambda new: new.toDF("element")
+    return _told(spark, (rows.select("l_partkey"), element), (rows.select("l_suppkey"), element))
+
+
+@query(f"{_WITH}{_DECLARED} SELECT DISTINCT func_id, anc_id FROM up")
+def stream_scope_chain(spark, d):
+    """scope_chain without its depths, over a stream of orders: functions and their outer ones are live sets that settle with each batch."""
+    orders = tables.load(spark, d, "orders").select("o_orderkey")
+    folder = f"{shared_folder(orders)}/stream-{uuid.uuid4().hex}"
+
+    def feed(batch):
+        key = F.col("o_orderkey")
+        return {"func": batch.select(key.alias("func_id"), F.when(key > 0, F.floor(key / tables.NESTING)).cast("long").alias("outer_id"))}
+
+    def rules(sets):
+        outward = lambda up, func: up.join(func.select(F.col("func_id").alias("anc_id"), "outer_id").where("outer_id is not null"), "anc_id").select("func_id", F.col("outer_id").alias("anc_id"))
+        sets["func"].on_add("itself", lambda new: (sets["up"], new.select("func_id", F.col("func_id").alias("anc_id"))))
+        sets["func"].on_add("below", lambda new: (sets["up"], outward(sets["up"].total, new)))
+        sets["up"].on_add("outward", lambda new: (sets["up"], outward(new, sets["func"].total)))
+
+    settling = Settling(f"{folder}/state", {"func": "func_id long, outer_id long", "up": "func_id long, anc_id long"}, feed, rules)
+    stream = spark.readStream.schema(orders.schema).parquet(f"{d}/orders.parquet")
+    stream.writeStream.foreachBatch(settling).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return settling.totals(spark)["up"]
 
 
 @query("WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), n AS (SELECT l_partkey, count(*) AS size FROM s GROUP BY 1) SELECT l_partkey, l_suppkey, size FROM s JOIN n USING (l_partkey)")
