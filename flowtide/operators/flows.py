@@ -16,7 +16,7 @@ Only values that a query asks for are followed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import cut, roots
@@ -50,9 +50,18 @@ def definitions(p: Program) -> DataFrame:
 
 
 def before(asked: DataFrame, defs: DataFrame) -> DataFrame:
-    """Of each asked value (func_id, idx, key, any other columns) the last definition before idx."""
-    d = defs.select("func_id", "key", F.col("idx").alias("def_idx"), F.col("node_id").alias("def_id"))
-    return asked.join(d, ["func_id", "key"]).where("def_idx < idx").groupBy(*asked.columns).agg(F.max_by("def_id", "def_idx").alias("def_id"))
+    """Of each asked value (func_id, idx, key, any other columns) the last definition before idx; rows that agree in all columns count once.
+
+    Questions and definitions of a (function, key) are sorted together and each question takes the definition seen last, so that
+    the work grows with their number, not with that of pairs.
+    """
+    rest = F.struct(*asked.columns)
+    questions = asked.distinct().select("func_id", "key", "idx", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("def"), rest.alias("q"))
+    known = defs.select("func_id", "key", "idx", F.lit(1).alias("rank"), F.col("node_id").alias("def"), F.lit(None).cast(questions.schema["q"].dataType).alias("q"))
+    # A question stands before a definition at the same place, which is no definition before it.
+    sorted_ = Window.partitionBy("func_id", "key").orderBy("idx", "rank")
+    found = questions.union(known).withColumn("def_id", F.last("def", True).over(sorted_))
+    return found.where("q is not null and def_id is not null").select("q.*", "def_id")
 
 
 def definition_roots(defs: DataFrame) -> DataFrame:
@@ -107,9 +116,13 @@ def resolve_calls(p: Program, asked: DataFrame | None = None, strata: bool = Tru
     args = p.call_arg.join(n.select("node_id", "func_id", "idx"), "node_id").select(F.col("node_id").alias("call_id"), "position", F.col("func_id").alias("at_func"), F.col("idx").alias("at_idx"), F.concat(F.lit("r"), F.col("reg").cast("string")).alias("at_key"))
     state = ["query_id", "func_id", "idx", "key"]
 
+    def hits(new: DataFrame) -> DataFrame:
+        """Only definitions of the keys that a round asks for are sorted."""
+        return before(new, defs.join(new.select("func_id", "key").distinct(), ["func_id", "key"], "left_semi"))
+
     def entry(new: DataFrame) -> DataFrame:
         """Values that have no definition before them in their function: (query_id, func_id, key)."""
-        hit = before(new, defs)
+        hit = hits(new)
         whole = hit.join(chain, hit.def_id == chain.node).join(of_root.select("root", F.col("next").alias("at_entry")), "root")
         through = whole.where("at_entry is not null").select("query_id", "func_id", F.col("at_entry").alias("key"))
         direct = new.join(hit.select(state), state, "left_anti").select("query_id", "func_id", "key")
@@ -117,7 +130,7 @@ def resolve_calls(p: Program, asked: DataFrame | None = None, strata: bool = Tru
 
     def answers(new: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(query_id, alloc) and (query_id, call_id): allocations, and calls whose result is the value."""
-        hit = before(new, defs)
+        hit = hits(new)
         whole = hit.join(chain, hit.def_id == chain.node).join(of_root.select("root", "alloc", "next"), "root").where("next is null")
         return whole.where("alloc is not null").select("query_id", "alloc"), whole.where("alloc is null").select("query_id", F.col("root").alias("call_id"))
 

@@ -300,8 +300,7 @@ def stream_scope_chain(spark, d):
         sets["up"].on_add("outward", lambda new: (sets["up"], outward(new, sets["func"].total)))
 
     settling = Settling(f"{folder}/state", {"func": "func_id long, outer_id long", "up": "func_id long, anc_id long"}, feed, rules)
-    stream = spark.readStream.schema(orders.schema).parquet(f"{d}/orders.parquet")
-    stream.writeStream.foreachBatch(settling).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    tables.stream(spark, d, "orders").select("o_orderkey").writeStream.foreachBatch(settling).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
     return settling.totals(spark)["up"]
 
 

@@ -20,6 +20,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files. The path is a pattern, since a stream takes no path that is one file."""
+    return spark.readStream.schema(load(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def _name(column) -> F.Column:
     return F.concat(F.lit("v"), (column % NAMES).cast("string"))
 
