@@ -8,7 +8,8 @@ added with it and adds what is new, for all queries and programs at once:
 
     point a            a is asked for            flow a b      a takes its value from point b
     pts a b            allocation b reaches a    edge a b      call a invokes function b
-    ask a              call a's callees are      callers a     all calls of program a are
+    ask a              call a's callees are      at a b        function a's value may be at place b
+    leaves a b         a may leave function b    gives a b c   a may be argument c of call b (-1: its base)
     calls a b          a is the result of call b entry a b c   a is key c at the entry of function b
     field a b c        a is property c of b      heap a b c    property a takes c if base b holds its object
     callee a b         call a's function is b    handled a     call a has no callee: arguments reach its result
@@ -19,6 +20,13 @@ the arguments of every call of their function. A name from outside is looked up
 where the function is called, if it is the same variable there, else at the end of the
 function around (`captures="exit"`, what a call site sees), or at every assignment
 ("any", where a function's value can get to).
+
+Callers are asked for as they are needed. A function whose entry is reached is followed forwards
+from its declaration, over places without order (`R|function|register`, `N|function|variable`,
+`P|program|property`); a call whose callee may come from such a place is asked. `leaves` and `gives`
+wait for edges: a value goes on at the calls of the function that it leaves, and at the parameters
+of the functions that a call passes it to. Places only choose what is asked, edges
+are found by the exact rules. Where every call is asked from the start, nothing is followed.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ from . import names
 LAST = 1 << 40
 ROW = ["tag", "a", "b", "c"]
 #: Tags of rows that ask for something; the others tell something.
-QUESTIONS = ("point", "ask", "callers")
+QUESTIONS = ("point", "ask", "at", "leaves", "gives")
 
 
 def _text(*parts) -> Column:
@@ -72,7 +80,7 @@ class Rules:
     def __init__(self, p: Program, captures: str):
         if captures not in ("exit", "any"):
             raise ValueError(captures)
-        n, self.captures = p.node, captures
+        n, self.captures, self.program = p.node, captures, p
         up = names.ancestors(p)
         static = names.static_references(p, up)
         owner = p.function.select("func_id", "program_id")
@@ -100,7 +108,6 @@ class Rules:
             n.where("kind = 'ReadProperty' and property is not null").select("node_id", F.lit("field").alias("tag"), _at(_register("base_reg")).alias("b"), _property("property").alias("c")),
         ]))
         self.before = stored(p.block_edge.select(F.col("dst").alias("block"), F.col("src").alias("pred")))
-        self.program_of = stored(p.function.select("func_id", "program_id"))
         self.functions = stored(p.function.select("func_id", "entry", "exit", "outer_func_id", "is_main"))
         self.bound = stored(p.function.select("func_id", F.posexplode("params").alias("position", "name")).select("func_id", "position", F.concat(F.lit("v:"), "name").alias("key")))
         self.own = stored(names.declarations(p).select("func_id", F.concat(F.lit("v:"), "name").alias("key")))
@@ -118,6 +125,10 @@ class Rules:
         self.passed = stored(passed.union(method.where("base_reg >= 0 and not is_ctor").select(F.col("node_id").cast("string"), _at(_register("base_reg")))))
         self.ctors = n.where("kind = 'Call' and is_ctor").select(F.col("node_id").cast("string").alias("call"))
 
+    @functools.cached_property
+    def forward(self) -> Forward:
+        return Forward(self.program, self.scope)
+
     # -- rules on new rows alone
 
     def places(self, new: DataFrame) -> list[DataFrame]:
@@ -146,18 +157,20 @@ class Rules:
         rows = F.array(F.struct(*_row("callee", "call", "point")), F.when(F.col("base") != "", F.struct(*_row("field", "point", "base", "property"))))
         return [asked.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")]
 
-    def callers(self, new: DataFrame) -> list[DataFrame]:
-        """The entry of a function asks for all calls of its program."""
-        programs = new.where("tag = 'entry'").select(F.col("b").cast("long").alias("func_id")).distinct().join(self.program_of, "func_id")
-        return [programs.select(_row("callers", "program_id")).distinct()]
+    def declared_at(self, new: DataFrame) -> list[DataFrame]:
+        """A function whose callers matter, as its entry is reached or something leaves it, is followed from where it is declared or named."""
+        functions = new.where("tag in ('entry', 'leaves')").select(F.col("b").cast("long").alias("func_id")).distinct()
+        return [functions.join(self.forward.seeds, "func_id").select(_row("at", "func_id", "place"))]
 
-    def all_calls(self, new: DataFrame) -> list[DataFrame]:
-        return [new.where("tag = 'callers'").select(F.col("a").alias("program_id")).join(self.calls, "program_id").select(_row("ask", "call"))]
+    def onward(self, new: DataFrame) -> list[DataFrame]:
+        went = new.where("tag = 'at'").select(F.col("a").alias("value"), F.col("b").alias("place")).join(self.forward.onward, "place")
+        asks = F.col("tag") == "ask"
+        return [went.select("tag", F.when(asks, F.col("to")).otherwise(F.col("value")).alias("a"), F.when(asks, "").otherwise(F.col("to")).alias("b"), "c")]
 
     @staticmethod
     def with_demands(rows: DataFrame) -> DataFrame:
         """Each row and what it asks for at once."""
-        more = F.when(F.col("tag").isin("flow", "field", "heap", "callee"), F.struct(*_row("point", "b"))).when(F.col("tag") == "calls", F.struct(*_row("ask", "b")))
+        more = F.when(F.col("tag").isin("flow", "field", "heap", "callee"), F.struct(*_row("point", "b"))).when(F.col("tag").isin("calls", "gives"), F.struct(*_row("ask", "b")))
         return rows.select(F.explode(F.array_compact(F.array(F.struct(*ROW), more))).alias("r")).select("r.*")
 
     # -- rules on two rows
@@ -205,6 +218,60 @@ class Rules:
         calls = waiting.where("tag = 'calls'").select("a", F.col("b").alias("call"))
         return [calls.join(handled.select(F.col("a").alias("call")), "call").join(self.passed, "call").select(_row("flow", "a", "value"))]
 
+    def carried(self, edge: DataFrame, waiting: DataFrame) -> list[DataFrame]:
+        """A value that leaves a function is at the results of its calls; one that a call passes is at the parameters of its callees."""
+        edge = edge.select(F.col("a").alias("call"), F.col("b").alias("callee"))
+        left = waiting.where("tag = 'leaves'").select("a", F.col("b").alias("callee")).join(edge, "callee").join(self.forward.results, "call")
+        given = waiting.where("tag = 'gives'").select("a", F.col("b").alias("call"), F.col("c").alias("position")).join(edge, "call").join(self.forward.params, ["callee", "position"])
+        return [left.select(_row("at", "a", "place")), given.select(_row("at", "a", "place"))]
+
+    def past(self, handled: DataFrame, waiting: DataFrame) -> list[DataFrame]:
+        """What a call without a callee is given is at its result."""
+        given = waiting.where("tag = 'gives'").select("a", F.col("b").alias("call")).distinct()
+        return [given.join(handled.select(F.col("a").alias("call")), "call").join(self.forward.results, "call").select(_row("at", "a", "place"))]
+
+
+class Forward:
+    """Where a function's value goes, by places without order; made once, where callers are asked for."""
+
+    def __init__(self, p: Program, scope: DataFrame):
+        text = lambda kind, owner, key: F.concat_ws("|", F.lit(kind), owner.cast("string"), key.cast("string"))
+        register = lambda column: text("R", F.col("func_id"), F.col(column))
+        declared = scope.select("func_id", F.substring("key", 3, 1 << 30).alias("name"), "decl_id")
+        n = p.node.join(p.function.select("func_id", "program_id"), "func_id").join(declared, ["func_id", "name"], "left")
+        variable = text("N", F.coalesce("decl_id", "func_id"), F.col("name"))
+        property_ = text("P", F.col("program_id"), _property("property"))
+        writes = F.expr("kind = 'WriteVariable' or kind = 'DeclareFunction' and result_reg < 0 and name is not null")
+        defined = F.array_compact(F.array(F.when(F.expr("result_reg > 0"), register("result_reg")), F.when(writes, variable)))
+        call = F.col("node_id").cast("string").alias("call")
+        static = names.static_references(p, names.ancestors(p)).select("node_id", F.col("callee_id").alias("declared"))
+        #: (func_id, place) where a function's value begins.
+        self.seeds = stored(
+            n.where("declares is not null").select(F.col("declares").alias("func_id"), F.explode(defined).alias("place"))
+            .union(n.join(static, "node_id").where("result_reg > 0").select(F.col("declared"), register("result_reg")))
+        )
+        taken = F.when(F.col("kind") == "ReadVariable", variable).when(F.col("kind").isin("WriteVariable"), register("value_reg")).when(F.expr("kind = 'ReadProperty' and property is not null"), property_)
+        step = lambda df, src, dst: df.select(src.alias("place"), F.lit("at").alias("tag"), dst.alias("to"), F.lit("").alias("c"))
+        operand = p.call_arg.join(n, "node_id")
+        external = n.where("kind = 'Call' and not is_internal")
+        method = external.where("func_reg = -1 and property is not null")
+        uses = lambda df, src: df.select(src.alias("place"), F.lit("ask").alias("tag"), call.alias("to"), F.lit("").alias("c"))
+        gives = lambda df, src, position: df.select(src.alias("place"), F.lit("gives").alias("tag"), call.alias("to"), position.cast("string").alias("c"))
+        #: (place, tag, to, c): what follows from being at a place.
+        self.onward = stored(_union([
+            step(n.where(taken.isNotNull()), taken, F.explode(defined)),
+            step(n.where("kind = 'WriteProperty' and property is not null"), register("value_reg"), property_),
+            step(operand.where("kind in ('BinaryOperator', 'UnaryOperator')"), register("reg"), F.explode(defined)),
+            uses(external.where("func_reg >= 0"), register("func_reg")),
+            uses(method, property_),
+            gives(operand.where("kind = 'Call' and not is_internal"), register("reg"), F.col("position")),
+            gives(method.where("base_reg >= 0 and not is_ctor"), register("base_reg"), F.lit(-1)),
+            p.function.select(text("R", F.col("func_id"), F.lit(1)), F.lit("leaves"), F.col("func_id").cast("string"), F.lit("")),
+        ]))
+        #: (call, place) of results, and (callee, position, place) of parameters.
+        self.results = stored(external.where("not is_ctor and result_reg > 0").select(call, register("result_reg").alias("place")))
+        self.params = stored(p.function.select("func_id", F.posexplode("params").alias("position", "name")).select(F.col("func_id").cast("string").alias("callee"), F.col("position").cast("string").alias("position"), text("N", F.col("func_id"), F.col("name")).alias("place")))
+
 
 def point_of(register: str) -> Column:
     """The point of a register at a node (func_id, block, idx)."""
@@ -221,7 +288,7 @@ def known(p: Program, points: DataFrame | None = None, calls: DataFrame | None =
 
     strata: once nothing is new, calls without a callee pass their arguments (and
     a method call its base) to their result, and the search goes on. All such calls are
-    judged against one snapshot. deadline: a time.monotonic() after which no round
+    judged against one snapshot, as far as they are asked by then. deadline: a time.monotonic() after which no round
     begins; TimeoutError then. rules: those of p with the same captures, where a
     caller asks several times. log takes the figures of each round.
     """
@@ -236,8 +303,11 @@ def known(p: Program, points: DataFrame | None = None, calls: DataFrame | None =
     new = stored(_union(seeds).distinct())
     parts: list[tuple[DataFrame, int]] = []  # what earlier rounds brought, in tables of falling size
     rounds, seen, waits = 0, set(), {"field", "heap", "callee"}
-    alone = ((rules.places, {"point"}), (rules.fields, {"point"}), (rules.asked, {"ask"}), (rules.callers, {"entry"}), (rules.anywhere, {"entry"}), (rules.all_calls, {"callers"}))
+    alone = ((rules.places, {"point"}), (rules.fields, {"point"}), (rules.asked, {"ask"}), (rules.anywhere, {"entry"}))
     together = ((rules.reach, {"pts"}, {"flow"}), (rules.held, {"pts"}, waits), (rules.called, {"edge"}, {"calls", "entry"}), (rules.through, {"handled"}, {"calls"}))
+    if points is not None or calls is not None:
+        alone += ((rules.declared_at, {"entry", "leaves"}), (rules.onward, {"at"}))
+        together += ((rules.carried, {"edge"}, {"leaves", "gives"}), (rules.past, {"handled"}, {"gives"}))
     pick = lambda df, tags: df.where(F.col("tag").isin(*tags))
     # The tags of the new rows, a dozen at most, say which rules have anything to do.
     counts = {r.tag: r.n for r in status(new).collect()}

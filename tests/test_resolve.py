@@ -11,6 +11,7 @@ from flowtide.plans import program as tables_of
 from flowtide.plans.program import Program
 from flowtide.sources import tables
 from flowtide.sources.javascript import Unreadable, lower
+from flowtide.sources.javascript import programs as programs_of
 
 LAST = resolve.LAST
 
@@ -245,6 +246,50 @@ def test_views_of_the_rows(solved):
     assert links and all(a.split("|")[0] in "VHM" or a.isdigit() for a, _ in links)
 
 
+
+def test_callers_on_demand(solved):
+    """Values asked one at a time: what is asked for them is enough, and far from all. Without strata, as these depend on what is asked when."""
+    p, programs, _ = solved
+    whole = resolve.known(p, strata=False)
+    want = {}
+    for r in resolve.points_to(whole).collect():
+        want.setdefault(r.point, set()).add(r.alloc)
+    edges = {(e.call_id, e.callee_id) for e in resolve.edges(whole).collect()}
+    points = {r.point for r in whole.where("tag in ('flow', 'heap', 'field')").select(F.col("b").alias("point")).collect()}
+    some = sorted(points)[::9]
+    got_rows = resolve.known(p, points=p.node.sparkSession.createDataFrame([(x,) for x in some], "point string"), strata=False)
+    got = {}
+    for r in resolve.points_to(got_rows).collect():
+        got.setdefault(r.point, set()).add(r.alloc)
+    assert {x: got.get(x, set()) for x in some} == {x: want.get(x, set()) for x in some}
+    asked = {int(r.a) for r in got_rows.where("tag = 'ask'").collect()}
+    assert {(e.call_id, e.callee_id) for e in resolve.edges(got_rows).collect()} == {e for e in edges if e[0] in asked}
+    entered = {int(r.b) for r in got_rows.where("tag in ('entry', 'leaves')").collect()}
+    assert {c for c, f in edges if f in entered} <= asked and entered
+    assert len(asked) < sum(len(Plain(*x).calls) for x in programs)
+
+
+def test_calls_on_demand_with_handled_ones(solved):
+    """Calls of whole programs, asked by program instead of all at once, give what all give."""
+    p, programs, rows = solved
+    some = [n["node_id"] for x in programs[:5] for n in x[1] if n["kind"] == "Call" and not n["is_internal"]]
+    got = resolve.known(p, calls=p.node.sparkSession.createDataFrame([(c,) for c in some], "call_id long"))
+    ours = lambda df: {tuple(r) for r in resolve.edges(df).where(F.col("call_id").isin(some)).collect()}
+    assert ours(got) == ours(rows) and ours(got)
+    handled = lambda df: {int(r.a) for r in df.where("tag = 'handled'").collect()}
+    assert handled(got) == handled(rows) & set(some)
+
+
+def test_unrelated_functions_are_not_asked(spark):
+    """f0 to f19 each pass a new object to their own function and keep what it gets: one such value asks for one call of twenty."""
+    text = "".join(f"function g{i}(a) {{ var kept{i} = a; return kept{i}; }} var h{i} = g{i}; var o{i} = {{}}; h{i}(o{i});\n" for i in range(20))
+    p, errors = programs_of(spark.createDataFrame([("one", text)], "program_id string, source string"))
+    assert errors.isEmpty()
+    point = resolve.value_points(p).join(p.node.where("name = 'kept7'").select("node_id"), "node_id").select("point")
+    got = resolve.known(p, points=point)
+    assert got.where("tag = 'ask'").count() == 1 and resolve.points_to(got).join(point, "point").count() == 1
+    assert got.where("tag = 'at'").count() < 12
+
 def test_time_limit(solved):
     p, _, _ = solved
     with pytest.raises(TimeoutError):
