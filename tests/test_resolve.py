@@ -70,7 +70,8 @@ def random_program(r: random.Random, serial: int):
 class Plain:
     """The answers of all calls of one program: sets of points, facts and edges that grow until nothing is new."""
 
-    def __init__(self, functions, nodes, args, edges):
+    def __init__(self, functions, nodes, args, edges, captures="exit"):
+        self.captures = captures
         self.f = {x[1]: dict(zip("program func_id name outer is_main params vars entry exit".split(), x, strict=True)) for x in functions}
         self.node = {n["node_id"]: n for n in nodes}
         self.args = {}
@@ -132,13 +133,17 @@ class Plain:
         fun = self.f[f]
         if block == fun["entry"] and not fun["is_main"] and key.startswith("v:"):
             self.asked |= {c["node_id"] for c in self.calls}
+            decl = self.visible(f, key[2:])
+            if self.captures == "any" and decl is not None and decl != f:
+                out.add(("V", decl, self.f[decl]["entry"], 0, key))
+                out |= {("V", decl, n["block"], n["idx"] + 1, key) for n in self.node.values() if n["func_id"] == decl and self.key(n) == key}
             for c, callee in self.edges:
                 if callee != f:
                     continue
                 call, name = self.node[c], key[2:]
                 out |= {("V", call["func_id"], call["block"], call["idx"], self.args[c][i]) for i, p in enumerate(fun["params"]) if p == name and i in self.args.get(c, {})}
                 mine = self.visible(f, name)
-                if name not in self.declares(f) and mine is not None:
+                if name not in self.declares(f) and mine is not None and self.captures == "exit":
                     around = self.f[fun["outer"]]
                     out.add(("V", call["func_id"], call["block"], call["idx"], key) if mine == self.visible(call["func_id"], name) else ("V", around["func_id"], around["exit"], LAST, key))
         return set(), out
@@ -229,6 +234,22 @@ def test_random_programs(solved):
     assert {int(r.a) for r in rows.where("tag = 'handled'").collect()} == {c for s in plain for c in s.handled}
 
 
+def test_captured_names_from_any_assignment(solved):
+    p, programs, _ = solved
+    got = resolve.known(p, captures="any")
+    plain = [Plain(*x, captures="any").solve() for x in programs]
+    assert {(e.call_id, e.callee_id) for e in resolve.edges(got).collect()} == {e for s in plain for e in s.edges}
+    assert {tuple(r) for r in resolve.points_to(got).where("point like 'V|%'").collect()} == {("|".join(map(str, point)), f"{k}|{i}") for s in plain for point, found in s.facts.items() if point[0] == "V" for k, i in found}
+
+
+def test_what_tells_the_capture_modes_apart(spark):
+    text = "function outer() { var v = {}; function inner() { return v; } var kept = inner(); v = {}; } outer();"
+    p, _ = programs_of(spark.createDataFrame([("one", text)], "program_id string, source string"))
+    point = resolve.value_points(p).join(p.node.where("name = 'kept'").select("node_id"), "node_id").select("point")
+    objects = [resolve.points_to(resolve.known(p, points=point, captures=c)).join(point, "point").count() for c in ("exit", "any")]
+    assert objects == [1, 2]
+
+
 def test_views_of_the_rows(solved):
     p, _, rows = solved
     by_call = {(r.call_id, r.callee_id) for r in resolve.edges(rows).collect()}
