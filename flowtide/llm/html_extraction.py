@@ -7,9 +7,13 @@ bidirectional LSTM in numpy passes over the whole page both ways, so that every
 block is classified with the document around it; blocks labelled as article are
 joined.
 
-The labeller is trained once per driver, when it is first needed, from a fixed seed, on generated
-pages that hold the kinds of blocks a page has: it needs no labelled corpus and
-is the same every time. TRAIN_PAGES bounds it.
+The labeller is trained from a fixed seed on generated pages that hold the kinds of blocks a page
+has, so that it needs no labelled corpus. TRAIN_PAGES bounds it. Its weights are kept in WEIGHTS;
+`python -m flowtide.llm.html_extraction` makes that file anew. Some of the generated pages have elements and
+names that say nothing: there the shape and the place of the blocks have to do.
+
+What counts as the article where templates differ: the title in an article's own header is part of it, the
+byline and the date beside that title aren't; boxes of reader comments aren't, under whatever of the usual names.
 
 Cases: null or empty html has no blocks and an empty text; broken markup is read
 as far as it goes; pages of any number of blocks are read whole, a stretch at a time; repeated rows are
@@ -20,7 +24,9 @@ from __future__ import annotations
 
 import functools
 import random
+import re
 import zlib
+from pathlib import Path as File
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,8 @@ from .words import U, batches, split
 PATH, WORDS, MEASURES, HIDDEN = 96, 24, 8, 16
 SIZE = PATH + WORDS + MEASURES
 #: Generated pages, passes over them and pages of a step.
-TRAIN_PAGES, EPOCHS, STEP = 900, 12, 16
+TRAIN_PAGES, EPOCHS, STEP = 3500, 14, 16
+WEIGHTS = File(__file__).with_name("page_labeller.npz")
 #: Blocks that are passed through the network at once.
 CHUNK = 24_000
 
@@ -205,6 +212,11 @@ class Labeller:
 
 
 @functools.cache
+def trained() -> Labeller:
+    with np.load(WEIGHTS) as kept:
+        return Labeller([kept[f"arr_{i}"] for i in range(6)])
+
+
 def train(seed: int = 5, pages: int = TRAIN_PAGES, epochs: int = EPOCHS) -> Labeller:
     r = np.random.default_rng(seed)
     made = [generate(seed * 100_003 + i) for i in range(pages)]
@@ -260,6 +272,8 @@ def generate(seed: int) -> tuple[list[Block], np.ndarray]:
     cls = lambda *names: r.choice([f' class="{r.choice(names)}"', f' id="{r.choice(names)}"', f' class="{r.choice(names)} {word()}"'])
     link = lambda: f'<a href="/{word()}">{say(1, 3)}</a>'
     mark = "\x01"  # stands at the front of every block of the article
+    plain = r.random() < 0.35  # a template whose elements and names say nothing, but for comments, adverts and notices, which nothing else tells from an article
+    telling = re.compile("comment|repl|discuss|respon|disqus|thread|message|review|feedback|reader|^ad|spons|promo|banner|cookie|consent|gdpr|notice|alert|newsletter|subscribe|popup|modal|warning")
 
     def items(n, inner):
         return "<ul>" + "".join(f"<li>{inner()}" + r.choice(["</li>", "</li>", ""]) for _ in range(n)) + "</ul>"
@@ -282,11 +296,11 @@ def generate(seed: int) -> tuple[list[Block], np.ndarray]:
         return f"<form{r.choice(['', cls('search', 'login', 'contact', 'signup')])}><label>{say(1, 3)}</label><input name=q>" + r.choice(["", f"<p>{end(3, 12)}</p>"]) + f"<select><option>{say(1, 2)}<option>{say(1, 2)}</select><button>{say(1, 2)}</button></form>"
 
     def sidebar():
-        body = f"<h3>{say(1, 4)}</h3>" + r.choice([items(r.randint(2, 6), link), f"<p>{end(5, 30)}</p>", f"<p>{link()}</p><p>{end(4, 20)}</p>"])
+        body = f"<h3>{say(1, 4)}</h3>" + items(r.randint(2, 6), link) if plain else r.choice([items(r.randint(2, 6), link), f"<p>{end(5, 30)}</p>", f"<p>{link()}</p><p>{end(4, 20)}</p>"])
         return r.choice([f"<aside>{body}</aside>", f"<div{cls('sidebar', 'related', 'widget', 'recommended', 'trending', 'share', 'social', 'more')}>{body}</div>"])
 
     def footer():
-        body = r.choice([f"&copy; {word()}.example.com &middot; {end(3, 20)}", f"<p>&copy; {say(1, 3)}</p>{items(3, link)}", f"<p>{end(4, 20)}</p>", end(4, 20)])
+        body = r.choice([f"&copy; {r.randint(1990, 2030)} {say(1, 3)}", f"&copy; {word()}.example.com &middot; {end(3, 20)}", f"<p>&copy; {say(1, 3)}</p>{items(3, link)}", *([] if plain else [f"<p>{end(4, 20)}</p>", end(4, 20)])])
         return r.choice([f"<footer>{body}</footer>", f"<footer>{body}</footer>", f"<div{cls('footer', 'copyright', 'bottom', 'site-footer')}>{body}</div>"])
 
     def comments():
@@ -295,6 +309,9 @@ def generate(seed: int) -> tuple[list[Block], np.ndarray]:
             f"<section{cls('comments', 'comment-list', 'replies', 'discussion', 'responses')}><h2>{say(1, 3)}</h2>" + "".join(f"<div class=\"comment\">{one()}</div>" for _ in range(r.randint(1, 6))) + "</section>",
             f"<div{cls('comments', 'comment', 'reader-comments')}>{items(r.randint(1, 6), one)}</div>",
             f"<ol class=\"commentlist\">{''.join(f'<li>{one()}' for _ in range(r.randint(1, 5)))}</ol>",
+            f"<div id=\"{r.choice(['disqus_thread', 'fb-comments', 'discussion', 'thread', 'user-reviews', 'feedback', 'respond'])}\">"
+            + "".join(f"<div class=\"{each}\">{one()}</div>" for each in [r.choice(["post-message", "message", "reply", "response", "review", "media-body", "comment-body", "reader-post"])] * r.randint(1, 5))
+            + "</div>",
         ])
 
     def paragraph():
@@ -329,7 +346,14 @@ def generate(seed: int) -> tuple[list[Block], np.ndarray]:
         return f"<p>{mark}{p(1, 3)} {link()} {p(1, 2)}</p>"
 
     def article():
-        inside = [f"<h1>{mark}{say(1, 9).capitalize()}{r.choice(['.', '', ''])}</h1>"] * (r.random() < 0.9) + [paragraph() for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14, 25, 40]))]
+        title = f"<h1>{mark}{say(1, 9).capitalize()}{r.choice(['.', '', ''])}</h1>"
+        headed = not plain and r.random() < 0.25  # the usual template of blogs
+        if headed:
+            by = lambda: r.choice([f"<p{cls('meta', 'byline', 'author', 'date', 'entry-meta')}>{say(1, 5)}</p>", f"<div{cls('meta', 'byline', 'date', 'posted')}>{say(1, 3)} {r.randint(1, 28)}, {r.randint(1990, 2030)}</div>", ""])
+            title = f"<header{r.choice(['', cls('entry-header', 'post-header', 'article-header')])}>{title}{by()}</header>"
+        inside = [title] * (headed or r.random() < 0.9) + [paragraph() for _ in range(r.choice([2, 2, 3, 3, 4, 5, 8, 14] if plain else [0, 1, 1, 2, 3, 5, 8, 14, 25, 40]))]
+        if plain and r.random() < 0.35:  # a few short paragraphs and no more
+            inside = [f"<h{(n := r.choice('123'))}>{mark}{say(1, 6).capitalize()}</h{n}>"] * (r.random() < 0.5) + [f"<p>{mark}{end(6, 22)}</p>" for _ in range(r.randint(2, 4))]
         if not inside or len(inside) == 1 and inside[0].startswith("<h1>"):
             inside.append(f"<p>{mark}{end(3, 30)}")
         for _ in range(r.choice([0, 0, 0, 0, 1, 1, 2])):
@@ -337,14 +361,23 @@ def generate(seed: int) -> tuple[list[Block], np.ndarray]:
         if r.random() < 0.1:
             inside.append(comments())
         body = "".join(inside)
+        if headed:
+            return r.choice([f"<article{r.choice(['', cls('post', 'entry', 'story')])}>{body}</article>", f"<main><article>{body}</article></main>", f"<main>{body}</main>"])
         return r.choice([f"<article>{body}</article>"] * 4 + [f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div{cls('content', 'post', 'entry', 'article', 'story', 'main', 'post-content', 'article-body')}>{body}</div>", f"<div>{body}</div>", body])
 
     page = [r.choice([menu, header, advert, notice, form, sidebar])() for _ in range(r.randint(0, 4))] + [article()] + [r.choice([sidebar, advert, comments, notice, form, menu])() for _ in range(r.randint(0, 3))] + [footer()] * (r.random() < 0.9)
     if r.random() < 0.2:
         page = [f"<div{cls('wrapper', 'container', 'page')}>", *page, "</div>"]
-    if r.random() < 0.04:
+    if r.random() < (0.12 if plain else 0.04):
         page = [article()]  # a page of nothing else
-    found = blocks(f"<html><head><title>{say(2, 6)}</title></head><body>{''.join(page)}</body></html>")
+    body = "".join(page)
+    if plain:
+        names: dict[str, str] = {}
+        body = re.sub("<(/?)(?:nav|header|footer|aside|section|article|main)(?=[ >])", r"<\1div", body)
+        body = re.sub(' (class|id)="([^"]*)"', lambda m: m[0] if telling.search(m[2]) else f' {m[1]}="{names.setdefault(m[2], r.choice("xqzbk") + word() + str(r.randint(1, 9)))}"', body)
+        if r.random() < 0.3:
+            body = body.replace('<div class="', '<div data-x="')
+    found = blocks(f"<html><head><title>{say(2, 6)}</title></head><body>{body}</body></html>")
     gold = np.array([mark in b.text for b in found], np.float32)
     return [Block(b.text.replace(mark, ""), b.path, b.linked) for b in found], gold
 
@@ -355,7 +388,7 @@ def generate(seed: int) -> tuple[list[Block], np.ndarray]:
 def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks and n_kept of every row."""
     spark = session(pages)
-    shared = spark.sparkContext.broadcast(labeller or train())
+    shared = spark.sparkContext.broadcast(labeller or trained())
     rows_in = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def rows(it):
@@ -369,3 +402,7 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
             })
 
     return rows_in.mapInArrow(rows, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, *train().parts)

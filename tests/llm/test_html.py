@@ -20,6 +20,26 @@ PAGES = {
         '<html><body><nav class="navbar"><ul><li><a href="#">Guide</a></li><li><a href="#">Reference</a></li></ul></nav><div class="sidebar"><ul><li><a href="#a">Install</a></li><li><a href="#b">Use</a></li></ul></div>\n<main class="content"><h1>Sorting rows</h1><p>Rows are sorted by the columns you name, in that order.</p><pre>sort --by size --then name</pre><table><tr><th>flag</th><th>meaning</th></tr><tr><td>by</td><td>first column</td></tr></table><p>If two rows are equal they keep their places.</p></main><footer><p>Built with care by the team.</p></footer></body></html>',  # noqa: E501
         ['Sorting rows', 'Rows are sorted by the columns you name, in that order.', 'sort --by size --then name', 'flag', 'meaning', 'by', 'first column', 'If two rows are equal they keep their places.'],  # noqa: E501
     ),
+    "names that say nothing": (
+        '<html><body><div class=top><a href="/">Home</a> <a href="/b">Books</a></div><div class=x1><p>Water boils at a lower temperature the higher you climb.</p><p>Second, leaves give up their taste more slowly in cooler water.</p></div><div class=bottom>&copy; 2024 Kettle Press</div></body></html>',  # noqa: E501
+        ["Water boils at a lower temperature the higher you climb.", "Second, leaves give up their taste more slowly in cooler water."],
+    ),
+    "names that say nothing, long": (
+        '<html><body><div class="k7"><a href="/">Home</a> <a href="/b">Books</a> <a href="/c">Contact</a></div><div class="q2"><div class="q3"><h1>How bridges carry trains</h1><p>A bridge that carries trains has to bear loads which come and go within seconds, and that never quite repeat.</p><p>Engineers therefore watch how steel tires, and count the trains that have passed over every beam.</p><p>When the count comes near to what a beam was made for, it is taken out and another is put in its place.</p></div></div><div class="k9"><ul><li><a href="/1">Tunnels</a></li><li><a href="/2">Ferries</a></li><li><a href="/3">Trams</a></li></ul></div><div class="k8">&copy; 2023 Rail Review</div></body></html>',  # noqa: E501
+        ["How bridges carry trains", "A bridge that carries trains has to bear loads which come and go within seconds, and that never quite repeat.", "Engineers therefore watch how steel tires, and count the trains that have passed over every beam.", "When the count comes near to what a beam was made for, it is taken out and another is put in its place."],  # noqa: E501
+    ),
+    "no names": (
+        '<html><body><div><a href="/">Home</a></div><div><h2>Soup for two</h2><p>Cut the onions as small as you can and let them sweat in butter for ten minutes.</p><p>Add the stock, then the barley, and leave the pot alone until the grains are soft.</p></div><div>&copy; 2020 The Pot</div></body></html>',  # noqa: E501
+        ["Soup for two", "Cut the onions as small as you can and let them sweat in butter for ten minutes.", "Add the stock, then the barley, and leave the pot alone until the grains are soft."],
+    ),
+    "title in the article's header": (
+        '<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article class="post"><header class="entry-header"><h1>Why bread rises</h1><p class="byline">by Kim Lee</p></header><p>Yeast eats sugar and breathes out gas, and the dough holds that gas in small rooms of gluten.</p><p>Heat makes the rooms grow before their walls set.</p></article><footer>&copy; 2021 Oven Notes</footer></body></html>',  # noqa: E501
+        ["Why bread rises", "Yeast eats sugar and breathes out gas, and the dough holds that gas in small rooms of gluten.", "Heat makes the rooms grow before their walls set."],
+    ),
+    "comments of other names": (
+        '<html><body><header><p>Trail Post</p></header><main><article><h1>Across the pass</h1><p>The path climbs through larch woods and comes out on stones above the lake.</p><p>Take water with you, as the last spring is an hour below the top.</p></article></main><div id=disqus_thread><div class=post-message><p>Great article, thanks!</p></div><div class=post-message><p>The spring was dry when we came by in August.</p></div></div><footer><p>Imprint</p></footer></body></html>',  # noqa: E501
+        ["Across the pass", "The path climbs through larch woods and comes out on stones above the lake.", "Take water with you, as the last spring is an hour below the top."],
+    ),
     "bare": (
         '<p>There is no template here at all, just a paragraph of plain text that somebody wrote.</p><p>And another one, which ends the page.</p>',  # noqa: E501
         ['There is no template here at all, just a paragraph of plain text that somebody wrote.', 'And another one, which ends the page.'],  # noqa: E501
@@ -31,11 +51,11 @@ PAGES = {
 def test_gold_pages(name):
     html, want = PAGES[name]
     found = blocks(html)
-    assert [b.text for b, yes in zip(found, html_extraction.train().article([found])[0], strict=True) if yes] == want
+    assert [b.text for b, yes in zip(found, html_extraction.trained().article([found])[0], strict=True) if yes] == want
 
 
 def test_long_pages_in_stretches():
-    labeller = html_extraction.train()
+    labeller = html_extraction.trained()
     pages = [p for p, _ in (html_extraction.generate(8_000_000 + i) for i in range(40))]
     assert labeller.article(pages, 7) == labeller.article(pages)
     long = blocks("<article>" + "<p>Some words of a paragraph that goes on.</p>" * 30_000 + "</article>")
@@ -63,3 +83,10 @@ def test_time_in_proportion(piece):
     begun = time.perf_counter()
     blocks(piece * (1_000_000 // len(piece)))
     assert time.perf_counter() - begun < 15
+
+
+def test_unseen_generated_pages():
+    made = [html_extraction.generate(9_000_000 + i) for i in range(300)]
+    said = html_extraction.trained().article([p for p, _ in made])
+    right = [x == bool(y) for own, (_, gold) in zip(said, made, strict=True) for x, y in zip(own, gold, strict=True)]
+    assert sum(right) > 0.97 * len(right)
