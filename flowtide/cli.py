@@ -19,7 +19,7 @@ def options() -> argparse.ArgumentParser:
     source.add_argument("-f", "--file", help="one file")
     out.add_argument("-o", "--output", help="folder for the call graph as JSON lines")
     out.add_argument("-s", "--sinks", help="text file with a sink name a line; without it every call is resolved")
-    out.add_argument("-fg", "--flowgraph", help="folder for the nodes as Parquet")
+    out.add_argument("-fg", "--flowgraph", help="folder for the flowgraphs as text, a folder each program")
     out.add_argument("-tq", "--taint-queries", help="indexes of sink queries to run, comma-separated")
     return out
 
@@ -31,7 +31,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     p, errors = programs(source)
     errors.show(truncate=False)
     if args.flowgraph:
-        p.node.write.mode("overwrite").parquet(args.flowgraph)
+        files.write_program_text(p, args.flowgraph)
     if args.sinks:
         chosen = [int(i) for i in args.taint_queries.split(",")] if args.taint_queries else None
         found, edges = experiments.taint(p, files.sink_names(spark, args.sinks), chosen)

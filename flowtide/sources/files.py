@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import fixpoint
 from ..plans.program import Program
 
+#: How the text form calls kinds of nodes whose name isn't that of the kind in small letters with hyphens.
+TEXT_NAMES = {"DeclareVariable": "vardecl", "DeclareFunction": "function-decl"}
+
 
 def sources(spark: SparkSession, path: str, extension: str = "js", recursive: bool = False) -> DataFrame:
     """(program_id, source) of every file with the extension."""
@@ -60,6 +64,55 @@ def flowgraph_text(nodes: DataFrame) -> DataFrame:
     return own.union(heads).union(ends).union(functions).select("program_id", F.row_number().over(order).alias("line_no"), "value")
 
 
+def program_text(p: Program) -> DataFrame:
+    """(program_id, line_no, value): the text form of every program, to be written in that order.
+
+    Functions stand in the order of their ids, blocks likewise with the entry first; a block without nodes has its
+    lines too. What a program's tables don't hold is written as `-`: values of constants, registers that aren't there.
+    """
+    register = lambda c: F.when(F.col(c) >= 0, F.concat(F.lit("v"), F.col(c).cast("string"))).otherwise("-")
+    quoted = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("'"), F.col(c), F.lit("'")))
+    head = lambda name, params: F.concat(F.lit("function "), F.coalesce(name, F.lit("")), F.lit("("), F.array_join(params, ", "), F.lit(")"))
+    label = lambda b: F.concat(F.lit("block "), b.cast("string"))
+    owner = p.function.select("func_id", "program_id", "entry", "exit")
+    seeds = p.node.select("block", "func_id").union(p.function.select("entry", "func_id")).union(p.function.select("exit", "func_id")).distinct()
+    hop = p.block_edge.select(F.col("src").alias("block"), "dst").distinct()
+    owned = fixpoint(seeds, lambda new, _: new.join(hop, "block").select(F.col("dst").alias("block"), "func_id")).join(owner, "func_id")
+    # A line's place: function, whether it is of a block, whether that isn't the entry, block, head or node or end, node.
+    at = lambda block, later, part, idx: F.struct("func_id", F.lit(block).alias("block_line"), later.alias("later"), (F.col("block") if block else F.lit(-1)).cast("long").alias("block"), F.lit(part).alias("part"), idx.cast("long").alias("idx")).alias("at")
+    later = F.col("block") != F.col("entry")
+    tag = F.when(F.col("block") == F.col("entry"), " [entry]").when(F.col("block") == F.col("exit"), " [exit-ordinary]").otherwise("")
+    heads = owned.select("program_id", at(1, later, 0, F.lit(0)), F.concat(F.lit("  "), label(F.col("block")), F.lit(":"), tag).alias("value"))
+    next_ = hop.groupBy("block").agg(F.array_sort(F.collect_list("dst")).alias("next"))
+    ends = owned.join(next_, "block", "left").select("program_id", at(1, later, 2, F.lit(0)), F.concat(F.lit("    ->["), F.array_join(F.transform(F.coalesce("next", F.array().cast("array<bigint>")), label), ", "), F.lit("]")).alias("value"))
+    functions = p.function.select("program_id", at(0, F.lit(False), 0, F.lit(0)), F.when(F.col("is_main"), F.concat(F.lit("<main> "), F.lit("function()"))).otherwise(head(F.col("name"), F.col("params"))).alias("value"))
+    given = p.call_arg.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", register("reg").alias("r")))), lambda x: x.r).alias("given"))
+    declared = p.function.select(F.col("func_id").alias("declares"), head(F.col("name"), F.col("params")).alias("declared"))
+    n = p.node.join(owner, "func_id").join(given, "node_id", "left").join(declared, "declares", "left").withColumn("given", F.coalesce("given", F.array().cast("array<string>")))
+    kind, result, value, base = F.col("kind"), register("result_reg"), register("value_reg"), register("base_reg")
+    callee = F.when((F.col("func_reg") < 0) & F.col("property").isNotNull(), quoted("property")).otherwise(register("func_reg"))
+    operands = (
+        F.when(kind == "Constant", F.array(F.lit("-"), result)).when(kind == "NewObject", F.array(result)).when(kind == "DeclareVariable", F.array(quoted("name")))
+        .when(kind == "DeclareFunction", F.array("declared", result)).when(kind == "ReadVariable", F.array(quoted("name"), result, F.lit("-"))).when(kind == "WriteVariable", F.array(value, quoted("name")))
+        .when(kind == "ReadProperty", F.array(base, quoted("property"), result)).when(kind == "WriteProperty", F.array(base, quoted("property"), value))
+        .when(kind == "Call", F.concat(F.array(base, callee, result), F.col("given"))).when(kind.isin("BinaryOperator", "UnaryOperator"), F.concat(F.col("given"), F.array(result)))
+        .otherwise(F.filter(F.array(value, base, result), lambda x: x != "-"))
+    )
+    plain = F.lower(F.regexp_replace("kind", "(?<=[a-z])(?=[A-Z])", "-"))
+    name = F.coalesce(F.create_map(*(F.lit(x) for pair in TEXT_NAMES.items() for x in pair))[kind], F.when((kind == "Call") & F.col("is_ctor"), "construct").otherwise(plain))
+    shown = F.when(F.size(operands) == 0, "").otherwise(F.concat(F.lit("["), F.array_join(operands, ",", "-"), F.lit("]")))
+    place = F.concat_ws(":", F.regexp_replace("program_id", r"[()\r\n]", "_"), F.col("line").cast("string"), F.col("col").cast("string"))
+    nodes = n.select("program_id", at(1, later, 1, F.col("idx")), F.concat(F.lit("    node "), F.col("node_id").cast("string"), F.lit(": "), name, shown, F.lit(" ("), place, F.lit(")")).alias("value"))
+    order = Window.partitionBy("program_id").orderBy("at")
+    return functions.union(heads).union(nodes).union(ends).select("program_id", F.row_number().over(order).alias("line_no"), "value")
+
+
+def write_program_text(p: Program, folder: str) -> None:
+    """The text form as a folder of lines for each program."""
+    lines = program_text(p).repartition("program_id").sortWithinPartitions("program_id", "line_no")
+    lines.select("program_id", "value").write.mode("overwrite").partitionBy("program_id").text(folder)
+
+
 def call_graph_spans(p: Program, edges: DataFrame) -> DataFrame:
     """(program_id, caller, callee): spans of call sites and of the functions called."""
     site = p.node.select(F.col("node_id").alias("call_id"), "func_id", F.struct(F.struct("line", F.col("col").alias("column")).alias("start")).alias("caller"))

@@ -45,6 +45,33 @@ def test_flowgraph_text_both_ways(spark):
     assert "\n".join(r.value for r in lines if r.program_id == "a") + "\n" == DUMP
 
 
+def test_flowgraph_text_of_programs(spark):
+    text = "var o = {}; function one(a, b) { if (a) { return b.q; } else { o.p = a; } while (b) { b = one(a, o); } return -a; } one(o, 1); o.m(2); new one(o);"
+    p, _ = programs(spark.createDataFrame([("x.js", text), ("y.js", "z(1 + 2);"), ("none.js", "")], "program_id string, source string"))
+    lines = files.program_text(p).orderBy("program_id", "line_no").collect()
+    dumps = {}
+    for r in lines:
+        dumps.setdefault(r.program_id, []).append(r.value)
+    assert set(dumps) == {"x.js", "y.js", "none.js"} and [x for x in dumps["x.js"] if x[0] != " "] == ["<main> function()", "function one(a, b)"]
+    again = files.flowgraph(spark.createDataFrame([(k, "\n".join(v)) for k, v in dumps.items()], "program_id string, source string"))
+    got = {r.node_id: r for r in again.collect()}
+    nodes = {n.node_id: n for n in p.node.collect()}
+    assert set(got) == set(nodes) and all(got[i].block == n.block and got[i].place.endswith(f".js:{n.line}:{n.col}") for i, n in nodes.items())
+    ends = {}
+    for e in p.block_edge.collect():
+        ends.setdefault(e.src, []).append(e.dst)
+    assert all(sorted(r.successors) == sorted(set(ends.get(r.block, []))) for r in got.values())
+    order = sorted(nodes.values(), key=lambda n: (n.block, n.idx))
+    assert [n.node_id for n in order] == [r.node_id for r in sorted(got.values(), key=lambda r: (r.block, r.line_no))]
+    shown = {(nodes[i].kind, r.op) for i, r in got.items()}
+    assert {("Call", "call"), ("Call", "construct"), ("WriteProperty", "write-property"), ("NewObject", "new-object"), ("DeclareFunction", "function-decl")} <= shown
+    method = next(r for i, r in got.items() if nodes[i].kind == "Call" and nodes[i].property == "m")
+    n, args = nodes[method.node_id], [r.reg for r in p.call_arg.where(f"node_id = {method.node_id}").orderBy("position").collect()]
+    assert method.operands == ",".join([f"v{n.base_reg}", "'m'", f"v{n.result_reg}" if n.result_reg >= 0 else "-", *(f"v{x}" for x in args)])
+    heads = sum(x.startswith("  block ") for own in dumps.values() for x in own)
+    assert heads == sum(x.startswith("    ->[") for own in dumps.values() for x in own) == len({n.block for n in nodes.values()} | {b for e in p.block_edge.collect() for b in e} | {b for f in p.function.collect() for b in (f.entry, f.exit)})
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "below").mkdir()
     for name, text in (("a.js", "f();"), ("b.txt", "no"), ("below/c.js", "g();")):
@@ -106,7 +133,8 @@ def test_command_line(spark, folder):
     assert edges.count() == 1
     rows = [json.loads(r.value) for r in spark.read.text(str(folder / "graph")).collect()]
     assert [(r["caller"]["start"]["line"], r["callee"]["start"]["line"]) for r in rows] == [(4, 1)]
-    assert spark.read.parquet(str(folder / "nodes")).where("kind = 'Call'").count() == 2
+    dump = [r.value for r in spark.read.text(str(folder / "nodes")).where("program_id like '%one.js'").select("value").collect()]
+    assert dump[0] == "<main> function()" and dump[1].endswith(": [entry]") and sum(": call[" in x for x in dump) == 2 and "function send(v)" in dump
     with pytest.raises(SystemExit):
         cli.main([], spark)
 
