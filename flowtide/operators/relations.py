@@ -31,7 +31,7 @@ def tag_counts(events: DataFrame, tag: str) -> DataFrame:
 
 def argument_matches(p: Program, call_edge: DataFrame) -> DataFrame:
     """(call_id, callee_id, position, reg, param): arguments that have a parameter; others are dropped."""
-    params = p.function.select(F.col("func_id").alias("callee_id"), F.posexplode("params").alias("position", "param"))
+    params = p.heads.select(F.col("func_id").alias("callee_id"), F.posexplode("params").alias("position", "param"))
     return call_edge.join(p.call_arg.withColumnRenamed("node_id", "call_id"), "call_id").join(params, ["callee_id", "position"]).select("call_id", "callee_id", "position", "reg", "param")
 
 
@@ -54,9 +54,13 @@ def edge_count(call_edge: DataFrame) -> DataFrame:
 
 
 def function_reach(p: Program, call_edge: DataFrame) -> DataFrame:
-    """(src, dst): every function dst that some chain of calls leads to from function src, for all functions and edges."""
-    owner = p.node.select(F.col("node_id").alias("call_id"), F.col("func_id").alias("src"))
-    return closure(call_edge.join(owner, "call_id").select("src", F.col("callee_id").alias("dst")))
+    """(src, dst): every function dst that some chain of calls leads to from function src, for all functions and edges.
+
+    Edges that come with the calling function (func_id) don't have it looked up among all nodes.
+    """
+    if "func_id" not in call_edge.columns:
+        call_edge = call_edge.join(p.node.select(F.col("node_id").alias("call_id"), "func_id"), "call_id")
+    return closure(call_edge.select(F.col("func_id").alias("src"), F.col("callee_id").alias("dst")))
 
 
 def dependencies(pairs: DataFrame, asked: DataFrame | None = None) -> DataFrame:

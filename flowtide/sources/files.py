@@ -116,8 +116,9 @@ def write_program_text(p: Program, folder: str) -> None:
 def call_graph_spans(p: Program, edges: DataFrame) -> DataFrame:
     """(program_id, caller, callee): spans of call sites and of the functions called."""
     site = p.node.select(F.col("node_id").alias("call_id"), "func_id", F.struct(F.struct("line", F.col("col").alias("column")).alias("start")).alias("caller"))
-    first = p.node.groupBy("func_id").agg(F.min_by(F.struct(F.struct("line", F.col("col").alias("column")).alias("start")), "idx").alias("callee")).withColumnRenamed("func_id", "callee_id")
-    owner = p.function.select("func_id", "program_id")
+    # Only functions that are called are looked for in the nodes.
+    first = p.node.join(edges.select(F.col("callee_id").alias("func_id")).distinct(), "func_id", "left_semi").groupBy("func_id").agg(F.min_by(F.struct(F.struct("line", F.col("col").alias("column")).alias("start")), "idx").alias("callee")).withColumnRenamed("func_id", "callee_id")
+    owner = p.heads.select("func_id", "program_id")
     return edges.distinct().join(site, "call_id").join(owner, "func_id").join(first, "callee_id").select("program_id", "caller", "callee")
 
 
