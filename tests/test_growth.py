@@ -22,3 +22,8 @@ def shuffled(spark, query, data=DATA):
 def test_nodes_are_shuffled_once_or_twice(spark, name, most):
     """Chains within functions are followed by one sort of the nodes; joins see only definitions that take a value from another one."""
     assert shuffled(spark, QUERIES[name]) < most * tables.load(spark, DATA, "lineitem").count()
+
+
+def test_pairs_of_paths_are_not_shuffled(spark):
+    """dep_reach has 33 pairs an event; what is shuffled are links, a few times."""
+    assert shuffled(spark, QUERIES["dep_reach"]) < 25 * tables.load(spark, DATA, "events").count()

@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import pytest
 
 from flowtide.operators import flows
+from flowtide.plans import fixpoint
 from flowtide.plans.fixpoint import closure_by_doubling, propagate
 from flowtide.queries import QUERIES
 from flowtide.sources import tables
@@ -63,6 +64,14 @@ def test_closure_by_doubling(spark):
         assert sorted(map(tuple, got.collect())) == sorted(reach(edges))
 
 
+def test_closure_of_paths_and_rings(spark, monkeypatch):
+    """Paths are joined in blocks of positions, and rings beside them are whole too."""
+    monkeypatch.setattr(fixpoint, "BLOCK", 4)
+    edges = [(i, i + 1) for i in range(30)] + [(100, 99), (99, 50)] + [(200 + i, 200 + (i + 1) % 5) for i in range(5)] + [(300, 300), (401, 400), (400, 401)]
+    got = closure_by_doubling(spark.createDataFrame(edges + edges[:3], "src long, dst long"))
+    assert sorted(map(tuple, got.collect())) == sorted(reach(edges))
+
+
 @pytest.mark.parametrize(("nodes", "links", "chain"), [(2000, 4000, 0), (60, 90, 300), (40, 30, 5)])
 def test_labels_of_graphs(spark, nodes, links, chain):
     """Branches, cycles and long chains between them; seconds also where the pairs of nodes are many."""
