@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import stored
 from ..plans.program import Program
 
 
+#: An ancestor of more functions than that is looked up in a broadcast table, so that none of its rows meet in one task.
+WIDE = 100_000
+
+
 def ancestors(p: Program) -> DataFrame:
     """(func_id, anc_id, depth) of every function and each function around it, itself at depth 0.
 
-    Each round doubles the depth that is known, so that rounds are few in programs nested as deep as they like.
+    Each round doubles the depth that is known, so that rounds are few in programs nested as deep as they like. A round writes what it adds.
     """
-    total = p.function.select("func_id", F.col("func_id").alias("anc_id"), F.lit(0).cast("long").alias("depth"))
-    jump = cut(p.function.where("outer_func_id is not null").select("func_id", F.col("outer_func_id").alias("to")).join(p.function.select(F.col("func_id").alias("to")), "to").select("func_id", "to"))
+    own = stored(p.heads.select("func_id", "outer_func_id"))
+    total = own.select("func_id", F.col("func_id").alias("anc_id"), F.lit(0).cast("long").alias("depth"))
+    jump = stored(own.where("outer_func_id is not null").select("func_id", F.col("outer_func_id").alias("to")).join(own.select(F.col("func_id").alias("to")), "to").select("func_id", "to"))
     reach = 1
     while not jump.isEmpty():
-        further = jump.join(total.withColumnRenamed("func_id", "to"), "to").select("func_id", "anc_id", (F.col("depth") + reach).alias("depth"))
-        total = cut(total.union(further))
-        jump = cut(jump.join(jump.select(F.col("func_id").alias("to"), F.col("to").alias("next")), "to").select("func_id", F.col("next").alias("to")))
+        further = stored(jump.join(total.withColumnRenamed("func_id", "to"), "to").select("func_id", "anc_id", (F.col("depth") + reach).alias("depth")))
+        total = total.union(further)
+        jump = stored(jump.join(jump.select(F.col("func_id").alias("to"), F.col("to").alias("next")), "to").select("func_id", F.col("next").alias("to")))
         reach *= 2
     return total
 
@@ -32,13 +37,16 @@ def declarations(p: Program) -> DataFrame:
 
 def visible(p: Program, up: DataFrame) -> DataFrame:
     """(func_id, name, decl_id): the nearest function around each function that declares the name."""
-    declared = declarations(p).withColumnRenamed("func_id", "anc_id")
-    return up.join(declared, "anc_id").groupBy("func_id", "name").agg(F.min_by("anc_id", "depth").alias("decl_id"))
+    declared = stored(declarations(p).withColumnRenamed("func_id", "anc_id"))
+    wide = stored(up.groupBy("anc_id").count().where(F.col("count") > WIDE).select("anc_id"))
+    around = F.broadcast(declared.join(wide, "anc_id"))
+    seen = up.join(around, "anc_id").union(up.join(F.broadcast(wide), "anc_id", "left_anti").join(declared, "anc_id"))
+    return seen.groupBy("func_id", "name").agg(F.min_by("anc_id", "depth").alias("decl_id"))
 
 
 def inner_names(p: Program) -> DataFrame:
     """(func_id, name): names of the functions declared in each function."""
-    return p.function.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("func_id"), "name").distinct()
+    return p.heads.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("func_id"), "name").distinct()
 
 
 def nearest(p: Program, up: DataFrame, known: DataFrame, used: DataFrame) -> DataFrame:
@@ -54,7 +62,7 @@ def declaring_scope(p: Program, up: DataFrame) -> DataFrame:
     """
     uses = p.node.where(F.col("kind").isin("ReadVariable", "WriteVariable")).select("node_id", "func_id", "name")
     found = nearest(p, up, declarations(p).union(inner_names(p)), uses.where("name <> 'process'").select("func_id", "name"))
-    main = up.join(p.function.where("is_main").select(F.col("func_id").alias("anc_id")), "anc_id").select("func_id", F.lit("process").alias("name"), F.col("anc_id").alias("decl_id"))
+    main = up.join(p.heads.where("is_main").select(F.col("func_id").alias("anc_id")), "anc_id").select("func_id", F.lit("process").alias("name"), F.col("anc_id").alias("decl_id"))
     return uses.join(found.union(main), ["func_id", "name"], "left").select("node_id", "name", F.coalesce("decl_id", "func_id").alias("decl_id"))
 
 
@@ -86,7 +94,7 @@ def static_references(p: Program, up: DataFrame) -> DataFrame:
     A function declaration reaches every read of its own level, whatever else is declared there, and goes
     into nested functions until one has a parameter, variable or function of the same name.
     """
-    functions = p.function.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("decl_id"), "name", F.col("func_id").alias("callee_id"))
+    functions = p.heads.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("decl_id"), "name", F.col("func_id").alias("callee_id"))
     reads = p.node.where("kind = 'ReadVariable'").select("node_id", "func_id", "name")
     found = nearest(p, up, declarations(p).union(inner_names(p)), reads.select("func_id", "name"))
     return reads.join(found, ["func_id", "name"]).join(functions, ["decl_id", "name"]).select("node_id", "callee_id")
@@ -94,8 +102,8 @@ def static_references(p: Program, up: DataFrame) -> DataFrame:
 
 def function_references(p: Program, up: DataFrame) -> DataFrame:
     """(callee_id, node_id): reads of a function's name at its declaration's level and below, not past a function whose parameters have that name."""
-    functions = p.function.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("anc_id"), "name", F.col("func_id").alias("callee_id"))
-    rebound = p.function.select(F.col("func_id").alias("anc_id"), F.explode("params").alias("name")).distinct()
+    functions = p.heads.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("anc_id"), "name", F.col("func_id").alias("callee_id"))
+    rebound = p.heads.select(F.col("func_id").alias("anc_id"), F.explode("params").alias("name")).distinct()
     reads = p.node.where("kind = 'ReadVariable'").select("node_id", "func_id", "name")
     at = reads.select("func_id", "name").distinct().join(up, "func_id")
     first = at.join(rebound, ["anc_id", "name"]).groupBy("func_id", "name").agg(F.min("depth").alias("stop"))

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from flowtide.operators import names
 from flowtide.plans.figures import measured
 from flowtide.queries import QUERIES
 from flowtide.sources import tables
@@ -27,3 +28,11 @@ def test_nodes_are_shuffled_once_or_twice(spark, name, most):
 def test_pairs_of_paths_are_not_shuffled(spark):
     """dep_reach has 33 pairs an event; what is shuffled are links, a few times."""
     assert shuffled(spark, QUERIES["dep_reach"]) < 25 * tables.load(spark, DATA, "events").count()
+
+
+def test_names_seen_below_wide_ancestors(spark, monkeypatch):
+    """Ancestors of many functions are looked up apart from the others; the rows are the same."""
+    rows = lambda: sorted(map(tuple, QUERIES["visible_in"](spark, DATA).collect()))
+    want = rows()
+    monkeypatch.setattr(names, "WIDE", 6)
+    assert rows() == want
