@@ -36,3 +36,8 @@ def test_names_seen_below_wide_ancestors(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(names, "WIDE", 6)
     assert rows() == want
+
+
+def test_resolving_joins_what_is_new(spark):
+    """resolve_calls sorts nodes by their values twice, whatever the number of rounds; a round shuffles what is asked anew, and values are asked once for all queries."""
+    assert shuffled(spark, QUERIES["resolve_calls"]) < 8 * tables.load(spark, DATA, "lineitem").count()
