@@ -100,12 +100,21 @@ def static_references(p: Program, up: DataFrame) -> DataFrame:
     return reads.join(found, ["func_id", "name"]).join(functions, ["decl_id", "name"]).select("node_id", "callee_id")
 
 
-def function_references(p: Program, up: DataFrame) -> DataFrame:
-    """(callee_id, node_id): reads of a function's name at its declaration's level and below, not past a function whose parameters have that name."""
+def function_references(p: Program, up: DataFrame, asked: DataFrame | None = None, *columns: str) -> DataFrame:
+    """(callee_id, node_id): reads of a function's name at its declaration's level and below, not past a function whose parameters have that name.
+
+    asked (func_id): only references to these functions; columns: more columns of the reads.
+    """
     functions = p.heads.where("outer_func_id is not null and name is not null").select(F.col("outer_func_id").alias("anc_id"), "name", F.col("func_id").alias("callee_id"))
+    if asked is not None:
+        functions = stored(functions.join(asked.select(F.col("func_id").alias("callee_id")), "callee_id", "left_semi").select("anc_id", "name", "callee_id"))
     rebound = p.heads.select(F.col("func_id").alias("anc_id"), F.explode("params").alias("name")).distinct()
     reads = p.node.where("kind = 'ReadVariable'").select("node_id", "func_id", "name")
-    at = reads.select("func_id", "name").distinct().join(up, "func_id")
+    used = reads.select("func_id", "name").distinct()
+    if asked is not None:
+        # Most names that are read belong to no asked function: only those that do are looked up on the way there.
+        used = stored(used.join(up, "func_id").join(functions.select("anc_id", "name"), ["anc_id", "name"], "left_semi").select("func_id", "name").distinct())
+    at = used.join(up, "func_id")
     first = at.join(rebound, ["anc_id", "name"]).groupBy("func_id", "name").agg(F.min("depth").alias("stop"))
     seen = at.join(first, ["func_id", "name"], "left").where("stop is null or depth <= stop").join(functions, ["anc_id", "name"])
-    return seen.join(reads, ["func_id", "name"]).select("callee_id", "node_id")
+    return seen.join(reads, ["func_id", "name"]).select("callee_id", "node_id", *columns)

@@ -41,3 +41,9 @@ def test_names_seen_below_wide_ancestors(spark, monkeypatch):
 def test_resolving_joins_what_is_new(spark):
     """resolve_calls sorts nodes by their values twice, whatever the number of rounds; a round shuffles what is asked anew, and values are asked once for all queries."""
     assert shuffled(spark, QUERIES["resolve_calls"]) < 8 * tables.load(spark, DATA, "lineitem").count()
+
+
+@pytest.mark.parametrize("name", ["forward_reach", "backward_reach", "forward_callers"])
+def test_functions_are_walked_in_one_pass(spark, name):
+    """Nodes are brought together by function once, not joined anew in each round."""
+    assert shuffled(spark, QUERIES[name]) < 12 * tables.load(spark, DATA, "lineitem").count()
