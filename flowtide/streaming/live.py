@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import figures
-from ..plans.fixpoint import delete, lacking, merged, scratch, stored
+from ..plans.fixpoint import delete, lacking, near, scratch, stored, tiered
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -39,12 +39,17 @@ class LiveSet:
         return [df for df, _ in self.parts]
 
     def offer(self, rows: DataFrame, log: figures.Rounds | None = None) -> int:
-        """Adds what is new of rows; how many those are."""
-        found = stored(figures.counted(log, rows.select(self.empty.columns)).distinct())
-        new = stored(lacking(found, self.total)) if self.kept or self.parts else found
-        n = new.count()
+        """Adds what is new of rows; how many those are.
+
+        What is found is compared with the rows known between its least and greatest whole numbers; where there are none, all is new and nothing is written again.
+        """
+        new = stored(figures.counted(log, rows.select(self.empty.columns)).distinct())
+        n, known = near(new, self.total)
+        if n and (self.kept or self.parts) and not known.isEmpty():
+            new = stored(lacking(new, known))
+            n = new.count()
         if n:
-            self.parts = merged([*self.parts, (new, n)])
+            self.parts = tiered([*self.parts, (new, n)])
             self.added, self.unseen = self.added.unionByName(new) if self.unseen else new, self.unseen + n
         return n
 

@@ -6,8 +6,8 @@ import pytest
 
 from flowtide.operators import experiments, resolve
 from flowtide.plans.figures import Rounds, measured
-from flowtide.plans.fixpoint import fixpoint, lacking, scratch, stored
-from flowtide.queries import QUERIES
+from flowtide.plans.fixpoint import fixpoint, lacking, near, scratch, stored, tiered
+from flowtide.queries import _SCOPES, QUERIES, _scope_rules
 from flowtide.sources.javascript import programs
 from flowtide.streaming import live
 
@@ -114,6 +114,64 @@ def test_scope_chain_of_a_stream(spark, tmp_path):
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected
 
 
+def test_scopes_that_come_in_any_order(spark, tmp_path):
+    """Functions in several batches, outer ones before and after inner ones, with repeats, nulls and outer ones that are no functions."""
+    batches = [[43, 301, 7], [0, 301, -4, None], [1, 50, 50], [300, 8, None, 10830], [], [1805, 44, 100000]]
+    outer = lambda k: k // 6 if k is not None and k > 0 else None
+    settling = live.Settling(str(tmp_path), _SCOPES, lambda b: {"func": b}, _scope_rules)
+    keys, want = set(), set()
+    for i, batch in enumerate(batches):
+        settling(spark.createDataFrame([(k, outer(k)) for k in batch], _SCOPES["func"]), i)
+        keys |= set(batch)
+        want = {(k, k, 0) for k in keys}
+        while more := {(k, outer(at), n + 1) for k, at, n in want if at in keys and outer(at) is not None} - want:
+            want |= more
+        got = settling.totals(spark)["up"].collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert (10830, 0, 6) in want and (100000, 16666, 1) in want and (100000, 2777, 2) not in want
+
+
+def test_rounds_leave_what_they_cannot_find_again(spark, monkeypatch):
+    """Rows of other levels than those found are not shuffled: a round costs what it finds, not what is known. Nothing is written twice."""
+    levels, width, written = 12, 40, []
+    monkeypatch.setattr(live, "lacking", lambda found, known: written.append(1) or lacking(found, known))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with scratch(spark.range(1)):
+            s, log = live.LiveSet(spark.range(width).selectExpr("id", "0 as level")), Rounds(spark)
+            s.on_add("next", lambda new: (s, new.where(f"level < {levels}").selectExpr("id", "level + 1 as level")))
+            live.settle(s, log=log)
+            rows = log.table().collect()
+            assert sum(r.found for r in rows) == levels * width and s.total.distinct().count() == s.total.count() == (levels + 1) * width
+            # distinct's rows, and one row a task where rows are counted
+            assert all(r.rows_shuffled < 2 * width for r in rows), [r.rows_shuffled for r in rows]
+            assert not written and len(s.parts) == levels + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_near(spark):
+    known = stored(spark.createDataFrame([(1, "x"), (4, "x"), (None, "y"), (9, "z")], "`a.b` int, c string"))
+    rows = lambda *found: (lambda n, df: (n, sorted(map(tuple, df.collect()), key=str)))(*near(spark.createDataFrame(list(found), known.schema), known))
+    assert rows((2, "x"), (5, "z")) == (2, [(4, "x")]) and rows((5, "x")) == (1, []) and rows() == (0, [])
+    assert rows((None, "x")) == (1, [(None, "y")]) and rows((None, "x"), (9, "q")) == (2, [(9, "z"), (None, "y")])
+    assert near(spark.createDataFrame([("x",)], "c string"), known.select("c"))[1].count() == 4
+
+
+def test_tiered(spark):
+    """No table is rewritten while they are few; of many, they stay few and rows are rewritten seldom."""
+    parts, writes, most = [], 0, 0
+    with scratch(spark.range(1)):
+        for i in range(60):
+            before = parts
+            parts = tiered([*parts, (spark.range(i, i + 1), 1)], most=4)
+            writes += 0 if len(parts) > len(before) else parts[-1][1]
+            most = max(most, len(parts))
+            assert len(parts) == i + 1 or i >= 4
+        assert most <= 12 and writes < 5 * 60 and sum(n for _, n in parts) == 60
+        assert sorted(r.id for df, _ in parts for r in df.collect()) == list(range(60))
+
+
 def test_lacking(spark):
     a = stored(spark.createDataFrame([(1, "x"), (None, "x"), (None, None), (2, None)], "`a.b` int, c string"))
     b = spark.createDataFrame([(None, "x"), (2, "y"), (None, None), (5, "z")], "`a.b` int, c string")
